@@ -23,6 +23,15 @@ def fixed(value: Column, digits: int, grouped: bool = True, signed: bool = False
     return text
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round half-even on the exact binary value.
+
+    Spark's round() works on the shortest decimal text instead, which differs
+    on near-ties. Meant for aggregated results, not for raw rows.
+    """
+    return fixed(value, digits, grouped=False).try_cast("double")
+
+
 def abbreviate(value: Column) -> Column:
     """Axis label: 1.2M, 3.4K or a whole number."""
     magnitude = value.cast("double")

@@ -13,9 +13,13 @@ def strip(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capitalise the first letter of every run of letters, lower the rest."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(
-        F.transform(runs, lambda run: F.concat(F.upper(F.left(run, F.lit(1))), F.substr(run, F.lit(2)))), ""
-    )
+
+    def capitalised(run: Column) -> Column:
+        # One letter may become two capitals (ß gives SS); only the first stays one.
+        first = F.upper(F.left(run, F.lit(1)))
+        return F.concat(F.left(first, F.lit(1)), F.lower(F.substr(first, F.lit(2))), F.substr(run, F.lit(2)))
+
+    return F.array_join(F.transform(runs, capitalised), "")
 
 
 def standardize(text: Column) -> Column:

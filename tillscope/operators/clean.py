@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.functions import dates, text
+from tillscope.functions.numbers import rounded
 from tillscope.operators.lookup import attach
 from tillscope.operators.profile import is_numeric, is_temporal
 from tillscope.operators.quantiles import exact_quantiles
@@ -173,7 +174,7 @@ def sign_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.lit(column).alias("column"),
                 F.col(f"n{i}").alias("negatives"),
                 F.col(f"z{i}").alias("zeros"),
-                F.round(share, 2).alias("zero_pct"),
+                rounded(share, 2).alias("zero_pct"),
                 F.when(F.col(f"z{i}") == 0, None)
                 .when(share < ZERO_REVIEW_PCT, "kept_as_is")
                 .otherwise("flagged_for_review")
@@ -405,8 +406,8 @@ def quality_scores(df: DataFrame, issues: DataFrame) -> DataFrame:
     )
     total = F.col("completeness") * 0.4 + F.col("validity") * 0.4 + F.col("consistency") * 0.2
     return parts.select(
-        F.round("completeness", 2).alias("completeness"),
-        F.round("validity", 2).alias("validity"),
-        F.round("consistency", 2).alias("consistency"),
-        F.round(total, 2).alias("overall"),
+        rounded(F.col("completeness"), 2).alias("completeness"),
+        rounded(F.col("validity"), 2).alias("validity"),
+        rounded(F.col("consistency"), 2).alias("consistency"),
+        rounded(total, 2).alias("overall"),
     )

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.functions.numbers import rounded
 from tillscope.operators.profile import is_numeric
 
 # Role columns of the sales view.
@@ -103,7 +104,7 @@ def scalar_metrics(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         * 100,
     }
     names = [n for n in applicable(sales.columns) if n in values]
-    return order_grain(sales, by).groupBy(*by).agg(*[F.round(values[n], 4).alias(n) for n in names])
+    return order_grain(sales, by).groupBy(*by).agg(*[rounded(values[n], 4).alias(n) for n in names])
 
 
 def to_long(wide: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -247,7 +248,7 @@ def column_shapes(df: DataFrame, numeric: Sequence[str], countable: Sequence[str
         long = long.unionByName(
             values.agg(F.count("one").cast("double").alias("value")).select(F.lit(f"nunique {column}").alias("kpi"), "value")
         )
-    return long.withColumn("value", F.round("value", 4))
+    return long.withColumn("value", rounded(F.col("value"), 4))
 
 
 def share_where(df: DataFrame, condition: Column, by: Sequence[str | Column] = ()) -> DataFrame:
@@ -256,7 +257,7 @@ def share_where(df: DataFrame, condition: Column, by: Sequence[str | Column] = (
     return df.groupBy(*by).agg(
         rows.alias("rows"),
         hits.alias("matching"),
-        F.round(F.try_divide(hits.cast("double") * 100, rows.cast("double")), 2).alias("percent"),
+        rounded(F.try_divide(hits.cast("double") * 100, rows.cast("double")), 2).alias("percent"),
     )
 
 
@@ -277,8 +278,8 @@ def per_entity(df: DataFrame, entity: str, amount: Column, by: Sequence[str] = (
     return grain.groupBy(*by).agg(
         F.sum("_rows").alias("rows"),
         entities.alias("entities"),
-        F.round(F.try_divide(F.sum("_rows").cast("double"), entities.cast("double")), 4).alias("rows_per_entity"),
-        F.round(F.try_divide(F.sum("_amount").cast("double"), entities.cast("double")), 4).alias("amount_per_entity"),
+        rounded(F.try_divide(F.sum("_rows").cast("double"), entities.cast("double")), 4).alias("rows_per_entity"),
+        rounded(F.try_divide(F.sum("_amount").cast("double"), entities.cast("double")), 4).alias("amount_per_entity"),
     )
 
 
@@ -286,7 +287,7 @@ def mean_of_sums(df: DataFrame, entity: str, amount: Column, by: Sequence[str] =
     """Sum per entity, then the mean of these sums."""
     sums = df.where(F.col(entity).isNotNull()).groupBy(*by, entity).agg(F.sum(amount).alias("_sum"))
     mean = F.try_divide(F.sum("_sum").cast("double"), F.count("_sum").cast("double"))
-    return sums.groupBy(*by).agg(F.count(F.lit(1)).alias("entities"), F.round(mean, 4).alias("mean_sum"))
+    return sums.groupBy(*by).agg(F.count(F.lit(1)).alias("entities"), rounded(mean, 4).alias("mean_sum"))
 
 
 # ---------------------------------------------------------------- user formulas

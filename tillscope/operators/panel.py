@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.dates import period_start
+from tillscope.functions.numbers import rounded
 from tillscope.operators import metrics
 
 # Shortest span in days for monthly periods; thresholds of the arrows in percent.
@@ -153,9 +154,9 @@ def seasonal_columns(value: Column, previous: Column, month: Column) -> dict[str
         return F.when(usable, F.when(flat, F.lit(when_flat)).otherwise(column))
 
     return {
-        "actual_change": unless_flat(F.round(actual, 1), 0.0),
+        "actual_change": unless_flat(rounded(actual, 1), 0.0),
         "expected_change": unless_flat(expected, 0.0),
-        "variance": unless_flat(F.round(variance, 1), 0.0),
+        "variance": unless_flat(rounded(variance, 1), 0.0),
         "assessment": unless_flat(assessment, "insufficient_data"),
     }
 
@@ -185,6 +186,6 @@ def yoy(df: DataFrame, when: str, value: str, keys: Sequence[str] = ()) -> DataF
         "current",
         "last_year",
         F.when(available, change).alias("yoy_change"),
-        F.when(available, F.round(change / F.col("last_year") * 100, 1)).alias("yoy_pct"),
+        F.when(available, rounded(change / F.col("last_year") * 100, 1)).alias("yoy_pct"),
         available.alias("available"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.functions import dates
+from tillscope.functions.numbers import rounded
 from tillscope.operators.quantiles import exact_quantiles
 
 # Name keywords per semantic type, in priority order.
@@ -131,7 +132,7 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
             table = table.withColumn("median", F.lit(None).cast("double"))
 
     def percent(part: Column) -> Column:
-        return F.round(F.try_divide(part.cast("double"), F.col("rows").cast("double")) * 100, 2)
+        return rounded(F.try_divide(part.cast("double"), F.col("rows").cast("double")) * 100, 2)
 
     return table.select(
         "ordinal",

@@ -227,8 +227,8 @@ def _profile_sql() -> str:
         )
         parts.append(
             f"select {i} as ordinal, '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as null_count, "
-            f"round((count(*) - count({c})) / count(*) * 100, 2) as null_pct, count(distinct {c}) as unique_count, "
-            f"round(count(distinct {c}) / count(*) * 100, 2) as unique_pct, {stats} from messy"
+            f"{ctes.rounded(f'(count(*) - count({c})) / count(*) * 100', 2)} as null_pct, count(distinct {c}) as unique_count, "
+            f"{ctes.rounded(f'count(distinct {c}) / count(*) * 100', 2)} as unique_pct, {stats} from messy"
         )
     names = '(ordinal, "column", rows, null_count, null_pct, unique_count, unique_pct, min, max, mean, median, std)'
     return f"with {ctes.MESSY}, p{names} as ({' union all '.join(parts)}) select * from p"
