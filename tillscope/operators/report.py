@@ -170,12 +170,14 @@ def report_tables(
 ) -> DataFrame:
     """The report as one long table (section, item, position, content).
 
-    ``texts`` has rows (section, position, content) with the summary, insights
-    and recommendations; the last two are cut to ``shown`` entries.
+    ``texts`` has rows (source, section, position, content) with the summary,
+    insights and recommendations of each source text; the last two are cut to
+    ``shown`` entries.
     """
-    def rows(df: DataFrame, section: str, item: Column, position: Column, content: Column) -> DataFrame:
+
+    def rows(df: DataFrame, section: str | Column, item: Column, position: Column, content: Column) -> DataFrame:
         return df.select(
-            F.lit(section).alias("section"),
+            (F.lit(section) if isinstance(section, str) else section).alias("section"),
             item.cast("string").alias("item"),
             position.cast("int").alias("position"),
             content.alias("content"),
@@ -185,10 +187,10 @@ def report_tables(
     kept = texts.where((F.col("section") == "summary") | (F.col("position") <= shown))
     families = kpi_family(cards, "kpi")
     return (
-        rows(cards.limit(1), "title", F.lit("title"), F.lit(1), F.lit(TITLE))
+        rows(cards.sparkSession.range(1), "title", F.lit("title"), F.lit(1), F.lit(TITLE))
         .unionByName(rows(cards, "kpis", F.col("kpi"), F.lit(1), F.concat("display", F.lit(" "), "description")))
         .unionByName(rows(family_titles(families), "explanations", F.col("family"), F.lit(1), F.col("name")))
         .unionByName(rows(breakdown, "breakdowns", F.col("kpi"), F.col("rank"), F.concat("name", colon, "display")))
         .unionByName(rows(facts, "trends", F.col("kpi"), F.lit(1), F.concat("trend", F.lit(" "), "change", F.lit(", "), "volatility")))
-        .unionByName(rows(kept, "texts", F.col("section"), F.col("position"), F.col("content")))
+        .unionByName(rows(kept, F.col("section"), F.col("source"), F.col("position"), F.col("content")))
     )

@@ -91,30 +91,50 @@ def text_summary(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def named_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Summary paragraphs, insights and recommendations of an analysis text, in order."""
+    """Summary paragraphs, insights and recommendations of an analysis text, each numbered in order."""
+    marks = "|".join(h for _, headings in NAMED_SECTIONS for h in headings if not h.startswith("##"))
+    # A marker before every heading line cuts the text, so nothing is carried from line to line.
+    marked = F.regexp_replace(F.col(text), rf"(?dm)^(?=[^\n]*(##|{marks}))", "\u0001")
+    chunks = F.transform(
+        F.split(marked, "\u0001"),
+        lambda chunk: F.struct(
+            _section_of(F.regexp_extract(chunk, r"^([^\n]*)", 1)).alias("section"),
+            _lines(F.regexp_replace(chunk, r"^[^\n]*", "")).alias("lines"),
+        ),
+    )
+    cut = docs.select(F.col(key), chunks.alias("_chunks"))
+    contents = F.array(
+        *[
+            F.struct(F.lit(name).alias("section"), _contents(F.col("_chunks"), name).alias("_contents"))
+            for name, _ in NAMED_SECTIONS
+        ]
+    )
+    listed = cut.select(key, F.inline(contents))
+    return listed.select(key, "section", F.posexplode("_contents").alias("position", "content")).withColumn(
+        "position", F.col("position") + 1
+    )
+
+
+def _section_of(heading: Column) -> Column:
     section = None
     for name, headings in NAMED_SECTIONS:
-        hit = F.exists(F.array(*[F.lit(h) for h in headings]), lambda h: F.contains(F.col("_line"), h))
+        hit = F.rlike(heading, F.lit("|".join(headings)))
         section = F.when(hit, name) if section is None else section.when(hit, name)
-    # Each chunk starts with its heading line, so no state is carried from line to line.
-    marked = F.regexp_replace(F.col(text), r"(?dm)^[ \t]*(?=[^\n]*(##|# Executive Summary|# Recommendations|# Insights|# Key Insights))", "\u0001")
-    chunks = docs.select(F.col(key), F.posexplode(F.split(marked, "\u0001")).alias("_chunk", "_text"))
-    lines = chunks.select(
-        key,
-        "_chunk",
-        strip(F.regexp_extract("_text", r"^([^\n]*)", 1)).alias("_line"),
-        _lines(F.regexp_replace("_text", r"^[^\n]*", "")).alias("_lines"),
-    ).withColumn("section", section)
-    listed = lines.where(F.col("section").isNotNull()).select(
-        key, "section", "_chunk", F.posexplode("_lines").alias("_i", "line")
-    )
-    numbered = F.rlike("line", F.lit(r"^[0-9]+\.\s+\*\*"))
-    bullet = F.rlike("line", F.lit(r"^[-*•] "))
-    plain = F.regexp_replace(F.regexp_replace("line", r"\*\*([^*]+)\*\*:\s*", "$1: "), r"^[0-9]+\.\s+", "")
-    summary = F.col("section") == "summary"
-    content = (
-        F.when(summary & (F.col("line") != "") & ~numbered & ~bullet & ~F.col("line").startswith("#"), F.col("line"))
-        .when(~summary & numbered, plain)
-        .when(~summary & bullet, strip(F.substr(F.col("line"), F.lit(3))))
-    )
-    return listed.select(key, "section", "_chunk", "_i", content.alias("content")).where(F.col("content").isNotNull())
+    return section
+
+
+def _contents(chunks: Column, section: str) -> Column:
+    """The entries of one section: plain lines of the summary, list items of the others."""
+    numbered = lambda line: F.rlike(line, F.lit(r"^[0-9]+\.\s+\*\*"))
+    bullet = lambda line: F.rlike(line, F.lit(r"^[-*•] "))
+
+    def entry(line: Column) -> Column:
+        if section == "summary":
+            return F.when((line != "") & ~numbered(line) & ~bullet(line) & ~line.startswith("#"), line)
+        unmarked = F.regexp_replace(line, r"\*\*([^*]+)\*\*:\s*", "$1: ")
+        return F.when(numbered(line), F.regexp_replace(unmarked, r"^[0-9]+\.\s+", "")).when(
+            bullet(line), strip(F.substr(line, F.lit(3)))
+        )
+
+    mine = F.filter(chunks, lambda chunk: chunk.getField("section") == section)
+    return F.flatten(F.transform(mine, lambda chunk: F.array_compact(F.transform(chunk.getField("lines"), entry))))

@@ -1,0 +1 @@
+"""Views over the tables and the registered queries."""

@@ -163,13 +163,12 @@ def override_union(spark, folder):
 
 @query(
     "supplement_union",
-    """with base as (select p_partkey as key, p_name as label from part where p_size <= 25),
-    extra as (select l_partkey as key, max(l_returnflag) as label from lineitem group by 1)
-    select key, label from base union all select key, label from extra where key not in (select key from base)""",
+    """select p_partkey as key, p_name as label from part union all
+    select o_orderkey, o_orderstatus from orders where o_orderkey not in (select p_partkey from part)""",
 )
 def supplement_union(spark, folder):
-    base = table(spark, folder, "part").where("p_size <= 25").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"))
-    extra = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_returnflag").alias("label"))
+    base = table(spark, folder, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"))
+    extra = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("label"))
     return matching.supplement_union(base, extra, "key")
 
 

@@ -289,7 +289,7 @@ def pack_sql(by: list[str] = (), source: str = "sales") -> str:
     union all select {keys}'Sales per Channel', channel, {_BY}, null, true, null from {source}
       where channel is not null group by {keys}channel
     union all select {keys}'Category Contribution Percentage', category,
-      round({_BY} / (select {_BY} from {source} t where {same}) * 100, 6), null, true, null from {source} s
+      {_BY} / (select {_BY} from {source} t where {same}) * 100, null, true, null from {source} s
       where category is not null group by {keys}category
     union all select {keys}'Top-Selling Category', null, null, category, true, null from (
       select {keys}category, {_BY} as v from {source} where category is not null group by {keys}category
@@ -299,14 +299,15 @@ def pack_sql(by: list[str] = (), source: str = "sales") -> str:
       qualify row_number() over ({part} order by v desc, product) = 1)"""
 
 
-@query("kpi_pack", f"with {_S} {pack_sql()}")
+@query("kpi_pack", f"with {_S}, p as ({pack_sql()}) select * replace (round(value, 6) as value) from p")
 def kpi_pack(spark, folder):
     return metrics.kpi_pack(views.sales(spark, folder)).withColumn("value", F.round("value", 6))
 
 
 @query(
     "kpi_pack_monthly",
-    f"with {_S}, dated as (select *, cast(date_trunc('month', order_date) as date) as period from sales) {pack_sql(['period'], 'dated')}",
+    f"with {_S}, dated as (select *, cast(date_trunc('month', order_date) as date) as period from sales), "
+    f"p as ({pack_sql(['period'], 'dated')}) select * replace (round(value, 6) as value) from p",
 )
 def kpi_pack_monthly(spark, folder):
     sales = views.sales(spark, folder).withColumn("period", period_start(F.col("order_date"), "month"))

@@ -8,6 +8,7 @@ from tillscope.operators import panel, trend
 from tillscope.plans import ctes, views
 from tillscope.plans.queries_metrics import pack_sql
 from tillscope.plans.registry import query
+from tillscope.session import durable
 from tillscope.sources.tables import table
 
 _K = ["category"]
@@ -16,8 +17,9 @@ _S = ctes.SALES
 _MONTHLY = f"{_S}, dated as (select *, cast(date_trunc('month', order_date) as date) as period from sales)"
 
 
-def _panel(spark, folder):
-    return panel.kpi_panel(views.sales(spark, folder), "order_date", keys=_K).drop("success", "error")
+def monthly_panel(spark, folder, keys=_K):
+    """The panel, computed once: every fact below reads this small table several times."""
+    return durable(panel.kpi_panel(views.sales(spark, folder), "order_date", keys=keys).drop("success", "error"))
 
 
 @query(
@@ -58,7 +60,7 @@ def kpi_panel(spark, folder):
 
 @query("kpi_panel_by_category", f"with {_P} select category, period, kpi, value from panel")
 def kpi_panel_by_category(spark, folder):
-    return _panel(spark, folder)
+    return panel.kpi_panel(views.sales(spark, folder), "order_date", keys=_K).drop("success", "error")
 
 
 @query(
@@ -76,7 +78,7 @@ def kpi_panel_weekly(spark, folder):
 
 @query(
     "category_panel",
-    f"""with {_MONTHLY}, p as ({pack_sql(['period'], 'dated')}) select period, kpi, category, value, label from p
+    f"""with {_MONTHLY}, p as ({pack_sql(['period'], 'dated')}) select period, kpi, category, round(value, 6) as value, label from p
     where kpi in ('Sales per Category', 'Sales per Channel', 'Category Contribution Percentage', 'Top-Selling Category', 'Top-Selling Product')""",
 )
 def category_panel(spark, folder):
@@ -105,7 +107,7 @@ def broadcast_metric(spark, folder):
     from panel, m where period >= prior group by category, kpi, latest, prior""",
 )
 def latest_previous(spark, folder):
-    return panel.latest_previous(_panel(spark, folder), _K)
+    return panel.latest_previous(monthly_panel(spark, folder), _K)
 
 
 _CURRENCY = "regexp_matches(lower(kpi), 'revenue|amount|price')"
@@ -127,7 +129,7 @@ _ARROW = "case when change_pct > 2 then '↑' when change_pct < -2 then '↓' wh
     case when {_POINTS} then 'points' else '%' end as reported_unit from c""",
 )
 def period_change(spark, folder):
-    return panel.period_change(_panel(spark, folder), _K)
+    return panel.period_change(monthly_panel(spark, folder), _K)
 
 
 _SPARK_TEXT = "string_agg(cast(cast(value as decimal(38,4)) as varchar), ',' order by period)"
@@ -136,7 +138,7 @@ _RECENT = "period in (select distinct period from panel order by period desc lim
 
 @query("sparkline", f"with {_P} select category, kpi, {_SPARK_TEXT} as sparkline from panel where {_RECENT} group by 1, 2")
 def sparkline(spark, folder):
-    out = panel.sparkline(_panel(spark, folder), _K)
+    out = panel.sparkline(monthly_panel(spark, folder), _K)
     text = F.array_join(F.transform("sparkline", lambda v: v.cast("decimal(38,4)").cast("string")), ",")
     return out.withColumn("sparkline", text)
 
@@ -158,7 +160,7 @@ _BASELINE = (
     when actual - expected < -5 then 'underperforming' else 'on_track' end as assessment from a""",
 )
 def seasonal_performance(spark, folder):
-    return panel.seasonal_performance(_panel(spark, folder), _K)
+    return panel.seasonal_performance(monthly_panel(spark, folder), _K)
 
 
 @query(
@@ -177,39 +179,45 @@ def yoy(spark, folder):
 
 # ---------------------------------------------------------------- facts per series
 
-_SCORED = f"""{_P}, scored as (select *, row_number() over (partition by category, kpi order by period) - 1 as index,
+def scored_sql(keys=("category",)):
+    by = ", ".join([*keys, "kpi"])
+    return f"""{ctes.panel(keys)}, scored as (select *, row_number() over (partition by {by} order by period) - 1 as index,
     count(value) over w as n, avg(value) over w as mean, stddev_pop(value) over w as sd from panel
-    window w as (partition by category, kpi))"""
+    window w as (partition by {by}))"""
+
+
 _ODD = "n >= 3 and sd <> 0 and abs((value - mean) / sd) > 2"
 
 
 @query(
     "anomalies",
-    f"with {_SCORED} select category, kpi, period, cast(index as int) as index, value, round(abs((value - mean) / sd), 6) as z from scored where {_ODD}",
+    f"with {scored_sql()} select category, kpi, period, cast(index as int) as index, value, round(abs((value - mean) / sd), 6) as z from scored where {_ODD}",
 )
 def anomalies(spark, folder):
-    return trend.anomalies(_panel(spark, folder), _K).withColumn("z", F.round("z", 6))
+    return trend.anomalies(monthly_panel(spark, folder), _K).withColumn("z", F.round("z", 6))
 
 
-_SERIES = f"""{_SCORED}, series as (select category, kpi, count(value) as points, arg_min(value, period) as first,
+def series_sql(keys=("category",)):
+    by = ", ".join([*keys, "kpi"])
+    return f"""{scored_sql(keys)}, series as (select {by}, count(value) as points, arg_min(value, period) as first,
     arg_max(value, period) as last, max(value) as peak, min(value) as low, avg(value) as average, stddev_pop(value) as spread,
-    count_if({_ODD}) as anomalies from scored group by 1, 2),
+    count_if({_ODD}) as anomalies from scored group by {by}),
     facts as (select *, case when last > first * 1.1 then 'upward' when last < first * 0.9 then 'downward' else 'stable' end as trend,
     case when last > first * 1.1 or last < first * 0.9 then case when first <> 0 then (last - first) / first * 100 end else 0 end as pct,
     case when spread > average * 0.3 then 'high' when spread > average * 0.1 then 'moderate' else 'low' end as volatility from series)"""
 
 
-@query("trend_direction", f"with {_SERIES} select category, kpi, trend, round(pct, 6) as change_pct from facts")
+@query("trend_direction", f"with {series_sql()} select category, kpi, trend, round(pct, 6) as change_pct from facts")
 def trend_direction(spark, folder):
-    return trend.trend_direction(_panel(spark, folder), _K).withColumn("change_pct", F.round("change_pct", 6))
+    return trend.trend_direction(monthly_panel(spark, folder), _K).withColumn("change_pct", F.round("change_pct", 6))
 
 
 @query(
     "volatility",
-    f"with {_SERIES} select category, kpi, round(average, 2) as average, round(spread, 2) as spread, volatility from facts",
+    f"with {series_sql()} select category, kpi, round(average, 2) as average, round(spread, 2) as spread, volatility from facts",
 )
 def volatility(spark, folder):
-    out = trend.volatility(_panel(spark, folder), _K)
+    out = trend.volatility(monthly_panel(spark, folder), _K)
     return out.withColumns({"average": F.round("average", 2), "spread": F.round("spread", 2)})
 
 
@@ -219,12 +227,12 @@ _CHARTED_SQL = ", ".join(f"'{k}'" for k in CHARTED)
 
 @query(
     "trend_facts",
-    f"""with {_SERIES} select category, kpi, trend, case when pct = 0 then 'minimal change' else format('{{:+.1f}}%', pct) end as change,
+    f"""with {series_sql()} select category, kpi, trend, case when pct = 0 then 'minimal change' else format('{{:+.1f}}%', pct) end as change,
     format('{{:,.0f}}', peak) as peak, format('{{:,.0f}}', low) as low, format('{{:,.0f}}', average) as average, volatility, anomalies
     from facts where points >= 2 and kpi in ({_CHARTED_SQL})""",
 )
 def trend_facts(spark, folder):
-    return trend.trend_facts(_panel(spark, folder), _K, kpis=tuple(ctes.KPIS))
+    return trend.trend_facts(monthly_panel(spark, folder), _K, kpis=tuple(ctes.KPIS))
 
 
 @query(
@@ -233,7 +241,7 @@ def trend_facts(spark, folder):
     order by period) as points from panel where value is not null group by 1, 2""",
 )
 def chart_series(spark, folder):
-    out = trend.chart_series(_panel(spark, folder), _K)
+    out = trend.chart_series(monthly_panel(spark, folder), _K)
     point = lambda p: F.concat(p.getField("x_axis"), F.lit("="), p.getField("y_axis").cast("decimal(38,4)").cast("string"))
     return out.withColumn("points", F.array_join(F.transform("points", point), ";"))
 
@@ -271,7 +279,7 @@ def holidays_in_period(spark, folder):
     window w as (partition by category, kpi order by date, name) qualify row_number() over w <= 5""",
 )
 def holidays_near_points(spark, folder):
-    return trend.holidays_near_points(_panel(spark, folder), _K)
+    return trend.holidays_near_points(monthly_panel(spark, folder), _K)
 
 
 # ---------------------------------------------------------------- trend model
