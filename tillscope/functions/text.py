@@ -11,20 +11,18 @@ def strip(text: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Capitalise the first letter of every run of letters, lower the rest."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    """Capitalise the first letter of every run of letters, lower the rest.
 
-    def capitalised(run: Column) -> Column:
-        # One letter may become two capitals (ß gives SS); only the first stays one.
-        first = F.upper(F.left(run, F.lit(1)))
-        return F.concat(F.left(first, F.lit(1)), F.lower(F.substr(first, F.lit(2))), F.substr(run, F.lit(2)))
-
-    return F.array_join(F.transform(runs, capitalised), "")
+    Spark's initcap starts a word after a space only, so a marked space is put
+    between any other sign and a letter and taken out again.
+    """
+    spaced = F.regexp_replace(F.lower(text), r"(?<=[^\p{L} ])(?=\p{L})", "\u0001 ")
+    return F.replace(F.initcap(spaced), F.lit("\u0001 "), F.lit(""))
 
 
 def standardize(text: Column) -> Column:
     """Trimmed, title-cased, with single spaces."""
-    return F.regexp_replace(title_case(strip(text)), r"\s+", " ")
+    return title_case(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def normalize_name(name: Column) -> Column:

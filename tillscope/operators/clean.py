@@ -38,28 +38,34 @@ def _parsed(df: DataFrame, column: str) -> Column:
 
 def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Dates from mixed formats; typed columns pass through."""
-    parsed = {c: dates.parse_date(F.col(f"`{c}`")) for c in columns if not is_temporal(_kind(df, c))}
+    parsed = {c: _parsed(df, c) for c in columns if not is_temporal(_kind(df, c))}
     return df.withColumns(parsed) if parsed else df
 
 
-def _date_issue(df: DataFrame, column: str, first: int, last: int) -> Column:
-    parsed = _parsed(df, column)
-    return F.when(F.col(f"`{column}`").isNotNull() & parsed.isNull(), "unparseable_date").when(
-        ~F.year(parsed).between(first, last), "invalid_date_range"
-    )
-
-
 def check_dates(
     df: DataFrame, columns: Sequence[str], first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
 ) -> DataFrame:
     """Parse text dates and null those outside the plausible years."""
-    checked = {}
-    for column in columns:
-        if is_temporal(_kind(df, column)):
-            continue
-        parsed = dates.parse_date(F.col(f"`{column}`"))
-        checked[column] = F.when(F.year(parsed).between(first_year, last_year), parsed)
-    return df.withColumns(checked) if checked else df
+    texts = [c for c in columns if not is_temporal(_kind(df, c))]
+    plausible = {c: F.when(F.year(F.col(f"`{c}`")).between(first_year, last_year), F.col(f"`{c}`")) for c in texts}
+    # Parsed in a projection of its own, so each text is parsed once.
+    return parse_dates(df, texts).withColumns(plausible) if texts else df
+
+
+def _with_date_issues(df: DataFrame, columns: Sequence[str], first: int, last: int, keep: Sequence[str]) -> DataFrame:
+    """Per column its text as ``_t`` and what is wrong with it as ``_p``, or null."""
+    parsed = df.select(
+        *keep,
+        *[F.col(f"`{c}`").cast("string").alias(f"_t{i}") for i, c in enumerate(columns)],
+        *[_parsed(df, c).alias(f"_d{i}") for i, c in enumerate(columns)],
+    )
+    problems = {
+        f"_p{i}": F.when(F.col(f"_t{i}").isNotNull() & F.col(f"_d{i}").isNull(), "unparseable_date").when(
+            ~F.year(f"_d{i}").between(first, last), "invalid_date_range"
+        )
+        for i in range(len(columns))
+    }
+    return parsed.withColumns(problems)
 
 
 def date_issues(
@@ -70,30 +76,27 @@ def date_issues(
     last_year: int = LAST_YEAR,
 ) -> DataFrame:
     """One row per date that does not parse or is out of range."""
+    found = _with_date_issues(df, columns, first_year, last_year, [row_id])
     cells = F.array(
         *[
-            F.struct(
-                F.lit(c).alias("column"),
-                _date_issue(df, c, first_year, last_year).alias("issue"),
-                F.col(f"`{c}`").cast("string").alias("value"),
-            )
-            for c in columns
+            F.struct(F.lit(c).alias("column"), F.col(f"_p{i}").alias("issue"), F.col(f"_t{i}").alias("value"))
+            for i, c in enumerate(columns)
         ]
     )
-    return df.select(F.col(row_id).alias("row_id"), F.inline(cells)).where(F.col("issue").isNotNull())
+    return found.select(F.col(row_id).alias("row_id"), F.inline(cells)).where(F.col("issue").isNotNull())
 
 
 def date_summary(
     df: DataFrame, columns: Sequence[str], first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
 ) -> DataFrame:
     """Per date column: values parsed, unparseable, out of range."""
+    found = _with_date_issues(df, columns, first_year, last_year, [])
     aggregates, rows = [], []
     for i, column in enumerate(columns):
-        issue = _date_issue(df, column, first_year, last_year)
         aggregates += [
-            F.count_if(F.col(f"`{column}`").isNotNull() & issue.isNull()).alias(f"s{i}"),
-            F.count_if(issue == "unparseable_date").alias(f"u{i}"),
-            F.count_if(issue == "invalid_date_range").alias(f"r{i}"),
+            F.count_if(F.col(f"_t{i}").isNotNull() & F.col(f"_p{i}").isNull()).alias(f"s{i}"),
+            F.count_if(F.col(f"_p{i}") == "unparseable_date").alias(f"u{i}"),
+            F.count_if(F.col(f"_p{i}") == "invalid_date_range").alias(f"r{i}"),
         ]
         rows.append(
             F.struct(
@@ -103,7 +106,7 @@ def date_summary(
                 F.col(f"r{i}").alias("out_of_range"),
             )
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return found.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def standardize_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -158,7 +161,8 @@ def duplicate_report(df: DataFrame, row_id: str, examples: int = 10) -> DataFram
 
 
 def fix_negative(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.abs(F.col(f"`{c}`")) for c in columns if is_numeric(_kind(df, c))})
+    positive = {c: F.abs(F.col(f"`{c}`")) for c in columns if is_numeric(_kind(df, c))}
+    return df.withColumns(positive) if positive else df
 
 
 def sign_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -190,7 +194,7 @@ def clip_rating(
     def clip(cell: Column) -> Column:
         return F.when(cell < low, F.lit(low)).when(cell > high, F.lit(high)).otherwise(cell)
 
-    return df.withColumns({c: clip(F.col(f"`{c}`").cast("double")) for c in columns})
+    return df.withColumns({c: clip(F.col(f"`{c}`").cast("double")) for c in columns}) if columns else df
 
 
 def rating_report(
@@ -216,16 +220,22 @@ def _values_by_column(df: DataFrame, columns: Sequence[str], keep: Sequence[str]
     return df.select(*keep, F.inline(cells))
 
 
-def _fences(df: DataFrame, columns: Sequence[str], by: Sequence[str], factor: float) -> DataFrame:
-    """Per group one row with the fences of every column; null where a group is too small."""
-    quartiles = exact_quantiles(_values_by_column(df, columns, by), [*by, "_i"], "_value", [0.25, 0.75])
-    reach = F.lit(float(factor)) * (F.col("q1") - F.col("q0"))
+def quartile_table(df: DataFrame, columns: Sequence[str], by: Sequence[str], factor: float = FENCE) -> DataFrame:
+    """Per group one row: the median, and the fences where there are four values, of every column.
+
+    Clipping to the fences does not move a median, so one pass serves both
+    outliers and missing values.
+    """
+    quartiles = exact_quantiles(_values_by_column(df, columns, by), [*by, "_i"], "_value", [0.25, 0.5, 0.75])
+    reach = F.lit(float(factor)) * (F.col("q2") - F.col("q0"))
     wide = []
     for i in range(len(columns)):
-        mine = (F.col("_i") == i) & (F.col("n") >= MIN_GROUP)
+        mine = F.col("_i") == i
+        fenced = mine & (F.col("n") >= MIN_GROUP)
         wide += [
-            F.max(F.when(mine, F.col("q0") - reach)).alias(f"_low{i}"),
-            F.max(F.when(mine, F.col("q1") + reach)).alias(f"_high{i}"),
+            F.max(F.when(fenced, F.col("q0") - reach)).alias(f"_low{i}"),
+            F.max(F.when(mine, F.col("q1"))).alias(f"_median{i}"),
+            F.max(F.when(fenced, F.col("q2") + reach)).alias(f"_high{i}"),
         ]
     return quartiles.groupBy(*by).agg(*wide)
 
@@ -242,18 +252,33 @@ def clip_outliers_by_group(
 
     Groups with fewer than four values, and rows without a group, stay as they are.
     """
-    fenced = attach(df, _fences(df, columns, [group], factor), [group])
-    clipped = {
-        c: _clip(F.col(f"`{c}`"), F.col(f"_low{i}"), F.col(f"_high{i}")) for i, c in enumerate(columns)
-    }
-    return fenced.withColumns(clipped).select(*[F.col(f"`{c}`") for c in df.columns])
+    return clip_and_fill_by_group(df, columns, [], group, factor)
+
+
+def clip_and_fill_by_group(
+    df: DataFrame, clip: Sequence[str], fill: Sequence[str], group: str, factor: float = FENCE
+) -> DataFrame:
+    """Clip some columns to their group's fences and fill some with their group's median, in one pass."""
+    columns = [c for c in df.columns if c in clip or c in fill]
+    if not columns:
+        return df
+    known = attach(df, quartile_table(df, columns, [group], factor), [group])
+    changed = {}
+    for i, column in enumerate(columns):
+        value = F.col(f"`{column}`").cast("double")
+        if column in clip:
+            value = _clip(value, F.col(f"_low{i}"), F.col(f"_high{i}"))
+        if column in fill:
+            value = F.coalesce(value, F.col(f"_median{i}"))
+        changed[column] = value
+    return known.withColumns(changed).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def outlier_counts_by_group(
     df: DataFrame, columns: Sequence[str], group: str, factor: float = FENCE
 ) -> DataFrame:
     """Values outside the fences per group and column."""
-    fenced = attach(df, _fences(df, columns, [group], factor), [group])
+    fenced = attach(df, quartile_table(df, columns, [group], factor), [group])
     cells = F.array(
         *[
             F.struct(
@@ -271,7 +296,7 @@ def outlier_counts_by_group(
 
 
 def clip_outliers_global(df: DataFrame, columns: Sequence[str], factor: float = FENCE) -> DataFrame:
-    fences = _fences(df, columns, [], factor)
+    fences = quartile_table(df, columns, [], factor)
     fence = fences.select(F.struct(*fences.columns)).scalar()
     return df.withColumns(
         {
@@ -296,8 +321,6 @@ def mode_of(df: DataFrame, column: str) -> Column:
 
 
 def _group_fill(df: DataFrame, column: str, group: str, method: str) -> DataFrame:
-    if method == "median":
-        return exact_quantiles(df, [group], column, [0.5]).select(group, F.col("q0").alias("_fill"))
     known = df.where(F.col(group).isNotNull() & F.col(f"`{column}`").isNotNull())
     if method == "mean":
         return known.groupBy(group).agg(F.avg(F.col(f"`{column}`").cast("double")).alias("_fill"))
@@ -311,10 +334,18 @@ def _group_fill(df: DataFrame, column: str, group: str, method: str) -> DataFram
 
 def impute_by_group(df: DataFrame, column: str, group: str, method: str = "median") -> DataFrame:
     """Fill nulls with their group's statistic, the rest with the median of the filled column."""
+    if method == "median":
+        filled = clip_and_fill_by_group(df, [], [column], group)
+        return fill_rest_with_median(filled, column)
     known = attach(df, _group_fill(df, column, group, method), [group])
     filled = known.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("double"), F.col("_fill"))).drop("_fill")
     filled = filled.select(*[F.col(f"`{c}`") for c in df.columns])
-    return filled.withColumn(column, F.coalesce(F.col(f"`{column}`"), median_of(filled, column)))
+    return fill_rest_with_median(filled, column)
+
+
+def fill_rest_with_median(df: DataFrame, column: str) -> DataFrame:
+    """Fill the nulls of a column with its exact median."""
+    return df.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("double"), median_of(df, column)))
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -341,7 +372,7 @@ def fill_in_order(df: DataFrame, columns: Sequence[str], order_by: str, width: i
     table of one row per range, and the rest happens inside the ranges, which
     hold at most ``width`` rows each.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order_by) / F.lit(width)))
+    ranged = df.withColumn("_range", F.expr(f"`{order_by}` div {int(width)}"))
     known = {c: F.when(F.col(f"`{c}`").isNotNull(), F.col(order_by)) for c in columns}
     ends = ranged.groupBy("_range").agg(
         *[F.max_by(F.col(f"`{c}`"), known[c]).alias(f"_end{i}") for i, c in enumerate(columns)]

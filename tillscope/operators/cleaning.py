@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,9 +151,7 @@ def apply_cleaning(
     outliers, missing = columns_for("handle_outliers"), columns_for("fill_missing")
     if outliers or missing:
         out = written(out, "formatted")
-    if outliers:
-        out = _clip(out, outliers, product)
-    out = _fill(out, {c: types[c] for c in missing}, product, row_id)
+    out = _clip_and_fill(out, outliers, {c: types[c] for c in missing}, product, row_id)
     log = df.sparkSession.createDataFrame(
         [(s["step_id"], s["action"], "applied" if s["step_id"] in wanted else "skipped") for s in plan],
         "step_id string, action string, status string",
@@ -160,27 +159,26 @@ def apply_cleaning(
     return out, log
 
 
-def _clip(df: DataFrame, columns: list[str], product: str | None) -> DataFrame:
-    if product:
-        return clean.clip_outliers_by_group(df, columns, product)
-    return clean.clip_outliers_global(df, columns)
-
-
-def _fill(df: DataFrame, types: Mapping[str, str], product: str | None, row_id: str) -> DataFrame:
-    """Fill each column as its type asks: amounts by median, dates in order, the rest by mode."""
+def _clip_and_fill(
+    df: DataFrame, outliers: list[str], missing: Mapping[str, str], product: str | None, row_id: str
+) -> DataFrame:
+    """Clip outliers, then fill each column as its type asks: revenue by product median,
+    other amounts by median, dates in row order, the rest by mode."""
+    revenue = [c for c, kind in missing.items() if kind == "revenue" and product]
     out = df
-    medians = []
-    for column, kind in types.items():
-        if kind == "revenue" and product:
-            out = clean.impute_by_group(out, column, product)
-        elif kind in AMOUNT_TYPES:
-            medians.append(column)
+    if product:
+        out = clean.clip_and_fill_by_group(out, outliers, revenue, product)
+        for column in revenue:
+            out = clean.fill_rest_with_median(out, column)
+    elif outliers:
+        out = clean.clip_outliers_global(out, outliers)
+    medians = [c for c, kind in missing.items() if kind in AMOUNT_TYPES and c not in revenue]
     if medians:
         out = clean.impute_median(out, medians)
-    modes = [c for c, kind in types.items() if kind not in (*AMOUNT_TYPES, "date")]
+    modes = [c for c, kind in missing.items() if kind not in (*AMOUNT_TYPES, "date")]
     if modes:
         out = clean.impute_mode(out, modes)
-    days = [c for c, kind in types.items() if kind == "date"]
+    days = [c for c, kind in missing.items() if kind == "date"]
     if days:
         out = clean.fill_in_order(out, days, row_id)
     return out
@@ -253,28 +251,39 @@ def _table_entry(counts: DataFrame, issue: str, action: str) -> DataFrame:
     )
 
 
-def clean_sales(df: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Formats, duplicates, invalid values, outliers, missing values, checks.
+@dataclass(frozen=True)
+class Cleaned:
+    """The cleaned rows; the log and the scores are computed when asked for."""
+
+    rows: DataFrame
+    raw: DataFrame
+    deduped: DataFrame
+    types: Mapping[str, str]
+    row_id: str
 
-    Returns the cleaned rows, the issues log and the quality scores. The rows
-    are written once after duplicates are gone: everything later reads that
-    columnar table and only the columns it needs.
+    def issues(self) -> DataFrame:
+        return cleaning_issues(self.raw, self.row_id, self.rows, self.deduped, self.types)
+
+    def quality(self) -> DataFrame:
+        return clean.quality_scores(self.rows.drop(self.row_id), self.issues())
+
+
+def clean_sales(df: DataFrame, row_id: str) -> Cleaned:
+    """Formats, duplicates, invalid values, outliers, missing values.
+
+    The rows are written once after duplicates are gone: everything later reads
+    that columnar table and only the columns it needs.
     """
     types = _typed(df, row_id)
-    by_type = lambda *kinds: [c for c, t in types.items() if t in kinds]
-    product = next(iter(by_type("product")), None)
 
-    formatted = clean.standardize_text(clean.check_dates(df, by_type("date")), by_type(*TEXT_TYPES))
+    def of_type(*kinds: str) -> list[str]:
+        return [c for c, t in types.items() if t in kinds]
+
+    formatted = clean.standardize_text(clean.check_dates(df, of_type("date")), of_type(*TEXT_TYPES))
     deduped = written(clean.drop_duplicates(formatted, row_id), "deduped")
-    out = deduped
-    if by_type("revenue"):
-        out = clean.fix_negative(out, by_type("revenue"))
-    if by_type("rating"):
-        out = clean.clip_rating(out, by_type("rating"))
-    if by_type(*AMOUNT_TYPES):
-        out = _clip(out, by_type(*AMOUNT_TYPES), product)
-    # Quantities, products and identifiers are left as they are here.
-    fillable = {c: t for c, t in types.items() if t in ("revenue", "rating", "categorical", "payment_method", "date")}
-    out = _fill(out, fillable, product, row_id)
-    issues = cleaning_issues(df, row_id, out, deduped, types)
-    return out, issues, clean.quality_scores(out.drop(row_id), issues)
+    out = clean.clip_rating(clean.fix_negative(deduped, of_type("revenue")), of_type("rating"))
+    # Quantities, products and identifiers keep their gaps here.
+    missing = {c: t for c, t in types.items() if t in ("revenue", "rating", "categorical", "payment_method", "date")}
+    product = next(iter(of_type("product")), None)
+    out = _clip_and_fill(out, of_type(*AMOUNT_TYPES), missing, product, row_id)
+    return Cleaned(out, df, deduped, types, row_id)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.text import normalize_name, token_set_ratio
@@ -37,8 +37,9 @@ LOW_MATCH_RATE = 0.3
 def normalize_names(catalogue: DataFrame, table: str = "table", column: str = "column") -> DataFrame:
     """Normalised column names, with how many columns of a table share one."""
     named = catalogue.select(table, column, normalize_name(F.col(column)).alias("normalized"))
-    shared = named.groupBy(table, "normalized").agg(F.count(F.lit(1)).alias("sharing"))
-    return named.join(shared, [table, "normalized"]).select(table, column, "normalized", "sharing")
+    # A table has as many rows here as it has columns.
+    alike = Window.partitionBy(table, "normalized")
+    return named.withColumn("sharing", F.count(F.lit(1)).over(alike))
 
 
 def _mentions(name: Column, terms: Sequence[str]) -> Column:

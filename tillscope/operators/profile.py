@@ -316,8 +316,9 @@ def validate_numeric(df: DataFrame) -> DataFrame:
 
 def validate_dates(df: DataFrame, column: str, order_by: str, examples: int = 5) -> DataFrame:
     """Number of rows whose date does not parse, with the first few as examples."""
-    bad = df.where(dates.parse_timestamp(F.col(column)).isNull())
-    first = bad.orderBy(order_by).limit(examples).select(order_by, F.col(column).alias("value"))
+    parsed = df.select(order_by, F.col(column).cast("string").alias("value"), dates.parse_timestamp(F.col(column)).alias("_d"))
+    bad = parsed.where(F.col("_d").isNull())
+    first = bad.orderBy(order_by).limit(examples).select(order_by, "value")
     shown = first.agg(
         F.array_join(
             F.transform(
@@ -327,7 +328,7 @@ def validate_dates(df: DataFrame, column: str, order_by: str, examples: int = 5)
             ", ",
         )
     ).scalar()
-    total = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(dates.parse_timestamp(F.col(column)).isNull()).alias("invalid"))
+    total = parsed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_d").isNull()).alias("invalid"))
     return total.select("rows", "invalid", (F.col("invalid") == 0).alias("valid"), shown.alias("examples"))
 
 

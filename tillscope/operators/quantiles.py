@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tillscope.operators.lookup import attach
 
 
+# Sub-ranges an enclosure is cut into before anything is sorted.
+PIECES = 256
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -20,16 +24,18 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key: ``n`` non-null values and linearly interpolated ``q0, q1, ...``.
 
+    ``probs`` ascend. Null keys and null values are left out.
+
     1. A mergeable sketch gives, per key, values that enclose each wanted rank.
-    2. A second pass counts the rows outside the enclosures and keeps, as
+    2. A second pass counts the rows between the enclosures and keeps, as
        (value, count), only those inside: about ``4 / accuracy`` of the rows.
-    3. A window over these few cells finds the exact order statistics.
+    3. The enclosures are cut into equal pieces; counts per piece say which
+       pieces hold a wanted rank, and only those are sorted.
 
-    The raw rows are only ever combined map-side, so a key with a third of all
-    rows costs what its rows cost to scan. Null keys and null values are left out.
+    Rows are only ever combined map-side, so a key with a third of all rows
+    costs what its rows cost to scan, and no task sorts more than one piece.
     """
-    keys = list(keys)
-    by = keys or ["_all"]
+    by = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     rows = rows.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     for key in keys:
@@ -41,37 +47,54 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
     )
+    if keys:
+        placed = attach(rows, sketch, by)
+    else:
+        only = sketch.select(F.struct("_n", "_e")).scalar()
+        placed = rows.withColumns({"_n": only.getField("_n"), "_e": only.getField("_e")})
 
-    lows = [F.col("_e")[2 * i] for i in range(len(probs))]
-    highs = [F.col("_e")[2 * i + 1] for i in range(len(probs))]
-    inside = reduce(
-        lambda a, b: a | b, [(F.col("_v") >= lo) & (F.col("_v") <= hi) for lo, hi in zip(lows, highs)]
+    # An enclosure is known by how many enclosures lie wholly below it.
+    below = sum((F.col("_v") > F.col("_e")[2 * i + 1]).cast("int") for i in range(len(probs)))
+    placed = placed.select(*by, "_n", "_v", below.alias("_slot"), "_e").select(
+        *by, "_n", "_v", "_slot", F.get("_e", F.col("_slot") * 2).alias("_low"), F.get("_e", F.col("_slot") * 2 + 1).alias("_high")
     )
-    gap = sum((F.col("_v") > hi).cast("int") for hi in highs)
+    inside = F.coalesce(F.col("_v") >= F.col("_low"), F.lit(False))
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    piece = F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width * PIECES), F.lit(0)).cast("int")
     cells = (
-        attach(rows, sketch, by)
-        .groupBy(*by, "_n", F.when(inside, F.col("_v")).alias("_exact"), F.when(~inside, gap).alias("_gap"))
+        placed.groupBy(
+            *by,
+            "_n",
+            "_slot",
+            F.when(inside, piece).otherwise(-1).alias("_piece"),
+            F.when(inside, F.col("_v")).alias("_exact"),
+        )
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .drop("_exact")
     )
-    order = Window.partitionBy(*by).orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("_end", F.sum("_c").over(order)).withColumn("_start", F.col("_end") - F.col("_c"))
+
+    positions = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    ranks = [rank for position in positions for rank in (F.floor(position), F.ceil(position))]
+    place = [*by, "_n", "_slot", "_piece"]
+    in_order = Window.partitionBy(*by).orderBy("_slot", "_piece").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = cells.groupBy(*place).agg(F.sum("_c").alias("_rows")).withColumn("_end", F.sum("_rows").over(in_order))
+    pieces = pieces.withColumn("_before", F.col("_end") - F.col("_rows"))
+    wanted = reduce(lambda a, b: a | b, [(F.col("_before") <= r) & (r < F.col("_end")) for r in ranks])
+    pieces = pieces.where(wanted).select(*place, "_before")
+
+    sorted_cells = Window.partitionBy(*place).orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.join(pieces, place).withColumn("_until", F.sum("_c").over(sorted_cells) + F.col("_before"))
+    ranked = ranked.withColumn("_from", F.col("_until") - F.col("_c"))
 
     def at_rank(rank):
-        # A rank next to an enclosure is the first or last value of its gap.
-        hit = (F.col("_start") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(hit, F.when(rank == F.col("_start"), F.col("_lo")).otherwise(F.col("_hi"))))
+        # A rank next to an enclosure is the first or last value between two of them.
+        hit = (F.col("_from") <= rank) & (rank < F.col("_until"))
+        return F.max(F.when(hit, F.when(rank == F.col("_from"), F.col("_lo")).otherwise(F.col("_hi"))))
 
-    aggregates = []
+    found = ranked.groupBy(*by, F.col("_n").alias("n")).agg(*[at_rank(r).alias(f"_r{i}") for i, r in enumerate(ranks)])
+    quantiles = []
     for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("_n") - 1)
-        aggregates += [at_rank(F.floor(position)).alias(f"_a{i}"), at_rank(F.ceil(position)).alias(f"_b{i}")]
-    found = ranked.groupBy(*by, F.col("_n").alias("n")).agg(*aggregates)
-    fraction = [F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
-    return found.select(
-        *keys,
-        "n",
-        *[
-            (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * fraction[i]).alias(f"q{i}")
-            for i in range(len(probs))
-        ],
-    )
+        position = F.lit(float(p)) * (F.col("n") - 1)
+        lower, upper = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
+        quantiles.append((lower + (upper - lower) * (position - F.floor(position))).alias(f"q{i}"))
+    return found.select(*keys, "n", *quantiles)

@@ -450,7 +450,7 @@ _CLEANED = f"""{_DEDUPED}, valid as (select * replace (abs(purchase_amount) as p
     f"""with {_CLEANED} select * replace (round(purchase_amount, 6) as purchase_amount, round(quantity, 6) as quantity) from cleaned""",
 )
 def clean_sales(spark, folder):
-    return _rounded(cleaning.clean_sales(_messy(spark, folder), "row_id")[0])
+    return _rounded(cleaning.clean_sales(_messy(spark, folder), "row_id").rows)
 
 
 _ISSUES = f"""{_CLEANED}, usual as (select product_category, median(purchase_amount) as m, stddev_samp(purchase_amount) as sd
@@ -472,7 +472,7 @@ _ISSUES = f"""{_CLEANED}, usual as (select product_category, median(purchase_amo
 
 @query("cleaning_issues", f"with {_ISSUES} select * from issues")
 def cleaning_issues(spark, folder):
-    return cleaning.clean_sales(_messy(spark, folder), "row_id")[1]
+    return cleaning.clean_sales(_messy(spark, folder), "row_id").issues()
 
 
 @query(
@@ -482,4 +482,4 @@ def cleaning_issues(spark, folder):
     {_SCORES}""",
 )
 def clean_sales_quality(spark, folder):
-    return cleaning.clean_sales(_messy(spark, folder), "row_id")[2]
+    return cleaning.clean_sales(_messy(spark, folder), "row_id").quality()
