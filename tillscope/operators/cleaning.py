@@ -233,7 +233,9 @@ def cleaning_issues(raw: DataFrame, row_id: str, cleaned: DataFrame, deduped: Da
     product = [c for c, t in types.items() if t == "product"]
     revenue = [c for c, t in types.items() if t == "revenue"]
     if product and revenue:
-        unusual = clean.unusual_prices(cleaned, revenue[-1], product[-1]).agg(F.sum("unusual").alias("count"))
+        # Two columns, written once, instead of running the whole clean-up per statistic.
+        prices = written(cleaned.select(product[-1], revenue[-1]), "prices")
+        unusual = clean.unusual_prices(prices, revenue[-1], product[-1]).agg(F.sum("unusual").alias("count"))
         log = log.unionByName(
             _table_entry(unusual.where(F.col("count") > 0), "unusual_price_for_product", "reported")
         )

@@ -214,11 +214,11 @@ def trend_direction(spark, folder):
 
 @query(
     "volatility",
-    f"with {series_sql()} select category, kpi, round(average, 2) as average, round(spread, 2) as spread, volatility from facts",
+    f"with {series_sql()} select category, kpi, round(spread / nullif(average, 0), 6) as relative_spread, volatility from facts",
 )
 def volatility(spark, folder):
     out = trend.volatility(monthly_panel(spark, folder), _K)
-    return out.withColumns({"average": F.round("average", 2), "spread": F.round("spread", 2)})
+    return out.select("category", "kpi", F.round(F.try_divide("spread", "average"), 6).alias("relative_spread"), "volatility")
 
 
 CHARTED = tuple(ctes.KPIS)[:6]
