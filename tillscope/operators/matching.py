@@ -170,7 +170,7 @@ def cosine_match(
     id_column: str,
     vector: str,
     threshold: float = COSINE_THRESHOLD,
-    query_block: int = 20_000,
+    query_block: int = 8_000,
     candidate_block: int = 4_000,
 ) -> DataFrame:
     """The most similar candidate of every query by cosine, exactly.
@@ -198,11 +198,15 @@ def cosine_match(
         if q.empty or c.empty:
             return pd.DataFrame({"id": [], "score": [], "candidate": []})
         c = c.sort_values("id")
-        scores = unit(q["v"]) @ unit(c["v"]).T
-        winner = scores.argmax(axis=1)
-        return pd.DataFrame(
-            {"id": q["id"], "score": scores[np.arange(len(q)), winner], "candidate": c["id"].to_numpy()[winner]}
-        )
+        ids, others = c["id"].to_numpy(), unit(c["v"]).T
+        parts = []
+        for start in range(0, len(q), 1024):
+            part = q.iloc[start : start + 1024]
+            scores = unit(part["v"]) @ others
+            winner = scores.argmax(axis=1)
+            best = scores[np.arange(len(part)), winner]
+            parts.append(pd.DataFrame({"id": part["id"], "score": best, "candidate": ids[winner]}))
+        return pd.concat(parts)
 
     best = (
         left.groupBy("qb", "cb")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.operators.lookup import attach
+from tillscope.session import durable
 
 
 # Sub-ranges an enclosure is cut into before anything is sorted.
@@ -61,7 +62,9 @@ def exact_quantiles(
     inside = F.coalesce(F.col("_v") >= F.col("_low"), F.lit(False))
     width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
     piece = F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width * PIECES), F.lit(0)).cast("int")
-    cells = (
+    # Kept in shared storage: a few rows per key, needed twice below, and
+    # otherwise each use would scan the raw rows again.
+    cells = durable(
         placed.groupBy(
             *by,
             "_n",

@@ -45,8 +45,7 @@ def encoding_audit(spark, folder):
     kinds = csv.encoding_audit(spark, path)
     language = F.regexp_extract("file", "folder=([^/]+)/", 1)
     found = kinds.groupBy(language.alias("lang")).agg(F.max("encoding").alias("encoding"))
-    options.pop("header")
-    rows = csv.csv_scan_any(spark, path, "lang string, text string", **options)
+    rows = csv.csv_scan_any(spark, path, "lang string, text string", escape='"')
     counts = rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars")
     )

@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins from measured sizes, splits skewed join
-# partitions and merges small shuffle partitions.
+# partitions and merges small shuffle partitions. Splitting is forced because a
+# join on an order key usually feeds an aggregate on the same key, and Spark would
+# rather keep that partitioning than split a hot order.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

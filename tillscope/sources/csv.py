@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.operators.lookup import attach
+
 # Row bounds of a load.
 MIN_ROWS, MAX_ROWS = 1, 1_000_000
 
@@ -36,39 +38,41 @@ def _undated(kind: T.DataType) -> T.DataType:
     return kind
 
 
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as the bytes they are, with their file; large files are split over tasks."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
 def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
     """The encoding of each file: utf-8 where every byte decodes, else latin1.
 
-    A line break byte never lies inside a UTF-8 character, so lines are checked
-    on their own and large files are split over tasks.
+    A line break byte never lies inside a UTF-8 character, so lines can be
+    checked one by one and a file need not fit into one task.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    valid = F.is_valid_utf8(F.col("value"))
-    return (
-        lines.select(F.col("_metadata.file_path").alias("file"), valid.alias("valid"))
-        .groupBy("file")
-        .agg(F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("valid"))
-        .select("file", "lines", F.when(F.col("valid"), "utf-8").otherwise("latin1").alias("encoding"))
-    )
+    lines = _raw_lines(spark, path).select("file", F.is_valid_utf8("line").alias("valid"))
+    kinds = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("valid"))
+    return kinds.select("file", "lines", F.when(F.col("valid"), "utf-8").otherwise("latin1").alias("encoding"))
 
 
-def csv_scan_any(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
-    """Read a folder of files in mixed encodings: each group with its own encoding.
+def csv_scan_any(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, **options) -> DataFrame:
+    """Rows of CSV files in mixed encodings, each file read in its own.
 
-    The file list on the driver grows with the number of files, as any file scan's does.
+    The file comes first in every row. Records are single lines. Spark's line
+    reader hands over raw bytes, so each line is decoded by what its file's
+    audit found, and no list of files passes through the driver.
     """
-    audit = encoding_audit(spark, path).select("file", "encoding").collect()
-    parts = []
-    for name, java_name in (("utf-8", "UTF-8"), ("latin1", "ISO-8859-1")):
-        files = [r["file"] for r in audit if r["encoding"] == name]
-        if files:
-            parts.append(csv_scan(spark, files, schema, java_name, **options))
-    if not parts:
-        raise LoadError(f"no files under {path}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    audit = encoding_audit(spark, path).select("file", "encoding")
+    lines = attach(_raw_lines(spark, path), audit, ["file"])
+    text = F.when(F.col("encoding") == "utf-8", F.col("line")).otherwise(
+        F.decode(F.col("line").cast("binary"), "ISO-8859-1")
+    )
+    decoded = lines.select("file", text.alias("line"))
+    if header:
+        decoded = decoded.where(F.col("line") != ",".join(schema.fieldNames()))
+    parsed = decoded.select("file", F.from_csv("line", F.lit(schema.toDDL()), options).alias("row"))
+    return parsed.select("file", "row.*")
 
 
 def load_checks(df: DataFrame, name: str, min_rows: int = MIN_ROWS, max_rows: int = MAX_ROWS) -> DataFrame:
