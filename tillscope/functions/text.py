@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def title_case(text: Column) -> Column:
@@ -75,7 +82,7 @@ def token_set_ratio(left: Column, right: Column) -> Column:
     a subset of the other's gives 100.
     """
     words = F.struct(_tokens(left).alias("mine"), _tokens(right).alias("theirs"))
-    return _let(words, _score_words)
+    return let(words, _score_words)
 
 
 def _score_words(words: Column) -> Column:
@@ -85,7 +92,7 @@ def _score_words(words: Column) -> Column:
         F.array_join(F.array_except(mine, theirs), " ").alias("mine"),
         F.array_join(F.array_except(theirs, mine), " ").alias("theirs"),
     )
-    return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), F.lit(0.0)).otherwise(_let(parts, _score_parts))
+    return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), F.lit(0.0)).otherwise(let(parts, _score_parts))
 
 
 def _score_parts(parts: Column) -> Column:
@@ -104,11 +111,6 @@ def _score_parts(parts: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip_markup(text: Column) -> Column:
     """Bold and italic marks to tags, heading marks removed, line breaks to tags."""
     bold = F.regexp_replace(text, r"\*\*([^*]+)\*\*", "<b>$1</b>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.text import strip
+from tillscope.functions.text import let, strip
 
 # Named sections of an analysis text.
 NAMED_SECTIONS = (
@@ -19,8 +19,9 @@ FALLBACK_SENTENCES, FALLBACK_LENGTH = 5, 30
 
 def text_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Headings (lines that start with #) and the text under each; a repeated heading keeps its last text."""
-    # A marker before every heading line cuts the text in one pass.
-    chunks = F.split(F.regexp_replace(F.col(text), r"(?dm)^#", "\u0001"), "\u0001")
+    # A marker for the start of every heading line cuts the text in one pass.
+    marked = F.replace(F.concat(F.lit("\n"), F.col(text)), F.lit("\n#"), F.lit("\u0001"))
+    chunks = F.split(marked, "\u0001")
     pieces = F.transform(
         F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0))),
         lambda piece, i: F.struct(
@@ -52,28 +53,25 @@ def _lines(text: Column) -> Column:
 
 def text_list_items(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Numbered, bulleted and other plain lines, without their markers."""
-    lines = F.filter(_lines(F.col(text)), lambda line: (line != "") & ~line.startswith("#") | F.rlike(line, F.lit(r"^[0-9]+\.\s+.")))
-    item = lambda line: (
-        F.when(F.rlike(line, F.lit(r"^[0-9]+\.\s+.")), F.regexp_replace(line, r"^[0-9]+\.\s+", ""))
-        .when(F.rlike(line, F.lit(r"^[-*•] ")), F.substr(line, F.lit(3)))
-        .otherwise(line)
-    )
-    exploded = docs.select(F.col(key), F.posexplode(F.transform(lines, item)).alias("position", "item"))
-    return exploded
+
+    def item(line: Column) -> Column:
+        unnumbered = F.regexp_replace(line, r"^[0-9]+\.\s+(?=.)", "")
+        bullet = line.startswith("- ") | line.startswith("* ") | line.startswith("• ")
+        return F.when(bullet, F.substr(line, F.lit(3))).when((line != "") & ~line.startswith("#"), unnumbered)
+
+    items = F.array_compact(F.transform(_lines(F.col(text)), item))
+    return docs.select(F.col(key), F.posexplode(items).alias("position", "item"))
 
 
 def text_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Cells of pipe-delimited lines; separator lines and tables under two rows are dropped."""
-    rows = F.filter(
-        _lines(F.col(text)), lambda line: F.contains(line, F.lit("|")) & ~line.startswith("|---")
-    )
-    cells = F.transform(
-        rows,
-        lambda line: F.transform(
-            F.slice(F.split(line, r"\|"), F.lit(2), F.greatest(F.size(F.split(line, r"\|")) - 2, F.lit(0))), strip
-        ),
-    )
-    filled = F.filter(cells, lambda row: F.exists(row, lambda cell: cell != ""))
+    rows = F.filter(_lines(F.col(text)), lambda line: F.contains(line, F.lit("|")) & ~line.startswith("|---"))
+
+    def cells(line: Column) -> Column:
+        inner = let(F.split(line, r"\|"), lambda all_: F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 2, F.lit(0))))
+        return F.transform(inner, strip)
+
+    filled = F.filter(F.transform(rows, cells), lambda row: F.exists(row, lambda cell: cell != ""))
     tables = docs.select(F.col(key), filled.alias("_rows")).where(F.size("_rows") >= 2)
     return tables.select(key, F.posexplode("_rows").alias("row", "cells"))
 
@@ -94,7 +92,8 @@ def named_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Summary paragraphs, insights and recommendations of an analysis text, each numbered in order."""
     marks = "|".join(h for _, headings in NAMED_SECTIONS for h in headings if not h.startswith("##"))
     # A marker before every heading line cuts the text, so nothing is carried from line to line.
-    marked = F.regexp_replace(F.col(text), rf"(?dm)^(?=[^\n]*(##|{marks}))", "\u0001")
+    # The first lookahead passes over lines without a # at once.
+    marked = F.regexp_replace(F.col(text), rf"(?dm)^(?=[^#\n]*+#)(?=[^\n]*(##|{marks}))", "\u0001")
     chunks = F.transform(
         F.split(marked, "\u0001"),
         lambda chunk: F.struct(
@@ -126,7 +125,7 @@ def _section_of(heading: Column) -> Column:
 def _contents(chunks: Column, section: str) -> Column:
     """The entries of one section: plain lines of the summary, list items of the others."""
     numbered = lambda line: F.rlike(line, F.lit(r"^[0-9]+\.\s+\*\*"))
-    bullet = lambda line: F.rlike(line, F.lit(r"^[-*•] "))
+    bullet = lambda line: line.startswith("- ") | line.startswith("* ") | line.startswith("• ")
 
     def entry(line: Column) -> Column:
         if section == "summary":

@@ -12,7 +12,7 @@ from tillscope.sources.tables import table
 # Role -> (table it comes from, expression).
 ROLES = {
     "selling_price": ("part", "cast(p_retailprice as decimal(12,2))"),
-    "quantity": ("lineitem", "cast(l_quantity as decimal(5,0))"),
+    "quantity": ("lineitem", "cast(l_quantity as smallint)"),
     "order_id": ("lineitem", "l_orderkey"),
     "discount_percent": ("lineitem", "cast(l_discount * 100 as decimal(5,2))"),
     "customer_id": ("orders", "o_custkey"),
@@ -23,15 +23,27 @@ ROLES = {
 }
 
 
+# Table -> (its key, the line column that refers to it).
+KEYS = {"orders": ("o_orderkey", "l_orderkey"), "part": ("p_partkey", "l_partkey")}
+
+
 def sales(spark: SparkSession, folder: str, roles: Sequence[str] = tuple(ROLES)) -> DataFrame:
-    """Order lines with the asked roles; tables no role needs are not joined."""
-    tables = {ROLES[r][0] for r in roles}
-    lines = table(spark, folder, "lineitem")
-    if "orders" in tables:
-        lines = lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if "part" in tables:
-        lines = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.select(*[F.expr(ROLES[r][1]).alias(r) for r in roles])
+    """Order lines with the asked roles; tables no role needs are not joined.
+
+    Roles are computed on their own table, so that prices and dates are
+    converted once per part and order and not once per line.
+    """
+
+    def part_of(name: str, keys: Sequence[str]) -> DataFrame:
+        mine = [F.expr(ROLES[r][1]).alias(r) for r in roles if ROLES[r][0] == name]
+        return table(spark, folder, name).select(*[F.col(k) for k in keys], *mine)
+
+    needed = [t for t in KEYS if any(ROLES[r][0] == t for r in roles)]
+    lines = part_of("lineitem", [KEYS[t][1] for t in needed])
+    for name in needed:
+        key, reference = KEYS[name]
+        lines = lines.join(part_of(name, [key]), F.col(reference) == F.col(key))
+    return lines.select(*roles)
 
 
 # Defects by key, written so that every SQL engine reads them alike.
