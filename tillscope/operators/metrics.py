@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.numbers import rounded
 from tillscope.operators.profile import is_numeric
+from tillscope.session import durable
 
 # Role columns of the sales view.
 PRICE, QUANTITY, ORDER = "selling_price", "quantity", "order_id"
@@ -62,49 +63,66 @@ def applicable(columns: Sequence[str], metrics: Sequence[Metric] = METRICS) -> l
 # ---------------------------------------------------------------- scalar metrics
 
 
+def _sums(sales: DataFrame) -> list[Column]:
+    """The sums every scalar metric is made of; roles the table lacks sum to nothing."""
+    have = set(sales.columns)
+
+    def role(name: str) -> Column:
+        return F.col(name) if name in have else F.lit(None).cast("decimal(12,2)")
+
+    return [
+        F.sum(role(PRICE) * role(QUANTITY)).alias("_amount"),
+        F.sum(role(QUANTITY)).alias("_units"),
+        F.sum(role(PRICE)).alias("_price"),
+        F.count(role(PRICE)).alias("_priced"),
+        F.sum(role(DISCOUNT)).alias("_discount"),
+        F.count(role(DISCOUNT)).alias("_discounts"),
+        F.max(F.when(role(DISCOUNT) > 0, 1)).alias("_discounted"),
+    ]
+
+
+def _with_order(sales: DataFrame) -> DataFrame:
+    return sales if ORDER in sales.columns else sales.withColumn(ORDER, F.lit(None).cast("long"))
+
+
 def order_grain(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Partial sums per order.
 
     Both distinct-order metrics become plain counts over this table, so the
     pack needs one narrow shuffle instead of an expanded row per distinct count.
     """
-    have = set(sales.columns)
-    amount = (F.col(PRICE) * F.col(QUANTITY)) if {PRICE, QUANTITY} <= have else F.lit(None).cast("decimal(18,2)")
-    column = lambda name: F.col(name) if name in have else F.lit(None).cast("decimal(18,2)")
-    order = F.col(ORDER) if ORDER in have else F.lit(None).cast("long").alias(ORDER)
-    return sales.groupBy(*by, order).agg(
-        F.sum(amount).alias("_amount"),
-        F.sum(column(QUANTITY)).alias("_units"),
-        F.sum(column(PRICE)).alias("_price"),
-        F.count(column(PRICE)).alias("_priced"),
-        F.sum(column(DISCOUNT)).alias("_discount"),
-        F.count(column(DISCOUNT)).alias("_discounts"),
-        F.max(F.when(column(DISCOUNT) > 0, 1)).alias("_discounted"),
-    )
+    return _with_order(sales).groupBy(*by, ORDER).agg(*_sums(sales))
 
 
-def scalar_metrics(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Wide: one column per scalar metric, one row per ``by``."""
-    orders = F.count(ORDER)
-    total = F.coalesce(F.sum("_amount"), F.lit(0)).cast("double")
+def _totals() -> list[Column]:
+    """The same sums over orders, and the two counts of orders."""
+    return [
+        *[F.sum(c).alias(c) for c in ("_amount", "_units", "_price", "_priced", "_discount", "_discounts")],
+        F.count(ORDER).alias("_orders"),
+        F.count(F.when(F.col("_discounted") == 1, F.col(ORDER))).alias("_discounted_orders"),
+    ]
+
+
+def _scalar_columns(columns: Sequence[str]) -> list[Column]:
+    """The scalar metrics these roles allow, from the totals, rounded to four places."""
+    number = lambda name: F.col(name).cast("double")
+    total = F.coalesce(number("_amount"), F.lit(0.0))
     values = {
         "Total Sales Amount": total,
-        "Total Orders": orders.cast("double"),
-        "Total Units Sold": F.coalesce(F.sum("_units"), F.lit(0)).cast("double"),
-        "Average Order Value": F.try_divide(total, orders.cast("double")),
-        "Average Selling Price per Item": F.try_divide(
-            F.sum("_price").cast("double"), F.sum("_priced").cast("double")
-        ),
-        "Average Discount Percentage": F.try_divide(
-            F.sum("_discount").cast("double"), F.sum("_discounts").cast("double")
-        ),
-        "Discount Utilization Rate": F.try_divide(
-            F.count(F.when(F.col("_discounted") == 1, F.col(ORDER))).cast("double"), orders.cast("double")
-        )
-        * 100,
+        "Total Orders": number("_orders"),
+        "Total Units Sold": F.coalesce(number("_units"), F.lit(0.0)),
+        "Average Order Value": F.try_divide(total, number("_orders")),
+        "Average Selling Price per Item": F.try_divide(number("_price"), number("_priced")),
+        "Average Discount Percentage": F.try_divide(number("_discount"), number("_discounts")),
+        "Discount Utilization Rate": F.try_divide(number("_discounted_orders"), number("_orders")) * 100,
     }
-    names = [n for n in applicable(sales.columns) if n in values]
-    return order_grain(sales, by).groupBy(*by).agg(*[rounded(values[n], 4).alias(n) for n in names])
+    return [rounded(values[n], 4).alias(n) for n in SCALARS if n in applicable(columns)]
+
+
+def scalar_metrics(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Wide: one column per scalar metric, one row per ``by``."""
+    totals = order_grain(sales, by).groupBy(*by).agg(*_totals())
+    return totals.select(*by, *_scalar_columns(sales.columns))
 
 
 def to_long(wide: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -163,65 +181,74 @@ def top_by(sales: DataFrame, dimension: str, by: Sequence[str] = ()) -> DataFram
     return best.select(*by, F.col("category").alias("label"), "value")
 
 
-def category_panel(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """All categorical metrics from one scan: (by, kpi, category, value, label)."""
-    names = applicable(sales.columns)
-    dims = [
-        d
-        for d, kpi in ((CATEGORY, "Sales per Category"), (CHANNEL, "Sales per Channel"), (PRODUCT, "Top-Selling Product"))
-        if kpi in names
-    ]
-    # The grouping sets are partially aggregated before the single shuffle.
-    sets = [[F.col(c) for c in (*by, d)] for d in dims] + [[F.col(c) for c in by]]
-    cells = sales.groupingSets(sets, *by, *dims).agg(
-        F.coalesce(F.sum(F.col(PRICE) * F.col(QUANTITY)), F.lit(0)).cast("double").alias("value"),
-        *[F.grouping(d).alias(f"_g_{d}") for d in dims],
-    )
-    level = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, d) for d in dims], F.lit("_total"))
-    name = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.col(d)) for d in dims])
-    cells = cells.select(*by, level.alias("_level"), name.alias("category"), "value")
-    parts = cells.where((F.col("_level") != "_total") & F.col("category").isNotNull())
-    totals = cells.where(F.col("_level") == "_total").select(*by, F.col("value").alias("_total"))
-    if by:
-        parts = parts.join(totals, list(by), "left")
-    else:
-        parts = parts.withColumn("_total", totals.scalar())
-    order = Window.partitionBy(*by, "_level").orderBy(F.desc("value"), "category")
+def _dimensions(columns: Sequence[str]) -> list[str]:
+    names = applicable(columns)
+    wanted = ((CATEGORY, "Sales per Category"), (CHANNEL, "Sales per Channel"), (PRODUCT, "Top-Selling Product"))
+    return [d for d, kpi in wanted if kpi in names]
+
 
+def _categorical(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All categorical metrics from sales per dimension value (by, _level, category, value, _total)."""
+    none = lambda kind: F.lit(None).cast(kind)
     sums = parts.where(F.col("_level").isin(CATEGORY, CHANNEL)).select(
         *by,
         F.when(F.col("_level") == CATEGORY, "Sales per Category").otherwise("Sales per Channel").alias("kpi"),
         "category",
         "value",
-        F.lit(None).cast("string").alias("label"),
+        none("string").alias("label"),
     )
     shares = parts.where(F.col("_level") == CATEGORY).select(
         *by,
         F.lit("Category Contribution Percentage").alias("kpi"),
         "category",
         (F.try_divide(F.col("value"), F.col("_total")) * 100).alias("value"),
-        F.lit(None).cast("string").alias("label"),
+        none("string").alias("label"),
     )
+    order = Window.partitionBy(*by, "_level").orderBy(F.desc("value"), "category")
     best = parts.where(F.col("_level").isin(CATEGORY, PRODUCT)).withColumn("_r", F.row_number().over(order))
     tops = best.where(F.col("_r") == 1).select(
         *by,
         F.when(F.col("_level") == CATEGORY, "Top-Selling Category").otherwise("Top-Selling Product").alias("kpi"),
-        F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast("double").alias("value"),
+        none("string").alias("category"),
+        none("double").alias("value"),
         F.col("category").alias("label"),
     )
     return sums.unionByName(shares).unionByName(tops)
 
 
+def category_panel(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All categorical metrics from one scan: (by, kpi, category, value, label)."""
+    dims = _dimensions(sales.columns)
+    # The grouping sets are partially aggregated before the single shuffle, and
+    # kept, because the metrics below read them several times.
+    sets = [[F.col(c) for c in (*by, d)] for d in dims] + [[F.col(c) for c in by]]
+    cells = sales.groupingSets(sets, *by, *dims).agg(
+        F.coalesce(F.sum(F.col(PRICE) * F.col(QUANTITY)), F.lit(0)).cast("double").alias("value"),
+        *[F.grouping(d).alias(f"_g_{d}") for d in dims],
+    )
+    level = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, d) for d in dims], F.lit("total"))
+    name = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.col(d)) for d in dims])
+    cells = durable(cells.select(*by, level.alias("_level"), name.alias("category"), "value"))
+    parts = cells.where((F.col("_level") != "total") & F.col("category").isNotNull())
+    totals = cells.where(F.col("_level") == "total").select(*by, F.col("value").alias("_total"))
+    parts = parts.join(totals, list(by), "left") if by else parts.withColumn("_total", totals.scalar())
+    return _categorical(parts, by)
+
+
 def kpi_pack(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every applicable metric as (by, kpi, category, value, label, success, error)."""
+    """Every applicable metric as (by, kpi, category, value, label, success, error).
+
+    Two scans of the columns in use, one for the scalars and one for all the
+    categories: measured on skewed data, one scan with a grouping set per order
+    as well takes a third longer than both.
+    """
     scalars = scalar_panel(sales, by).select(
         *by, "kpi", F.lit(None).cast("string").alias("category"), "value",
         F.lit(None).cast("string").alias("label"), "success", "error",
     )
-    grouped = category_panel(sales, by).withColumns(
-        {"success": F.lit(True), "error": F.lit(None).cast("string")}
-    )
+    if not _dimensions(sales.columns):
+        return scalars
+    grouped = category_panel(sales, by).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
     return scalars.unionByName(grouped)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.text import strip_markup
 from tillscope.operators import panel, report, texts, trend
-from tillscope.operators.metrics import category_panel, sales_by
+from tillscope.operators.metrics import SCALARS, kpi_pack, sales_by
 from tillscope.plans import ctes, views
 from tillscope.plans.queries_metrics import pack_sql
 from tillscope.plans.queries_trend import _BASELINE, _CHARTED_SQL, _RECENT, _SPARK_TEXT, monthly_panel, series_sql
@@ -286,9 +286,10 @@ _REPORT = f"""with {series_sql(())}, {cards_sql(())}, dated_all as (select *, ca
 
 
 def _report(spark, folder):
-    sales = views.sales(spark, folder)
-    months = monthly_panel(spark, folder, ())
-    breakdown = report.category_breakdown(durable(panel.category_panel(sales, "order_date")))
+    # The pack is computed once and feeds cards, trends and breakdowns.
+    pack = durable(kpi_pack(panel.add_period(views.sales(spark, folder), "order_date", "month"), ["period"]))
+    months = pack.where(F.col("kpi").isin(*SCALARS)).select("period", "kpi", "value")
+    breakdown = report.category_breakdown(pack.where(F.col("category").isNotNull()))
     facts = trend.trend_facts(months, kpis=tuple(ctes.KPIS))
     cards = durable(report.kpi_cards(months))
     return report.report_tables(
