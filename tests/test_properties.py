@@ -12,6 +12,7 @@ from tillscope.functions.numbers import rounded
 from tillscope.functions.text import indel_ratio, standardize, title_case, token_set_ratio
 from tillscope.operators import clean, lookup, matching, metrics, panel, quantiles, trend
 from tillscope.plans import views
+from tillscope.sources import csv
 
 PROBS = [0.25, 0.5, 0.75]
 
@@ -219,3 +220,15 @@ def test_formulas_are_refused(spark, formula, error):
     frame = spark.createDataFrame([(1.0, "x")], "v double, s string")
     with pytest.raises(metrics.FormulaError, match=error):
         metrics.formula_column(frame, formula)
+
+
+def test_a_load_needs_rows(spark):
+    with pytest.raises(csv.LoadError):
+        csv.require_rows(spark.range(3), 4)
+    assert csv.require_rows(spark.range(3), 3).count() == 3
+
+
+def test_definitions_as_a_table(spark):
+    rows = {r["kpi"]: r for r in matching.metric_definitions(spark.range(1)).collect()}
+    assert len(rows) == 12
+    assert rows["Average Order Value"]["needs"] == ["Total Sales Amount", "Total Orders"]
