@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from tillscope.functions import dates, text
 from tillscope.functions.numbers import rounded
-from tillscope.operators.lookup import attach
+from tillscope.operators.lookup import attach, join_measured
 from tillscope.operators.profile import is_numeric, is_temporal
-from tillscope.operators.quantiles import exact_quantiles
+from tillscope.operators.quantiles import exact_quantiles, measured_quantiles
 
 # Plausible order years, rating scale, fence width, smallest group with quartiles.
 FIRST_YEAR, LAST_YEAR = 2020, 2025
@@ -220,13 +220,18 @@ def _values_by_column(df: DataFrame, columns: Sequence[str], keep: Sequence[str]
     return df.select(*keep, F.inline(cells))
 
 
-def quartile_table(df: DataFrame, columns: Sequence[str], by: Sequence[str], factor: float = FENCE) -> DataFrame:
-    """Per group one row: the median, and the fences where there are four values, of every column.
+def quartile_table(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], factor: float = FENCE
+) -> tuple[DataFrame, bool]:
+    """Per group one row: the median, and the fences where there are four values, of every column;
+    and whether the groups are few enough to broadcast.
 
     Clipping to the fences does not move a median, so one pass serves both
     outliers and missing values.
     """
-    quartiles = exact_quantiles(_values_by_column(df, columns, by), [*by, "_i"], "_value", [0.25, 0.5, 0.75])
+    quartiles, small = measured_quantiles(
+        _values_by_column(df, columns, by), [*by, "_i"], "_value", [0.25, 0.5, 0.75]
+    )
     reach = F.lit(float(factor)) * (F.col("q2") - F.col("q0"))
     wide = []
     for i in range(len(columns)):
@@ -237,7 +242,7 @@ def quartile_table(df: DataFrame, columns: Sequence[str], by: Sequence[str], fac
             F.max(F.when(mine, F.col("q1"))).alias(f"_median{i}"),
             F.max(F.when(fenced, F.col("q2") + reach)).alias(f"_high{i}"),
         ]
-    return quartiles.groupBy(*by).agg(*wide)
+    return quartiles.groupBy(*by).agg(*wide), small
 
 
 def _clip(cell: Column, low: Column, high: Column) -> Column:
@@ -262,7 +267,8 @@ def clip_and_fill_by_group(
     columns = [c for c in df.columns if c in clip or c in fill]
     if not columns:
         return df
-    known = attach(df, quartile_table(df, columns, [group], factor), [group])
+    quartiles, small = quartile_table(df, columns, [group], factor)
+    known = join_measured(df, quartiles, [group], small)
     changed = {}
     for i, column in enumerate(columns):
         value = F.col(f"`{column}`").cast("double")
@@ -278,7 +284,8 @@ def outlier_counts_by_group(
     df: DataFrame, columns: Sequence[str], group: str, factor: float = FENCE
 ) -> DataFrame:
     """Values outside the fences per group and column."""
-    fenced = attach(df, quartile_table(df, columns, [group], factor), [group])
+    quartiles, small = quartile_table(df, columns, [group], factor)
+    fenced = join_measured(df, quartiles, [group], small)
     cells = F.array(
         *[
             F.struct(
@@ -296,7 +303,7 @@ def outlier_counts_by_group(
 
 
 def clip_outliers_global(df: DataFrame, columns: Sequence[str], factor: float = FENCE) -> DataFrame:
-    fences = quartile_table(df, columns, [], factor)
+    fences, _ = quartile_table(df, columns, [], factor)
     fence = fences.select(F.struct(*fences.columns)).scalar()
     return df.withColumns(
         {
@@ -401,13 +408,14 @@ def fill_in_order(df: DataFrame, columns: Sequence[str], order_by: str, width: i
 def unusual_prices(df: DataFrame, price: str, product: str, deviations: float = 3.0) -> DataFrame:
     """Per product with at least two rows: prices further than 3 sample deviations from its median."""
     rows = df.where(F.col(product).isNotNull())
-    medians = exact_quantiles(rows, [product], price, [0.5]).select(product, F.col("q0").alias("_median"))
+    quantiles, small = measured_quantiles(rows, [product], price, [0.5])
+    medians = quantiles.select(product, F.col("q0").alias("_median"))
     spread = rows.groupBy(product).agg(
         F.count(F.lit(1)).alias("_rows"), F.stddev_samp(F.col(f"`{price}`").cast("double")).alias("_sd")
     )
     stats = spread.where(F.col("_rows") >= 2).join(medians, product)
     far = F.abs(F.col(f"`{price}`").cast("double") - F.col("_median")) > F.lit(deviations) * F.col("_sd")
-    checked = attach(rows.select(product, price), stats, [product])
+    checked = join_measured(rows.select(product, price), stats, [product], small)
     return checked.groupBy(F.col(product).alias("product")).agg(F.count_if(far).alias("unusual"))
 
 

@@ -32,7 +32,12 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salts: int =
     third of the rows is then spread over ``salts`` partitions.
     """
     stats = durable(stats)
-    if fits_broadcast(stats):
+    return join_measured(rows, stats, keys, fits_broadcast(stats), salts)
+
+
+def join_measured(rows: DataFrame, stats: DataFrame, keys: Sequence[str], small: bool, salts: int = 64) -> DataFrame:
+    """The same join where a table with these keys has been measured before."""
+    if small:
         return rows.join(F.broadcast(stats), list(keys), "left")
     return salted_join(rows, stats, keys, salts)
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.operators.lookup import attach
+from tillscope.operators.lookup import fits_broadcast, join_measured
 from tillscope.session import durable
 
 
@@ -23,7 +23,18 @@ def exact_quantiles(
     probs: Sequence[float],
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """One row per key: ``n`` non-null values and linearly interpolated ``q0, q1, ...``.
+    """One row per key: ``n`` non-null values and linearly interpolated ``q0, q1, ...``."""
+    return measured_quantiles(df, keys, value, probs, accuracy)[0]
+
+
+def measured_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    accuracy: int = 10_000,
+) -> tuple[DataFrame, bool]:
+    """Exact quantiles, and whether a table of their keys was found small enough to broadcast.
 
     ``probs`` ascend. Null keys and null values are left out.
 
@@ -48,8 +59,11 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
     )
+    small = True
     if keys:
-        placed = attach(rows, sketch, by)
+        sketch = durable(sketch)
+        small = fits_broadcast(sketch)
+        placed = join_measured(rows, sketch, by, small)
     else:
         only = sketch.select(F.struct("_n", "_e")).scalar()
         placed = rows.withColumns({"_n": only.getField("_n"), "_e": only.getField("_e")})
@@ -100,4 +114,4 @@ def exact_quantiles(
         position = F.lit(float(p)) * (F.col("n") - 1)
         lower, upper = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         quantiles.append((lower + (upper - lower) * (position - F.floor(position))).alias(f"q{i}"))
-    return found.select(*keys, "n", *quantiles)
+    return found.select(*keys, "n", *quantiles), small
