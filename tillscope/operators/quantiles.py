@@ -36,7 +36,7 @@ def measured_quantiles(
 ) -> tuple[DataFrame, bool]:
     """Exact quantiles, and whether a table of their keys was found small enough to broadcast.
 
-    ``probs`` ascend. Null keys and null values are left out.
+    ``probs`` ascend. Null keys, nulls and NaN are left out.
 
     1. A mergeable sketch gives, per key, values that enclose each wanted rank.
     2. A second pass counts the rows between the enclosures and keeps, as
@@ -49,7 +49,8 @@ def measured_quantiles(
     """
     by = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
 
@@ -104,9 +105,16 @@ def measured_quantiles(
     ranked = ranked.withColumn("_from", F.col("_until") - F.col("_c"))
 
     def at_rank(rank):
-        # A rank next to an enclosure is the first or last value between two of them.
+        # A rank next to an enclosure is the first or last value between two of
+        # them; deeper inside, the sketch would have broken its guarantee.
         hit = (F.col("_from") <= rank) & (rank < F.col("_until"))
-        return F.max(F.when(hit, F.when(rank == F.col("_from"), F.col("_lo")).otherwise(F.col("_hi"))))
+        missed = F.raise_error(F.lit("a quantile lies outside its enclosure")).cast("double")
+        value = (
+            F.when(rank == F.col("_from"), F.col("_lo"))
+            .when((rank == F.col("_until") - 1) | (F.col("_lo") == F.col("_hi")), F.col("_hi"))
+            .otherwise(missed)
+        )
+        return F.max(F.when(hit, value))
 
     found = ranked.groupBy(*by, F.col("_n").alias("n")).agg(*[at_rank(r).alias(f"_r{i}") for i, r in enumerate(ranks)])
     quantiles = []
