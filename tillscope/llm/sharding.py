@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tillscope.llm.registry import query
 from tillscope.session import written
 
-ROWS_PER_CELL = 50_000
+ROWS_PER_CELL = 50_000, 256  # at most and at least; between them one cell in `items` parts of all rows
 
 
 def schedule(sizes: list[tuple[str, int]], shards: int) -> dict[str, int]:
@@ -45,8 +45,8 @@ def lpt_shards(
     gaps, ordered by group, then id. An empty table gives no rows. Other columns
     are not read, whatever their names.
 
-    Hot groups: rows are cut into cells of about ``ROWS_PER_CELL`` (by a hash of the
-    id inside a group), cells are counted and summed up, and only a cell is sorted.
+    Hot groups: rows are cut into small cells (by a hash of the id inside a group),
+    cells are counted and summed up, and only a cell is sorted.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     digest = F.md5(text)
@@ -62,7 +62,9 @@ def lpt_shards(
         "shard-rows",
     )
     groups = written(rows.groupBy("_digest", "_bundle").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_n")), "shard-groups")
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
+    totals = groups.agg(F.sum("_bytes").alias("bytes"), F.sum("_n").alias("rows")).first()
+    total = totals["bytes"] or 0
+    per_cell = min(ROWS_PER_CELL[0], max(ROWS_PER_CELL[1], (totals["rows"] or 0) // items))
     large = F.col("_bytes") * F.lit(items) > F.lit(total)
     # At most ``items`` groups exceed total / items, and there are ``items`` bundles: both lists are bounded.
     loads = (
@@ -73,7 +75,7 @@ def lpt_shards(
     placed = schedule([(r["_item"], r["_bytes"]) for r in loads], shards)
     spark = docs.sparkSession
     chosen = spark.createDataFrame(
-        [(r["_item"], placed[r["_item"]], -(-r["_n"] // ROWS_PER_CELL)) for r in loads],
+        [(r["_item"], placed[r["_item"]], -(-r["_n"] // per_cell)) for r in loads],
         "_item string, shard int, _cells long",
     )
     alone = F.broadcast(chosen.select(F.col("_item").alias("_digest"), F.col("shard").alias("_own"), F.col("_cells").alias("_own_cells")))
