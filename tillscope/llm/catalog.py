@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from tillscope.llm import archives, language, packing, quality, secrets, sharding  # noqa: F401
+from tillscope.llm import archives, htmltext, language, packing, quality, secrets, sharding, vectors  # noqa: F401
 from tillscope.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
