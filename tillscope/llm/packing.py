@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm import arrays
 from tillscope.llm.registry import query
+from tillscope.session import written
 
 SEQUENCE = 2048
 DIMENSIONS, BITS = 4, 12
@@ -211,7 +212,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     Equal places are ordered by the id and the tokens, so a hot place is split between
     tasks, and a task that runs again gives the same pieces.
     """
-    rows = tokenized(docs, tokenizer, id_column, text_column)
+    # Written first: finding the ranges reads the rows once, dealing them out reads them again.
+    rows = written(tokenized(docs, tokenizer, id_column, text_column), "token-ids")
     order = ["_key", "_id", F.xxhash64("_ids")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
