@@ -4,20 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import secrets
+from tillscope.llm import decontamination, ngramjoin, packing, quality, secrets
 from tillscope.session import work_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier accepts; it learns from the labelled documents it is given, those held out left aside."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, quality.train(quality.labelled_sample(docs, labels)))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id."""
+    return ngramjoin.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every row stays."""
+    """Secrets are masked in the text; every row stays."""
     return secrets.redact(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("secret_scans", secret_scans)]
+def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in packed sequences."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("curve_packing", curve_packing),
+]
 
 # Classifier training, MinHash, edit distances and packing are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
