@@ -262,21 +262,30 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     columns = docs.columns
-    marked = docs.withColumns({"__digest": F.unhex(F.md5(text)), "__id": F.col(id_column)})
+    digest, key = _unused("digest", columns), _unused("key", columns)
+    marked = docs.withColumns({digest: F.unhex(F.md5(text)), key: F.col(id_column)})
     facts = written(near_classes(docs, id_column, text_column).where("_words"), "near-classes")
-    narrow = marked.select("__digest", "__id")
-    copies = narrow.groupBy("__digest", "__id").agg(F.count(F.lit(1)).alias("__n"))
-    stays = F.col("_kept") & F.col("__id").eqNullSafe(F.col("_first"))
-    judged = written(copies.join(facts, F.col("__digest") == F.col("_digest")).where(~stays | (F.col("__n") > 1)).select("__digest", "__id", stays.alias("__stays")), "surplus")
-    listed = judged.select(F.col("__digest").alias("__d"), F.col("__id").alias("__i"))
-    same = (F.col("__digest") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i"))
+    copies = marked.select(F.col(digest).alias("d"), F.col(key).alias("i")).groupBy("d", "i").agg(F.count(F.lit(1)).alias("n"))
+    stays = F.col("_kept") & F.col("i").eqNullSafe(F.col("_first"))
+    surplus = copies.join(facts, F.col("d") == F.col("_digest")).where(~stays | (F.col("n") > 1))
+    other, other_key = _unused("other", columns), _unused("other_key", columns)
+    judged = written(surplus.select(F.col("d").alias(other), F.col("i").alias(other_key), stays.alias("stays")), "surplus")
+    listed = judged.drop("stays")
+    same = (F.col(digest) == F.col(other)) & F.col(key).eqNullSafe(F.col(other_key))
     rest = marked.join(F.broadcast(listed) if fits_broadcast(listed) else listed, same, "left_anti")
-    repeated = judged.where("__stays").select(F.col("__digest").alias("__d"), F.col("__id").alias("__i"))
+    repeated = judged.where("stays").drop("stays")
     if repeated.limit(1).count():
-        rest = rest.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["__digest", "__id"]))
+        rest = rest.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([digest, key]))
     return rest.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """A column name that no column has, in any case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups and links of all documents."""
