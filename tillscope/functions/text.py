@@ -20,11 +20,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def title_case(text: Column) -> Column:
     """Capitalise the first letter of every run of letters, lower the rest.
 
-    Spark's initcap starts a word after a space only, so a marked space is put
-    between any other sign and a letter and taken out again.
+    Spark's initcap starts a word after a space only, so the text is cut where a
+    letter follows any other sign, and every piece is capitalised by itself.
     """
-    spaced = F.regexp_replace(F.lower(text), r"(?<=[^\p{L} ])(?=\p{L})", "\u0001 ")
-    return F.replace(F.initcap(spaced), F.lit("\u0001 "), F.lit(""))
+    pieces = F.split(F.lower(text), r"(?<=[^\p{L} ])(?=\p{L})")
+    return F.array_join(F.transform(pieces, F.initcap), "")
 
 
 def standardize(text: Column) -> Column:

@@ -279,7 +279,12 @@ def supplement_union(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
 
 
 def latest_by_key(df: DataFrame, key: str, priority: str) -> DataFrame:
-    """One row per key, the one of highest priority; repeated keys combine before the shuffle."""
+    """One row per key, the one of highest priority; repeated keys combine before the shuffle.
+
+    Equal priorities are decided by the other columns in order, largest first, and a
+    null priority is the lowest, so the choice does not depend on partitions.
+    """
     rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(priority)).alias("_row"))
+    ordered = [priority, *[c for c in rest if c != priority]]
+    best = df.groupBy(key).agg(F.max(F.struct(*ordered)).alias("_row"))
     return best.select(key, *[F.col("_row").getField(c).alias(c) for c in rest])

@@ -18,6 +18,7 @@ from tillscope.session import durable
 PRICE, QUANTITY, ORDER = "selling_price", "quantity", "order_id"
 DISCOUNT, CATEGORY, CHANNEL, PRODUCT = "discount_percent", "category", "channel", "product"
 
+# What a failed metric says.
 NOT_CALCULABLE = "Not calculable (missing dependencies or columns)"
 INVALID_VALUE = "Calculation resulted in an invalid value"
 
@@ -188,68 +189,97 @@ def _dimensions(columns: Sequence[str]) -> list[str]:
 
 
 def _categorical(parts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """All categorical metrics from sales per dimension value (by, _level, category, value, _total)."""
+    """All categorical metrics from sales per dimension value (by, _level, _name, value, _total)."""
+    column = dimension_column(by)
     none = lambda kind: F.lit(None).cast(kind)
     sums = parts.where(F.col("_level").isin(CATEGORY, CHANNEL)).select(
         *by,
         F.when(F.col("_level") == CATEGORY, "Sales per Category").otherwise("Sales per Channel").alias("kpi"),
-        "category",
+        F.col("_name").alias(column),
         "value",
         none("string").alias("label"),
     )
     shares = parts.where(F.col("_level") == CATEGORY).select(
         *by,
         F.lit("Category Contribution Percentage").alias("kpi"),
-        "category",
+        F.col("_name").alias(column),
         (F.try_divide(F.col("value"), F.col("_total")) * 100).alias("value"),
         none("string").alias("label"),
     )
-    order = Window.partitionBy(*by, "_level").orderBy(F.desc("value"), "category")
+    order = Window.partitionBy(*by, "_level").orderBy(F.desc("value"), "_name")
     best = parts.where(F.col("_level").isin(CATEGORY, PRODUCT)).withColumn("_r", F.row_number().over(order))
     tops = best.where(F.col("_r") == 1).select(
         *by,
         F.when(F.col("_level") == CATEGORY, "Top-Selling Category").otherwise("Top-Selling Product").alias("kpi"),
-        none("string").alias("category"),
+        none("string").alias(column),
         none("double").alias("value"),
-        F.col("category").alias("label"),
+        F.col("_name").alias("label"),
     )
     return sums.unionByName(shares).unionByName(tops)
 
 
+def dimension_column(by: Sequence[str]) -> str:
+    """Name of the column of dimension values: ``category``, unless that is a key of the panel."""
+    return "dimension_value" if "category" in by else "category"
+
+
 def category_panel(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """All categorical metrics from one scan: (by, kpi, category, value, label)."""
+    """All categorical metrics from one scan: (by, kpi, category, value, label).
+
+    A dimension may also be a key of the panel: it is grouped by under a private
+    name, so that being a key and being a level of the grouping sets stay apart.
+    """
     dims = _dimensions(sales.columns)
+    own = {d: f"_d{i}" for i, d in enumerate(dims)}
+    sales = sales.select(*by, (F.col(PRICE) * F.col(QUANTITY)).alias("_sales"), *[F.col(d).alias(own[d]) for d in dims])
     # The grouping sets are partially aggregated before the single shuffle, and
     # kept, because the metrics below read them several times.
-    sets = [[F.col(c) for c in (*by, d)] for d in dims] + [[F.col(c) for c in by]]
-    cells = sales.groupingSets(sets, *by, *dims).agg(
-        F.coalesce(F.sum(F.col(PRICE) * F.col(QUANTITY)), F.lit(0)).cast("double").alias("value"),
-        *[F.grouping(d).alias(f"_g_{d}") for d in dims],
+    sets = [[F.col(c) for c in (*by, own[d])] for d in dims] + [[F.col(c) for c in by]]
+    cells = sales.groupingSets(sets, *by, *own.values()).agg(
+        F.coalesce(F.sum("_sales"), F.lit(0)).cast("double").alias("value"),
+        *[F.grouping(own[d]).alias(f"_g{own[d]}") for d in dims],
     )
-    level = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, d) for d in dims], F.lit("total"))
-    name = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.col(d)) for d in dims])
-    cells = durable(cells.select(*by, level.alias("_level"), name.alias("category"), "value"))
-    parts = cells.where((F.col("_level") != "total") & F.col("category").isNotNull())
-    totals = cells.where(F.col("_level") == "total").select(*by, F.col("value").alias("_total"))
-    parts = parts.join(totals, list(by), "left") if by else parts.withColumn("_total", totals.scalar())
+    level = F.coalesce(*[F.when(F.col(f"_g{own[d]}") == 0, d) for d in dims], F.lit("total"))
+    name = F.coalesce(*[F.when(F.col(f"_g{own[d]}") == 0, F.col(own[d])) for d in dims])
+    cells = durable(cells.select(*by, level.alias("_level"), name.alias("_name"), "value"))
+    parts = cells.where((F.col("_level") != "total") & F.col("_name").isNotNull())
+    totals = cells.where(F.col("_level") == "total").select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("value").alias("_total"))
+    if by:
+        same = F.lit(True)
+        for key in by:  # a null key is a group of its own and has its own total
+            same = same & F.col(key).eqNullSafe(F.col(f"_t_{key}"))
+        parts = parts.join(totals, same, "left").drop(*[f"_t_{c}" for c in by])
+    else:
+        parts = parts.withColumn("_total", totals.scalar())
     return _categorical(parts, by)
 
 
 def kpi_pack(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every applicable metric as (by, kpi, category, value, label, success, error).
+    """Every metric as (by, kpi, category, value, label, success, error).
+
+    A metric whose roles or dependencies the table lacks is one failed row per group.
 
     Two scans of the columns in use, one for the scalars and one for all the
     categories: measured on skewed data, one scan with a grouping set per order
     as well takes a third longer than both.
     """
-    scalars = scalar_panel(sales, by).select(
-        *by, "kpi", F.lit(None).cast("string").alias("category"), "value",
-        F.lit(None).cast("string").alias("label"), "success", "error",
-    )
+    none = F.lit(None).cast("string")
+    known = applicable(sales.columns)
+    order = ("kpi", dimension_column(by), "value", "label", "success", "error")
+    pack = None
+    if any(n in known for n in SCALARS):
+        pack = scalar_panel(sales, by).withColumns({dimension_column(by): none, "label": none}).select(*by, *order)
+    missing = [m.name for m in METRICS if m.name not in known]
+    if missing:
+        groups = sales.groupBy(*by).agg(F.lit(1).alias("_one")) if by else sales.sparkSession.range(1)
+        failed = groups.select(*by, F.explode(F.array(*[F.lit(n) for n in missing])).alias("kpi")).withColumns(
+            {order[1]: none, "value": F.lit(None).cast("double"), "label": none, "success": F.lit(False), "error": F.lit(NOT_CALCULABLE)}
+        )
+        pack = failed.select(*by, *order) if pack is None else pack.unionByName(failed)
     if not _dimensions(sales.columns):
-        return scalars
+        return pack
     grouped = category_panel(sales, by).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
-    return scalars.unionByName(grouped)
+    return grouped.select(*by, *order) if pack is None else pack.unionByName(grouped)
 
 
 # ---------------------------------------------------------------- generic shapes
@@ -391,9 +421,9 @@ def _formula_node(df: DataFrame, node: ast.expr) -> Column:
             function = name.lower()
             if function in AGGREGATES:
                 if function not in ANY_TYPE and not is_numeric(df.schema[column].dataType):
-                    raise FormulaError(f"Cannot use {function}() on non-numeric column '{column}'")
+                    raise FormulaError(f"{function}() needs a numeric column, {column} is none")
                 return AGGREGATES[function](F.col(f"`{column}`")).cast("double")
-    raise FormulaError("Formula contains disallowed operations")
+    raise FormulaError("Only quoted columns, numbers, + - * / and the listed aggregates may be used")
 
 
 def custom_metrics(df: DataFrame, formulas: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
@@ -421,9 +451,10 @@ def custom_metrics(df: DataFrame, formulas: Mapping[str, str], by: Sequence[str]
     return out
 
 
-def vector_metric(df: DataFrame, formula: str, order_by: str, rows: int = 10) -> DataFrame:
-    """A row-wise formula, cut to its first rows in key order."""
+def vector_metric(df: DataFrame, formula: str, order_by: str, rows: int | None = None) -> DataFrame:
+    """A row-wise formula; with ``rows`` only its first rows in key order."""
     column, aggregates = formula_column(df, formula)
     if aggregates:
         raise FormulaError("Formula gives a single value")
-    return df.select(order_by, column.cast("double").alias("value")).orderBy(order_by).limit(rows)
+    values = df.select(order_by, column.cast("double").alias("value"))
+    return values if rows is None else values.orderBy(order_by).limit(rows)

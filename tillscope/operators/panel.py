@@ -120,10 +120,16 @@ def change_columns(value: Column, previous: Column, kpi: Column) -> dict[str, Co
     }
 
 
-def period_change(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Each period against the one before it in its series."""
+def _previous(keys: Sequence[str], unit: str) -> Column:
+    """The value one week or month before; null where the series has no such period."""
     order = _by_series(keys).orderBy("period")
-    lagged = panel.withColumn("previous", F.lag("value").over(order))
+    before = F.date_sub("period", 7) if unit == "week" else F.add_months("period", -1)
+    return F.when(F.lag("period").over(order) == before, F.lag("value").over(order))
+
+
+def period_change(panel: DataFrame, keys: Sequence[str] = (), unit: str = "month") -> DataFrame:
+    """Each period against the one just before it; a gap has nothing to compare with."""
+    lagged = panel.withColumn("previous", _previous(keys, unit))
     return lagged.withColumns(change_columns(F.col("value"), F.col("previous"), F.col("kpi")))
 
 
@@ -162,9 +168,8 @@ def seasonal_columns(value: Column, previous: Column, month: Column) -> dict[str
 
 
 def seasonal_performance(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Each period's change against the typical change of its month."""
-    order = _by_series(keys).orderBy("period")
-    lagged = panel.withColumn("previous", F.lag("value").over(order)).where(
+    """Each month's change against its typical change from the month before."""
+    lagged = panel.withColumn("previous", _previous(keys, "month")).where(
         F.col("previous").isNotNull() & F.col("value").isNotNull()
     )
     columns = seasonal_columns(F.col("value"), F.col("previous"), F.month("period"))

@@ -338,8 +338,8 @@ def preview(df: DataFrame, order_by: str, rows: int = 5) -> DataFrame:
     return head.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
-def sample_values(df: DataFrame, order_by: str, values: int = 3, columns: int = 10) -> DataFrame:
-    """The first non-null values of the first columns, in row order."""
+def sample_values(df: DataFrame, order_by: str, values: int = 3, columns: int | None = None) -> DataFrame:
+    """The first non-null values of every column (or the first ``columns``), in row order."""
     chosen = df.columns[:columns]
     keyed = df.select(F.col(order_by).alias("_o"), *chosen)
     cells = unpivot_text(keyed, chosen, keep=["_o"]).where(F.col("value").isNotNull())

@@ -13,7 +13,7 @@ from tillscope.operators import trend
 
 TITLE = "Sales Analysis Report"
 # List lengths of the report.
-TOP_ITEMS, TOP_SUMMARY, MAX_INSIGHTS = 10, 5, 3
+TOP_ITEMS, TOP_SUMMARY = 10, 5
 # Breakdowns shown as money when the KPI's name has one of these words.
 MONEY_BREAKDOWN_WORDS = ("revenue", "sales", "amount")
 # Explanation families by name keyword, first hit wins; the fourth needs both lists.
@@ -166,13 +166,13 @@ def top_summary(parts: DataFrame, top: int = TOP_SUMMARY) -> DataFrame:
 
 
 def report_tables(
-    cards: DataFrame, breakdown: DataFrame, facts: DataFrame, texts: DataFrame, shown: int = MAX_INSIGHTS
+    cards: DataFrame, breakdown: DataFrame, facts: DataFrame, texts: DataFrame, shown: int | None = None
 ) -> DataFrame:
     """The report as one long table (section, item, position, content).
 
     ``texts`` has rows (source, section, position, content) with the summary,
-    insights and recommendations of each source text; the last two are cut to
-    ``shown`` entries.
+    insights and recommendations of each source text; ``shown`` keeps the first
+    entries of the last two only.
     """
 
     def rows(df: DataFrame, section: str | Column, item: Column, position: Column, content: Column) -> DataFrame:
@@ -184,7 +184,7 @@ def report_tables(
         )
 
     colon = F.lit(": ")
-    kept = texts.where((F.col("section") == "summary") | (F.col("position") <= shown))
+    kept = texts if shown is None else texts.where((F.col("section") == "summary") | (F.col("position") <= shown))
     families = kpi_family(cards, "kpi")
     return (
         rows(cards.sparkSession.range(1), "title", F.lit("title"), F.lit(1), F.lit(TITLE))

@@ -13,15 +13,14 @@ NAMED_SECTIONS = (
     ("recommendations", ("## Recommendations", "## Recommendation", "# Recommendations")),
     ("insights", ("## Insights", "## Key Insights", "# Key Insights")),
 )
-# Sentences looked at, and the length a sentence must exceed.
-FALLBACK_SENTENCES, FALLBACK_LENGTH = 5, 30
+# Fixed value: the length a sentence must exceed.
+FALLBACK_LENGTH = 30
 
 
 def text_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Headings (lines that start with #) and the text under each; a repeated heading keeps its last text."""
-    # A marker for the start of every heading line cuts the text in one pass.
-    marked = F.replace(F.concat(F.lit("\n"), F.col(text)), F.lit("\n#"), F.lit("\u0001"))
-    chunks = F.split(marked, "\u0001")
+    # The text is cut in front of every heading line; the first piece is what comes before any.
+    chunks = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=#)")
     pieces = F.transform(
         F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0))),
         lambda piece, i: F.struct(
@@ -76,10 +75,12 @@ def text_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     return tables.select(key, F.posexplode("_rows").alias("row", "cells"))
 
 
-def text_summary(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The first paragraph that is not a heading, and the long ones of the first sentences."""
+def text_summary(docs: DataFrame, key: str, text: str, first: int | None = None) -> DataFrame:
+    """The first paragraph that is not a heading, and the long sentences; ``first`` looks at that many sentences only."""
     paragraphs = F.filter(F.split(F.col(text), "\n\n"), lambda p: (strip(p) != "") & ~p.startswith("#"))
-    sentences = F.slice(F.split(F.col(text), r"[.!?]\s+"), 1, FALLBACK_SENTENCES)
+    sentences = F.split(F.col(text), r"[.!?]\s+")
+    if first is not None:
+        sentences = F.slice(sentences, 1, first)
     long = F.filter(sentences, lambda s: (F.length(s) > FALLBACK_LENGTH) & ~s.startswith("#"))
     return docs.select(
         F.col(key),
@@ -91,11 +92,10 @@ def text_summary(docs: DataFrame, key: str, text: str) -> DataFrame:
 def named_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Summary paragraphs, insights and recommendations of an analysis text, each numbered in order."""
     marks = "|".join(h for _, headings in NAMED_SECTIONS for h in headings if not h.startswith("##"))
-    # A marker before every heading line cuts the text, so nothing is carried from line to line.
+    # The text is cut in front of every heading line, so nothing is carried from line to line.
     # The first lookahead passes over lines without a # at once.
-    marked = F.regexp_replace(F.col(text), rf"(?dm)^(?=[^#\n]*+#)(?=[^\n]*(##|{marks}))", "\u0001")
     chunks = F.transform(
-        F.split(marked, "\u0001"),
+        F.split(F.col(text), rf"(?dm)^(?=[^#\n]*+#)(?=[^\n]*(?:##|{marks}))"),
         lambda chunk: F.struct(
             _section_of(F.regexp_extract(chunk, r"^([^\n]*)", 1)).alias("section"),
             _lines(F.regexp_replace(chunk, r"^[^\n]*", "")).alias("lines"),

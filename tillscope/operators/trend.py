@@ -17,9 +17,7 @@ ANOMALY_Z = 2.0
 ANOMALY_POINTS = 3
 UP, DOWN = 1.1, 0.9
 HIGH_VOLATILITY, MODERATE_VOLATILITY = 0.3, 0.1
-MAX_CHARTS = 6
 HOLIDAY_DAYS = 7
-HOLIDAYS_SHOWN = 5
 
 # Shopping calendar as month, day, name, expected impact.
 HOLIDAYS = (
@@ -114,9 +112,9 @@ def volatility(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def trend_facts(
-    panel: DataFrame, keys: Sequence[str] = (), kpis: Sequence[str] | None = None, charts: int = MAX_CHARTS
+    panel: DataFrame, keys: Sequence[str] = (), kpis: Sequence[str] | None = None, charts: int | None = None
 ) -> DataFrame:
-    """Report text per series with at least two points, for the first ``charts`` chosen KPIs."""
+    """Report text per series with at least two points; ``charts`` keeps only the first of the chosen KPIs."""
     if kpis is not None:
         panel = panel.where(F.col("kpi").isin(*kpis[:charts]))
     trend, percent = _direction(F.col("first"), F.col("last"))
@@ -172,10 +170,10 @@ def holidays_near_points(
     panel: DataFrame,
     keys: Sequence[str] = (),
     days: int = HOLIDAY_DAYS,
-    shown: int = HOLIDAYS_SHOWN,
+    shown: int | None = None,
     holidays: DataFrame | None = None,
 ) -> DataFrame:
-    """Holidays inside a series' span and within ``days`` of one of its points, the first few.
+    """Holidays inside a series' span and within ``days`` of one of its points; ``shown`` keeps the first few.
 
     Each holiday is spread over the days around it, which turns the range
     condition into an equality on the date.
@@ -190,11 +188,9 @@ def holidays_near_points(
     near = points.join(around, "period").groupBy(*keys, "kpi", "date", "name", "impact").agg(F.lit(1).alias("one"))
     inside = near.join(ends, [*keys, "kpi"]).where(F.col("date").between(F.col("first"), F.col("last")))
     order = _whole(keys).orderBy("date", "name")
-    return (
-        inside.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= shown)
-        .select(*keys, "kpi", "position", "date", "name", "impact")
-    )
+    numbered = inside.withColumn("position", F.row_number().over(order))
+    kept = numbered if shown is None else numbered.where(F.col("position") <= shown)
+    return kept.select(*keys, "kpi", "position", "date", "name", "impact")
 
 
 # ---------------------------------------------------------------- trend model

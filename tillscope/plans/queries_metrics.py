@@ -190,7 +190,7 @@ def high_value_share(spark, folder):
 # ---------------------------------------------------------------- formulas
 
 _ROWS = """rows as (select o_orderkey as order_id, o_custkey as customer_id, cast(o_totalprice as decimal(18,2)) as revenue,
-    cast(o_totalprice * 0.5 as decimal(18,2)) as cost, o_orderkey % 50 as quantity, o_orderstatus as status,
+    cast(o_totalprice as decimal(18,2)) * 0.5 as cost, o_orderkey % 50 as quantity, o_orderstatus as status,
     case when o_orderkey % 4 = 0 then o_custkey end as conversions, o_orderkey as visitors from orders)"""
 
 
@@ -199,7 +199,7 @@ def _rows(spark, folder):
         "o_orderkey as order_id",
         "o_custkey as customer_id",
         "cast(o_totalprice as decimal(18,2)) as revenue",
-        "cast(o_totalprice * 0.5 as decimal(18,2)) as cost",
+        "cast(o_totalprice as decimal(18,2)) * 0.5 as cost",
         "o_orderkey % 50 as quantity",
         "o_orderstatus as status",
         "case when o_orderkey % 4 = 0 then o_custkey end as conversions",
@@ -228,8 +228,8 @@ FORMULAS = {
     union all select 'spread', cast(max(quantity) - min(quantity) as double), true, null from rows
     union all select 'zero', null, false, '{metrics.INVALID_VALUE}'
     union all select 'unknown', null, false, 'Columns not found: profit'
-    union all select 'text', null, false, 'Cannot use avg() on non-numeric column ''status'''
-    union all select 'call', null, false, 'Formula contains disallowed operations'""",
+    union all select 'text', null, false, 'avg() needs a numeric column, status is none'
+    union all select 'call', null, false, 'Only quoted columns, numbers, + - * / and the listed aggregates may be used'""",
 )
 def custom_metric(spark, folder):
     return metrics.custom_metrics(_rows(spark, folder), FORMULAS).withColumn("value", F.round("value", 4))
@@ -265,7 +265,7 @@ def metric_templates(spark, folder):
 @query(
     "vector_result",
     f"""with {_ROWS} select order_id, round(cast(revenue as double) - cast(cost as double) * 2 / nullif(quantity, 0), 4) as value
-    from rows order by order_id limit 10""",
+    from rows""",
 )
 def vector_result(spark, folder):
     out = metrics.vector_metric(_rows(spark, folder), '"revenue" - "cost" * 2 / "quantity"', "order_id")
@@ -280,9 +280,10 @@ _NO = "null::varchar"
 def pack_sql(by: list[str] = (), source: str = "sales") -> str:
     """Body of the twelve metrics as long rows."""
     keys = "".join(f"{b}, " for b in by)
-    same = " and ".join(f"t.{b} = s.{b}" for b in by) or "true"
+    same = " and ".join(f"t.{b} is not distinct from s.{b}" for b in by) or "true"
     part = "partition by " + ", ".join(by) if by else ""
-    return f"""select {keys}kpi, {_NO} as category, value, {_NO} as label, true as success, {_NO} as error
+    named = "dimension_value" if "category" in by else "category"
+    return f"""select {keys}kpi, {_NO} as {named}, value, {_NO} as label, true as success, {_NO} as error
       from ({ctes.scalars(by, source)})
     union all select {keys}'Sales per Category', category, {_BY}, null, true, null from {source}
       where category is not null group by {keys}category
@@ -312,3 +313,38 @@ def kpi_pack(spark, folder):
 def kpi_pack_monthly(spark, folder):
     sales = views.sales(spark, folder).withColumn("period", period_start(F.col("order_date"), "month"))
     return metrics.kpi_pack(sales, ["period"]).withColumn("value", F.round("value", 6))
+
+
+def _keyed(key):
+    return f"with {_S}, p as ({pack_sql([key])}) select * replace (round(value, 6) as value) from p"
+
+
+@query("kpi_pack_by_category", _keyed("category"))
+def kpi_pack_by_category(spark, folder):
+    """A dimension as the key: its value column then has another name."""
+    return metrics.kpi_pack(views.sales(spark, folder), ["category"]).withColumn("value", F.round("value", 6))
+
+
+_GROUPED = "('Sales per Category', 'Sales per Channel', 'Category Contribution Percentage', 'Top-Selling Category', 'Top-Selling Product')"
+
+
+@query("category_panel_by_channel", f"select channel, kpi, category, value, label from ({_keyed('channel')}) where kpi in {_GROUPED}")
+def category_panel_by_channel(spark, folder):
+    return metrics.category_panel(views.sales(spark, folder), ["channel"]).withColumn("value", F.round("value", 6))
+
+
+_MISSING = [m.name for m in metrics.METRICS if m.name not in metrics.applicable(["order_id", "quantity"])]
+
+
+@query(
+    "kpi_pack_partial",
+    f"""with {_S}, g as (select o_orderpriority as channel, count(distinct l_orderkey) as orders, sum(l_quantity) as units
+      from lineitem join orders on l_orderkey = o_orderkey group by 1)
+    select channel as segment, 'Total Orders' as kpi, {_NO} as category, cast(orders as double) as value, {_NO} as label, true as success, {_NO} as error from g
+    union all select channel, 'Total Units Sold', null, cast(units as double), null, true, null from g
+    union all select channel, unnest([{', '.join(f"'{n}'" for n in _MISSING)}]), null, null, null, false, '{metrics.NOT_CALCULABLE}' from g""",
+)
+def kpi_pack_partial(spark, folder):
+    """Metrics the table cannot give are failed rows of every group."""
+    sales = views.sales(spark, folder, ["order_id", "quantity", "channel"]).withColumnRenamed("channel", "segment")
+    return metrics.kpi_pack(sales, ["segment"])

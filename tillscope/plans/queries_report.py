@@ -9,7 +9,7 @@ from tillscope.operators import panel, report, texts, trend
 from tillscope.operators.metrics import SCALARS, kpi_pack, sales_by
 from tillscope.plans import ctes, views
 from tillscope.plans.queries_metrics import pack_sql
-from tillscope.plans.queries_trend import _BASELINE, _CHARTED_SQL, _RECENT, _SPARK_TEXT, monthly_panel, series_sql
+from tillscope.plans.queries_trend import _BASELINE, _RECENT, _SPARK_TEXT, monthly_panel, series_sql
 from tillscope.plans.registry import query
 from tillscope.session import durable, work_folder
 from tillscope.sources import sinks
@@ -235,7 +235,7 @@ def strip_markup_query(spark, folder):
 @query(
     "text_summary",
     f"""with d as (select doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) as md from documents),
-    s as (select *, list_filter(regexp_split_to_array(md, '[.!?]\\s+')[1:5], lambda x: length(x) > 30 and not starts_with(x, '#')) as long from d)
+    s as (select *, list_filter(regexp_split_to_array(md, '[.!?]\\s+'), lambda x: length(x) > 30 and not starts_with(x, '#')) as long from d)
     select doc_id, {ctes.strip("list_filter(string_split(md, chr(10) || chr(10)), lambda p: " + ctes.strip('p') + " <> '' and not starts_with(p, '#'))[1]")} as summary,
     coalesce(array_to_string(list_transform(long, lambda x: {ctes.strip('x')} || '.'), '~'), '') as sentences from s""",
 )
@@ -281,8 +281,8 @@ _REPORT = f"""with {series_sql(())}, {cards_sql(())}, dated_all as (select *, ca
     union all select 'explanations', {family_sql('kpi')}, 1, min(kpi) from cards group by 2
     union all select 'breakdowns', kpi, rank, name || ': ' || display from breakdown
     union all select 'trends', kpi, 1, trend || ' ' || case when pct = 0 then 'minimal change' else format('{{:+.1f}}%', pct) end || ', ' || volatility
-      from facts where points >= 2 and kpi in ({_CHARTED_SQL})
-    union all select section, doc_id::varchar, position, content from texts where section = 'summary' or position <= 3"""
+      from facts where points >= 2
+    union all select section, doc_id::varchar, position, content from texts"""
 
 
 def _report(spark, folder):

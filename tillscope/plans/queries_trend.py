@@ -123,7 +123,7 @@ _ARROW = "case when change_pct > 2 then '↑' when change_pct < -2 then '↓' wh
 
 @query(
     "period_change",
-    f"""with {_P}, l as (select *, lag(value) over (partition by category, kpi order by period) as previous from panel),
+    f"""with {_P}, l as (select *, case when lag(period) over w = period - interval 1 month then lag(value) over w end as previous from panel window w as (partition by category, kpi order by period)),
     c as ({changes('l')}) select *, {_ARROW} as arrow, case when {_POINTS} then change else change_pct end as reported,
     case when {_POINTS} then 'points' else '%' end as reported_unit from c""",
 )
@@ -149,7 +149,7 @@ _BASELINE = (
 
 @query(
     "seasonal_performance",
-    f"""with {_P}, l as (select *, lag(value) over (partition by category, kpi order by period) as previous from panel),
+    f"""with {_P}, l as (select *, case when lag(period) over w = period - interval 1 month then lag(value) over w end as previous from panel window w as (partition by category, kpi order by period)),
     a as (select *, (value - previous) / previous * 100 as actual, {_BASELINE} as expected from l
       where previous is not null and value is not null)
     select category, kpi, period, case when previous = 0 then 0 else {ctes.rounded('actual', 1)} end as actual_change,
@@ -220,15 +220,13 @@ def volatility(spark, folder):
     return out.select("category", "kpi", F.round(F.try_divide("spread", "average"), 6).alias("relative_spread"), "volatility")
 
 
-CHARTED = tuple(ctes.KPIS)[:6]
-_CHARTED_SQL = ", ".join(f"'{k}'" for k in CHARTED)
 
 
 @query(
     "trend_facts",
     f"""with {series_sql()} select category, kpi, trend, case when pct = 0 then 'minimal change' else format('{{:+.1f}}%', pct) end as change,
     format('{{:,.0f}}', peak) as peak, format('{{:,.0f}}', low) as low, format('{{:,.0f}}', average) as average, volatility, anomalies
-    from facts where points >= 2 and kpi in ({_CHARTED_SQL})""",
+    from facts where points >= 2""",
 )
 def trend_facts(spark, folder):
     return trend.trend_facts(monthly_panel(spark, folder), _K, kpis=tuple(ctes.KPIS))
@@ -275,7 +273,7 @@ def holidays_in_period(spark, folder):
       and date between (select min(period) from panel p where p.category = panel.category and p.kpi = panel.kpi)
       and (select max(period) from panel p where p.category = panel.category and p.kpi = panel.kpi))
     select category, kpi, cast(row_number() over w as int) as position, date, name, impact from near
-    window w as (partition by category, kpi order by date, name) qualify row_number() over w <= 5""",
+    window w as (partition by category, kpi order by date, name)""",
 )
 def holidays_near_points(spark, folder):
     return trend.holidays_near_points(monthly_panel(spark, folder), _K)
