@@ -58,14 +58,14 @@ def test_first_copy_of_a_duplicate_stays(by_id):
 
 
 def test_formats_are_tried_in_order(by_id):
-    assert by_id[1]["date_purchase"] == datetime.date(2023, 7, 6)
-    assert by_id[2]["date_purchase"] == datetime.date(2023, 7, 7)
-    assert by_id[5]["date_purchase"] == datetime.date(2023, 10, 7)
+    assert by_id[1]["date_purchase"] == datetime.datetime(2023, 7, 6)
+    assert by_id[2]["date_purchase"] == datetime.datetime(2023, 7, 7)
+    assert by_id[5]["date_purchase"] == datetime.datetime(2023, 10, 7)
 
 
 def test_bad_dates_take_the_date_before(by_id):
-    assert by_id[10]["date_purchase"] == datetime.date(2023, 7, 12)
-    assert by_id[11]["date_purchase"] == datetime.date(2023, 7, 12)
+    assert by_id[10]["date_purchase"] == datetime.datetime(2023, 7, 12)
+    assert by_id[11]["date_purchase"] == datetime.datetime(2023, 7, 12)
 
 
 def test_text_is_title_case(by_id):
@@ -134,3 +134,22 @@ def test_cleaning_twice_changes_nothing(spark, cleaned):
 def test_completeness_never_falls(raw, cleaned):
     share = lambda df: clean.completeness(df).first()[0]
     assert share(cleaned.rows.drop("row_id")) >= share(raw.drop("row_id"))
+
+
+def test_known_date_shapes_keep_their_time(spark):
+    texts = {
+        "2023-07-05T10:00:00Z": (5, 10, 0), "2023-07-05T10:00:00+02:00": (5, 8, 0), "2023-07-05 14:30:15.123": (5, 14, 30),
+        "2023/07/05 10:00": (5, 10, 0), "07/06/2023 2:30 PM": (6, 14, 30), "Jul 5 2023": (5, 0, 0), "5-Jul-2023": (5, 0, 0),
+        "2023.07.05": (5, 0, 0), "05.07.2023 09:15": (5, 9, 15), "13/07/2023 23:59": (13, 23, 59),
+    }
+    rows = spark.createDataFrame([(t, t) for t in texts], "raw string, day string")
+    for row in clean.parse_dates(rows, ["day"]).collect():
+        day, hour, minute = texts[row["raw"]]
+        assert row["day"].replace(second=0, microsecond=0) == datetime.datetime(2023, 7, day, hour, minute), row["raw"]
+
+
+def test_filled_dates_and_actions(cleaned):
+    filled = {(r["row_id"], r["value"]) for r in cleaned.filled_dates().collect()}
+    assert filled == {(10, "2023/13/07"), (11, "1999-07-14")}
+    actions = {(r["column"], r["action"]): r["cells"] for r in cleaned.actions().collect()}
+    assert actions["date_purchase", "filled"] == 2 and actions["amount_usd", "made_positive"] == 1 and actions["review_rating", "clipped"] == 1

@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 DATE_PATTERNS = (
     "yyyy-M-d['T'H:m[:s]][ H:m[:s]]",
     "M/d/yyyy[ H:m[:s]]",
-    "d/M/yyyy",
-    "yyyy/M/d",
-    "d-M-yyyy",
-    "M-d-yyyy",
+    "d/M/yyyy[ H:m[:s]]",
+    "yyyy/M/d[ H:m[:s]]",
+    "d-M-yyyy[ H:m[:s]]",
+    "M-d-yyyy[ H:m[:s]]",
 )
 
 # Tried after the fixed patterns, for free-form dates.
-FALLBACK_PATTERNS = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd")
+FALLBACK_PATTERNS = (
+    "yyyy-M-d h:m[:s] a", "M/d/yyyy h:m[:s] a", "d/M/yyyy h:m[:s] a", "yyyy/M/d h:m[:s] a",
+    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
+    "yyyy.M.d", "d.M.yyyy[ H:m[:s]]", "yyyyMMdd",
+)
+# A full ISO time with a fraction or a zone, which Spark's own cast reads.
+ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,9})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 
 # What each pattern letter run looks like as a regular expression.
 _SHAPES = {
@@ -32,6 +38,9 @@ _SHAPES = {
     "dd": "(?:0[1-9]|[12][0-9]|3[01])",
     "d": "(?:0?[1-9]|[12][0-9]|3[01])",
     "H": "(?:[01]?[0-9]|2[0-3])",
+    "h": "(?:0?[1-9]|1[0-2])",
+    "a": "[AaPp][Mm]",
+    ".": "[.]",
     "m": "[0-5]?[0-9]",
     "s": "[0-5]?[0-9]",
 }
@@ -52,7 +61,7 @@ COLUMN_FORMATS = (
 
 def _shape(pattern: str) -> str:
     optional = {"[": "(?:", "]": ")?", "'T'": "T"}
-    parts = re.sub(r"'T'|y+|M+|d+|H|m|s|\[|\]", lambda run: (_SHAPES | optional)[run.group()], pattern)
+    parts = re.sub(r"'T'|y+|M+|d+|H|h|m|s|a|[.]|\[|\]", lambda run: (_SHAPES | optional)[run.group()], pattern)
     return f"^{parts}$"
 
 
@@ -67,9 +76,13 @@ def parse_with(text: Column, pattern: str) -> Column:
 
 
 def parse_timestamp(text: Column, patterns: Sequence[str] = DATE_PATTERNS + FALLBACK_PATTERNS) -> Column:
-    """First pattern that parses the trimmed text; NULL if none does."""
+    """First pattern that parses the trimmed text, else an ISO time with fraction or zone; NULL if none does.
+
+    The time of day is kept; a time with a zone becomes the session's.
+    """
     trimmed = F.trim(text.cast("string"))
-    return F.coalesce(*[parse_with(trimmed, p) for p in patterns])
+    iso = F.when(F.rlike(trimmed, F.lit(ISO_TIME)), trimmed.try_cast("timestamp"))
+    return F.coalesce(*[parse_with(trimmed, p) for p in patterns], iso)
 
 
 def parse_date(text: Column, patterns: Sequence[str] = DATE_PATTERNS + FALLBACK_PATTERNS) -> Column:

@@ -13,6 +13,7 @@ from tillscope.functions.numbers import rounded
 from tillscope.operators.lookup import attach, join_measured
 from tillscope.operators.profile import is_numeric, is_temporal
 from tillscope.operators.quantiles import exact_quantiles, measured_quantiles
+from tillscope.session import written
 
 # Plausible order years, rating scale, fence width, smallest group with quartiles.
 FIRST_YEAR, LAST_YEAR = 2020, 2025
@@ -33,11 +34,11 @@ def _kind(df: DataFrame, column: str) -> T.DataType:
 
 def _parsed(df: DataFrame, column: str) -> Column:
     cell = F.col(f"`{column}`")
-    return cell.cast("date") if is_temporal(_kind(df, column)) else dates.parse_date(cell)
+    return cell if is_temporal(_kind(df, column)) else dates.parse_timestamp(cell)
 
 
 def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Dates from mixed formats; typed columns pass through."""
+    """Timestamps from mixed formats, the time of day kept; typed columns pass through."""
     parsed = {c: _parsed(df, c) for c in columns if not is_temporal(_kind(df, c))}
     return df.withColumns(parsed) if parsed else df
 
@@ -68,6 +69,14 @@ def _with_date_issues(df: DataFrame, columns: Sequence[str], first: int, last: i
     return parsed.withColumns(problems)
 
 
+def dates_with_issues(
+    df: DataFrame, column: str, keep: Sequence[str], first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
+) -> DataFrame:
+    """``keep``, the plausible date of each row, and what is wrong with it if there is none."""
+    found = _with_date_issues(df, [column], first_year, last_year, keep)
+    return found.select(*keep, F.when(F.col("_p0").isNull(), F.col("_d0")).alias(column), F.col("_p0").alias("issue"))
+
+
 def date_issues(
     df: DataFrame,
     columns: Sequence[str],
@@ -367,19 +376,52 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def modes_of(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The most frequent value of every column, the smallest on ties, as one record (m0, m1, ...) from one scan.
+
+    Values are counted under their own types: each column has its own slot in the counted rows.
+    """
+    slots = [
+        F.struct(F.lit(i).alias("_i"), *[(F.col(f"`{c}`") if i == j else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{j}") for j, c in enumerate(columns)])
+        for i in range(len(columns))
+    ]
+    cells = df.select(F.inline(F.array(*slots)))
+    values = [f"v{j}" for j in range(len(columns))]
+    known = F.coalesce(*[F.when(F.col(v).isNotNull(), True) for v in values], F.lit(False))
+    counts = cells.where(known).groupBy("_i", *values).agg(F.count(F.lit(1)).alias("_n"))
+    best = [F.min_by(F.col(v), F.when(F.col("_i") == j, F.struct(-F.col("_n"), F.col(v)))).alias(f"m{j}") for j, v in enumerate(values)]
+    return counts.agg(F.struct(*best).alias("s")).scalar()
+
+
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), mode_of(df, c)) for c in columns})
+    modes = modes_of(df, columns)
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), modes.getField(f"m{i}")) for i, c in enumerate(columns)})
+
+
+MAX_RANGES = 100_000
+
+
+def _in_ranges(df: DataFrame, order_by: str, width: int) -> DataFrame:
+    """Rows with ``_range``, the number of the key range each lies in.
+
+    Dense keys are cut every ``width`` keys. Where that would make too many ranges
+    (timestamps in micros, hashed ids), rows are dealt out by sampled key bounds, one
+    range per task, and written, so that the ranges stay what they are.
+    """
+    span = df.agg(F.min(order_by).cast("decimal(38,0)").alias("low"), F.max(order_by).cast("decimal(38,0)").alias("high")).first()
+    if span["low"] is None or (span["high"] - span["low"]) / width < MAX_RANGES:
+        return df.withColumn("_range", F.expr(f"`{order_by}` div {int(width)}"))
+    return written(df.repartitionByRange(F.col(order_by)).withColumn("_range", F.spark_partition_id().cast("long")), "ranges")
 
 
 def fill_in_order(df: DataFrame, columns: Sequence[str], order_by: str, width: int = 1_000_000) -> DataFrame:
     """Carry the last known value forward, then the first known value back.
 
-    ``order_by`` is a unique whole number. Rows are cut into key ranges of
-    ``width``; the last value of each range is carried over the ranges in a
-    table of one row per range, and the rest happens inside the ranges, which
-    hold at most ``width`` rows each.
+    ``order_by`` is a unique whole number. Rows are cut into key ranges; the last
+    value of each range is carried over the ranges in a table of one row per range
+    (``MAX_RANGES`` or the number of tasks at most), and the rest happens inside the ranges.
     """
-    ranged = df.withColumn("_range", F.expr(f"`{order_by}` div {int(width)}"))
+    ranged = _in_ranges(df, order_by, width)
     known = {c: F.when(F.col(f"`{c}`").isNotNull(), F.col(order_by)) for c in columns}
     ends = ranged.groupBy("_range").agg(
         *[F.max_by(F.col(f"`{c}`"), known[c]).alias(f"_end{i}") for i, c in enumerate(columns)]
@@ -415,8 +457,10 @@ def unusual_prices(df: DataFrame, price: str, product: str, deviations: float =
     )
     stats = spread.where(F.col("_rows") >= 2).join(medians, product)
     far = F.abs(F.col(f"`{price}`").cast("double") - F.col("_median")) > F.lit(deviations) * F.col("_sd")
-    checked = join_measured(rows.select(product, price), stats, [product], small)
-    return checked.groupBy(F.col(product).alias("product")).agg(F.count_if(far).alias("unusual"))
+    # Equal prices of a product are one row, so that a hot product spreads over the salts of a large join.
+    prices = rows.groupBy(product, price).agg(F.count(F.lit(1)).alias("_n"))
+    checked = join_measured(prices, stats, [product], small)
+    return checked.groupBy(F.col(product).alias("product")).agg(F.coalesce(F.sum(F.when(far, F.col("_n"))), F.lit(0)).alias("unusual"))
 
 
 def completeness(df: DataFrame) -> DataFrame:

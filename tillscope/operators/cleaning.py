@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,29 +137,53 @@ def apply_cleaning(
     chosen = [s for s in plan if s["step_id"] in wanted]
     product = next((c for c, t in types.items() if t == "product"), None)
 
+    failed: set[str] = set()
+
     def columns_for(action: str) -> list[str]:
         return [c for c in df.columns for s in chosen if s["action"] == action and s["column"] == c]
 
-    out = df
-    if columns := columns_for("parse_date"):
-        out = clean.check_dates(out, columns)
-    if columns := columns_for("standardize_text"):
-        out = clean.standardize_text(out, columns)
+    def attempt(action: str, out: DataFrame, step: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+        """All columns of a step, or, if the step does not fit one of them, each that it fits."""
+        columns = columns_for(action)
+        if not columns:
+            return out
+        try:
+            return step(out, columns)
+        except AnalysisException:
+            for column in columns:
+                try:
+                    out = step(out, [column])
+                except AnalysisException:
+                    failed.add(f"{column}_{action}")
+            return out
+
+    out = attempt("parse_date", df, clean.check_dates)
+    out = attempt("standardize_text", out, clean.standardize_text)
     if any(s["action"] == "remove_duplicates" for s in chosen):
         out = clean.drop_duplicates(out, row_id)
-    if columns := columns_for("fix_negative"):
-        out = clean.fix_negative(out, columns)
-    outliers, missing = columns_for("handle_outliers"), columns_for("fill_missing")
-    if outliers or missing:
+    out = attempt("fix_negative", out, clean.fix_negative)
+    if columns_for("handle_outliers") or columns_for("fill_missing"):
         out = written(out, "formatted")
-    out = _clip_and_fill(out, outliers, {c: types[c] for c in missing}, product, row_id)
+    outliers = [c for c in columns_for("handle_outliers") if _castable(out, c, failed, "handle_outliers")]
+    missing = {c: types[c] for c in columns_for("fill_missing") if types[c] not in AMOUNT_TYPES or _castable(out, c, failed, "fill_missing")}
+    out = _clip_and_fill(out, outliers, missing, product, row_id)
+    status = lambda step: "failed" if step in failed else "applied" if step in wanted else "skipped"
     log = df.sparkSession.createDataFrame(
-        [(s["step_id"], s["action"], "applied" if s["step_id"] in wanted else "skipped") for s in plan],
-        "step_id string, action string, status string",
+        [(s["step_id"], s["action"], status(s["step_id"])) for s in plan], "step_id string, action string, status string"
     )
     return out, log
 
 
+def _castable(df: DataFrame, column: str, failed: set[str], action: str) -> bool:
+    """Whether a column can be read as a number; if not, its step is marked as failed."""
+    try:
+        df.select(F.col(f"`{column}`").cast("double"))
+        return True
+    except AnalysisException:
+        failed.add(f"{column}_{action}")
+        return False
+
+
 def _clip_and_fill(
     df: DataFrame, outliers: list[str], missing: Mapping[str, str], product: str | None, row_id: str
 ) -> DataFrame:
@@ -167,7 +192,8 @@ def _clip_and_fill(
     revenue = [c for c, kind in missing.items() if kind == "revenue" and product]
     out = df
     if product:
-        out = clean.clip_and_fill_by_group(out, outliers, revenue, product)
+        # Written once: the statistics below read single columns of it, not the join again.
+        out = written(clean.clip_and_fill_by_group(out, outliers, revenue, product), "clipped")
         for column in revenue:
             out = clean.fill_rest_with_median(out, column)
     elif outliers:
@@ -266,6 +292,32 @@ class Cleaned:
     def issues(self) -> DataFrame:
         return cleaning_issues(self.raw, self.row_id, self.rows, self.deduped, self.types)
 
+    def filled_dates(self) -> DataFrame:
+        """(row_id, column, value): the raw text of every date that the cleaned rows have from another row."""
+        days = [c for c, t in self.types.items() if t == "date"]
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("_date")) for c in days])
+        gaps = self.deduped.select(self.row_id, F.inline(cells)).where(F.col("_date").isNull()).drop("_date")
+        texts = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"`{c}`").cast("string").alias("value")) for c in days])
+        raw = self.raw.select(F.col(self.row_id).alias("_r"), F.inline(texts))
+        return gaps.join(raw, (F.col(self.row_id) == F.col("_r")) & (F.col("column") == F.col("_c"))).drop("_r", "_c")
+
+    def actions(self) -> DataFrame:
+        """What the clean-up changed: (column, action, cells) with the cells made positive, clipped and filled."""
+        columns = [c for c in self.deduped.columns if c != self.row_id]
+        before = self.deduped.select(F.col(self.row_id).alias("_r"), *[F.col(f"`{c}`").alias(f"_b{i}") for i, c in enumerate(columns)])
+        entries = []
+        for i, column in enumerate(columns):
+            old, new, kind = F.col(f"_b{i}"), F.col(f"`{column}`"), self.types[column]
+            tests = [("filled", old.isNull() & new.isNotNull())]
+            if kind == "revenue":
+                tests.append(("made_positive", old < 0))
+            if kind in AMOUNT_TYPES or kind == "rating":
+                sign = F.abs(old.cast("double")) if kind == "revenue" else old.cast("double")
+                tests.append(("clipped", old.isNotNull() & (sign != new.cast("double"))))
+            entries += [F.struct(F.lit(column).alias("column"), F.lit(a).alias("action"), F.count_if(t).alias("cells")) for a, t in tests]
+        both = self.rows.join(before, F.col(self.row_id) == F.col("_r"))
+        return both.agg(F.array(*entries).alias("_entries")).select(F.inline("_entries")).where(F.col("cells") > 0)
+
     def quality(self) -> DataFrame:
         return clean.quality_scores(self.rows.drop(self.row_id), self.issues())
 

@@ -173,14 +173,16 @@ def cosine_match(
     query_block: int = 8_000,
     candidate_block: int = 4_000,
 ) -> DataFrame:
-    """The most similar candidate of every query by cosine, exactly.
+    """The most similar candidate of every query by cosine, exactly; equals go to the smallest id.
 
     Both sides are hashed into blocks of bounded size; each task multiplies one
     query block by one candidate block and keeps one best candidate per query.
-    A match below the threshold is not accepted but its score is returned.
+    A match below the threshold is not accepted but its score is returned. Queries
+    without a vector, and all queries if there is no candidate, have no match and no score.
     """
     query_blocks = max(1, math.ceil(queries.count() / query_block))
     candidate_blocks = max(1, math.ceil(candidates.count() / candidate_block))
+    kinds = [df.schema[id_column].dataType.simpleString() for df in (queries, candidates)]
     keyed = lambda df: df.where(F.col(vector).isNotNull()).select(
         F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")
     )
@@ -196,7 +198,7 @@ def cosine_match(
 
     def best_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "score": [], "candidate": []})
+            return pd.DataFrame({"id": q["id"].iloc[:0], "score": pd.Series([], dtype=float), "candidate": c["id"].iloc[:0]})
         c = c.sort_values("id")
         ids, others = c["id"].to_numpy(), unit(c["v"]).T
         parts = []
@@ -211,15 +213,12 @@ def cosine_match(
     best = (
         left.groupBy("qb", "cb")
         .cogroup(right.groupBy("qb", "cb"))
-        .applyInPandas(best_in_block, "id long, score double, candidate long")
-    )
-    top = best.groupBy("id").agg(F.max(F.struct("score", (-F.col("candidate")).alias("order"))).alias("top"))
-    score = F.col("top.score")
-    return top.select(
-        F.col("id").alias(id_column),
-        F.when(score >= threshold, -F.col("top.order")).alias("match"),
-        score.alias("score"),
+        .applyInPandas(best_in_block, f"id {kinds[0]}, score double, candidate {kinds[1]}")
     )
+    top = best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("order"), "candidate")).alias("top"))
+    score = -F.col("top.order")
+    matched = top.select("id", F.when(score >= threshold, F.col("top.candidate")).alias("match"), score.alias("score"))
+    return queries.select(F.col(id_column).alias("id")).join(matched, "id", "left").withColumnRenamed("id", id_column)
 
 
 def metric_definitions(df: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFrame:

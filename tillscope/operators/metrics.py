@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.numbers import rounded
+from tillscope.operators.lookup import join_measured
 from tillscope.operators.profile import is_numeric
+from tillscope.operators.quantiles import measured_quantiles
 from tillscope.session import durable
 
 # Role columns of the sales view.
@@ -358,7 +360,7 @@ AGGREGATES = {
     "nunique": F.count_distinct,
     "min": F.min,
     "max": F.max,
-    "median": F.median,
+    "median": lambda column: F.max(column),  # of the group's exact median, attached to its rows before
 }
 ANY_TYPE = ("count", "nunique")
 
@@ -422,12 +424,32 @@ def _formula_node(df: DataFrame, node: ast.expr) -> Column:
             if function in AGGREGATES:
                 if function not in ANY_TYPE and not is_numeric(df.schema[column].dataType):
                     raise FormulaError(f"{function}() needs a numeric column, {column} is none")
-                return AGGREGATES[function](F.col(f"`{column}`")).cast("double")
+                source = F.col(_median_column(column)) if function == "median" else F.col(f"`{column}`")
+                return AGGREGATES[function](source).cast("double")
     raise FormulaError("Only quoted columns, numbers, + - * / and the listed aggregates may be used")
 
 
+def _median_column(column: str) -> str:
+    return f"_median of {column}"
+
+
+def _with_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Attach the exact median of each column's group; no task holds a group. Rows with a null key get none."""
+    for column in columns:
+        medians, small = measured_quantiles(df, by, column, [0.5])
+        if by:
+            stats = medians.select(*by, F.col("q0").alias(_median_column(column)))
+            df = join_measured(df, stats, by, small)
+        else:
+            df = df.withColumn(_median_column(column), medians.select("q0").scalar())
+    return df
+
+
 def custom_metrics(df: DataFrame, formulas: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
     """All formulas in one aggregation; refused ones are rows with their error."""
+    asked = {m for f in formulas.values() for m in re.findall(r"""(?i)median\s*\(\s*(?:"|'|\[\s*['"]?)([^"'\]]+)""", f)}
+    medians = [c for c in df.columns if c in asked and is_numeric(df.schema[c].dataType)]
+    df = _with_medians(df, medians, by)
     accepted, refused = {}, {}
     for name, formula in formulas.items():
         try:

@@ -47,6 +47,16 @@ def measured_quantiles(
     Rows are only ever combined map-side, so a key with a third of all rows
     costs what its rows cost to scan, and no task sorts more than one piece.
     """
+    found, small = _quantiles(df, keys, value, probs, accuracy)
+    # The sketch guarantees its enclosures; should a rank lie outside all the same, wider ones give it.
+    while accuracy > 1 and found.where("_missed").limit(1).count():
+        accuracy //= 16
+        found, small = _quantiles(df, keys, value, probs, max(accuracy, 1))
+    return found.drop("_missed"), small
+
+
+def _quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int) -> tuple[DataFrame, bool]:
+    """The quantiles in shared storage, with ``_missed`` where a rank lay outside its enclosure."""
     by = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
@@ -64,6 +74,8 @@ def measured_quantiles(
     if keys:
         sketch = durable(sketch)
         small = fits_broadcast(sketch)
+        if not small:  # equal rows are one, so that a hot key spreads over the salts of the join
+            rows = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
         placed = join_measured(rows, sketch, by, small)
     else:
         only = sketch.select(F.struct("_n", "_e")).scalar()
@@ -71,8 +83,9 @@ def measured_quantiles(
 
     # An enclosure is known by how many enclosures lie wholly below it.
     below = sum((F.col("_v") > F.col("_e")[2 * i + 1]).cast("int") for i in range(len(probs)))
-    placed = placed.select(*by, "_n", "_v", below.alias("_slot"), "_e").select(
-        *by, "_n", "_v", "_slot", F.get("_e", F.col("_slot") * 2).alias("_low"), F.get("_e", F.col("_slot") * 2 + 1).alias("_high")
+    weight = F.col("_w") if "_w" in placed.columns else F.lit(1).alias("_w")
+    placed = placed.select(*by, "_n", "_v", weight, below.alias("_slot"), "_e").select(
+        *by, "_n", "_v", "_w", "_slot", F.get("_e", F.col("_slot") * 2).alias("_low"), F.get("_e", F.col("_slot") * 2 + 1).alias("_high")
     )
     inside = F.coalesce(F.col("_v") >= F.col("_low"), F.lit(False))
     width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
@@ -87,7 +100,7 @@ def measured_quantiles(
             F.when(inside, piece).otherwise(-1).alias("_piece"),
             F.when(inside, F.col("_v")).alias("_exact"),
         )
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .drop("_exact")
     )
 
@@ -108,11 +121,8 @@ def measured_quantiles(
         # A rank next to an enclosure is the first or last value between two of
         # them; deeper inside, the sketch would have broken its guarantee.
         hit = (F.col("_from") <= rank) & (rank < F.col("_until"))
-        missed = F.raise_error(F.lit("a quantile lies outside its enclosure")).cast("double")
-        value = (
-            F.when(rank == F.col("_from"), F.col("_lo"))
-            .when((rank == F.col("_until") - 1) | (F.col("_lo") == F.col("_hi")), F.col("_hi"))
-            .otherwise(missed)
+        value = F.when(rank == F.col("_from"), F.col("_lo")).when(
+            (rank == F.col("_until") - 1) | (F.col("_lo") == F.col("_hi")), F.col("_hi")
         )
         return F.max(F.when(hit, value))
 
@@ -122,4 +132,7 @@ def measured_quantiles(
         position = F.lit(float(p)) * (F.col("n") - 1)
         lower, upper = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         quantiles.append((lower + (upper - lower) * (position - F.floor(position))).alias(f"q{i}"))
-    return found.select(*keys, "n", *quantiles), small
+    missed = F.lit(False)
+    for i in range(len(ranks)):
+        missed = missed | F.col(f"_r{i}").isNull()
+    return durable(found.select(*keys, "n", *quantiles, missed.alias("_missed"))), small

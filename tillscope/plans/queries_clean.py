@@ -25,7 +25,38 @@ def _messy(spark, folder, *columns):
 
 @query("parse_dates", f"with {_M} select row_id, {_PARSED} as order_date from messy")
 def parse_dates(spark, folder):
-    return clean.parse_dates(_messy(spark, folder, "row_id", "order_date"), ["order_date"])
+    parsed = clean.parse_dates(_messy(spark, folder, "row_id", "order_date"), ["order_date"])
+    return parsed.withColumn("order_date", F.to_date("order_date"))
+
+
+# Ways to write a time: how Spark writes it, and what is left of the time in it.
+_TIME_SHAPES = (
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "date_trunc('second', ts)"),
+    ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "date_trunc('second', ts) - interval 2 hour"),
+    ("yyyy-MM-dd HH:mm:ss.SSS", "date_trunc('second', ts)"),
+    ("yyyy/MM/dd HH:mm", "date_trunc('minute', ts)"),
+    ("MM/dd/yyyy hh:mm a", "date_trunc('minute', ts)"),
+    ("MMM d yyyy", "date_trunc('day', ts)"),
+    ("d-MMM-yyyy", "date_trunc('day', ts)"),
+    ("yyyy.MM.dd", "date_trunc('day', ts)"),
+    ("dd.MM.yyyy HH:mm", "date_trunc('minute', ts)"),
+    ("MMMM d, yyyy", "date_trunc('day', ts)"),
+    ("yyyyMMdd", "date_trunc('day', ts)"),
+    ("yyyy-MM-dd hh:mm:ss a", "date_trunc('second', ts)"),
+)
+
+
+@query(
+    "parse_times",
+    f"""select event_id, strftime(case event_id % {len(_TIME_SHAPES)}
+    {' '.join(f'when {i} then {kept}' for i, (_, kept) in enumerate(_TIME_SHAPES))} end, '%Y-%m-%d %H:%M:%S') as parsed from events""",
+)
+def parse_times(spark, folder):
+    """Times written in a dozen ways, read back with what each way keeps."""
+    shape = F.col("event_id") % len(_TIME_SHAPES)
+    text = F.coalesce(*[F.when(shape == i, F.date_format("ts", pattern)) for i, (pattern, _) in enumerate(_TIME_SHAPES)])
+    rows = table(spark, folder, "events").select("event_id", text.alias("parsed"))
+    return clean.parse_dates(rows, ["parsed"]).withColumn("parsed", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss"))
 
 
 _ISSUE = (
@@ -41,8 +72,7 @@ _ISSUE = (
 )
 def date_range_check(spark, folder):
     rows = _messy(spark, folder, "row_id", "order_date")
-    issues = clean.date_issues(rows, ["order_date"], "row_id").select("row_id", "issue")
-    return clean.check_dates(rows, ["order_date"]).join(issues, "row_id", "left")
+    return clean.dates_with_issues(rows, "order_date", ["row_id"]).withColumn("order_date", F.to_date("order_date"))
 
 
 @query(
@@ -416,7 +446,8 @@ def _applied_sql(outliers: bool) -> str:
 
 
 def _rounded(df):
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in _SIGNED})
+    rounded = {c: F.round(F.col(c).cast("double"), 6) for c in _SIGNED}
+    return df.withColumns({**rounded, "order_date": F.to_date("order_date")})
 
 
 @query("apply_cleaning", _applied_sql(True))
@@ -483,3 +514,30 @@ def cleaning_issues(spark, folder):
 )
 def clean_sales_quality(spark, folder):
     return cleaning.clean_sales(_messy(spark, folder), "row_id").quality()
+
+
+@query(
+    "cleaning_actions",
+    f"""with {_CLEANED}, b as (select c.*, d.purchase_amount as p0, d.quantity as q0, d.review_rating as r0, d.payment_method as m0, d.order_date as d0
+      from cleaned c join deduped d on d.row_id = c.row_id),
+    a as (select 'purchase_amount' as "column", 'filled' as action, count_if(p0 is null and purchase_amount is not null) as cells from b
+      union all select 'purchase_amount', 'made_positive', count_if(p0 < 0) from b
+      union all select 'purchase_amount', 'clipped', count_if(abs(p0) <> purchase_amount) from b
+      union all select 'quantity', 'clipped', count_if(q0 <> quantity) from b
+      union all select 'review_rating', 'filled', count_if(r0 is null and review_rating is not null) from b
+      union all select 'review_rating', 'clipped', count_if(r0 <> review_rating) from b
+      union all select 'payment_method', 'filled', count_if(m0 is null and payment_method is not null) from b
+      union all select 'order_date', 'filled', count_if(d0 is null and order_date is not null) from b)
+    select * from a where cells > 0""",
+)
+def cleaning_actions(spark, folder):
+    return cleaning.clean_sales(_messy(spark, folder), "row_id").actions()
+
+
+@query(
+    "cleaning_filled_dates",
+    f"""with {_DEDUPED} select d.row_id, 'order_date' as "column", m.order_date as value from deduped d join messy m on m.row_id = d.row_id
+    where d.order_date is null""",
+)
+def cleaning_filled_dates(spark, folder):
+    return cleaning.clean_sales(_messy(spark, folder), "row_id").filled_dates()

@@ -31,13 +31,13 @@ def csv_scan(spark, folder):
     "encoding_audit",
     """select lang, case when lang = 'fr' then 'latin1' else 'utf-8' end as encoding, count(*) as rows,
        cast(sum(length(text)) as bigint) as chars
-       from (select lang, regexp_replace(text, '[^ -~À-ÿ]', ' ', 'g') as text from documents) group by lang""",
+       from (select lang, regexp_replace(text, '[^ -~À-ÿ\n]', ' ', 'g') as text from documents) group by lang""",
 )
 def encoding_audit(spark, folder):
     """French texts are written in Latin-1, the rest in UTF-8; the encodings are found again from the bytes."""
     path = work_folder(spark, "encodings")
     docs = table(spark, folder, "documents").select(
-        "lang", F.regexp_replace("text", "[^ -~À-ÿ]", " ").alias("text"), F.col("lang").alias("folder")
+        "lang", F.regexp_replace("text", "[^ -~À-ÿ\\n]", " ").alias("text"), F.col("lang").alias("folder")
     )
     options = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
     for name, part in (("ISO-8859-1", F.col("lang") == "fr"), ("UTF-8", F.col("lang") != "fr")):
@@ -45,13 +45,47 @@ def encoding_audit(spark, folder):
     kinds = csv.encoding_audit(spark, path)
     language = F.regexp_extract("file", "folder=([^/]+)/", 1)
     found = kinds.groupBy(language.alias("lang")).agg(F.max("encoding").alias("encoding"))
-    rows = csv.csv_scan_any(spark, path, "lang string, text string", escape='"')
+    rows = csv.csv_scan_any(
+        spark, path, "lang string, text string", escape='"', multiLine=True, lineSep="\n",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
     counts = rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars")
     )
     return counts.join(found, "lang").select("lang", "encoding", "rows", "chars")
 
 
+@query(
+    "csv_broken_rows",
+    """select 'orders' as "table", count(*) as rows, count_if(o_orderkey % 97 = 0) as corrupt_rows, 'corrupt rows' as status,
+    false as loadable from orders""",
+)
+def csv_broken_rows(spark, folder):
+    """Some prices are no numbers: the scan keeps their rows as text beside nulls, and the check counts them."""
+    path = work_folder(spark, "broken-csv")
+    price = F.when(F.col("o_orderkey") % 97 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    table(spark, folder, "orders").select("o_orderkey", price.alias("price"), "o_orderstatus").write.option("header", True).csv(path)
+    rows = csv.csv_scan(spark, path, "o_orderkey long, price double, o_orderstatus string", corrupt="_corrupt")
+    return csv.load_checks(rows, "orders", corrupt="_corrupt")
+
+
+@query(
+    "csv_split_records",
+    """select count(*) as records, sum(length(text)) as chars, true as open_lines from documents""",
+)
+def csv_split_records(spark, folder):
+    """Texts with line breaks inside quotes: the check finds open lines, and a multi-line scan reads every record whole."""
+    path = work_folder(spark, "multiline-csv")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    opened = csv.split_records(spark, path).agg((F.sum("open_lines") > 0).alias("open")).scalar()
+    rows = csv.csv_scan(
+        spark, path, "doc_id long, text string", escape='"', multiLine=True, lineSep="\n",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    return rows.agg(F.count("doc_id").alias("records"), F.sum(F.length("text")).alias("chars")).withColumn("open_lines", opened)
+
+
 CHECKED = ("region", "customer", "part", "orders", "lineitem", "events", "documents")
 
 

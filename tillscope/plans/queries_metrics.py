@@ -216,6 +216,7 @@ FORMULAS = {
     "unknown": 'sum("profit")',
     "text": 'avg("status")',
     "call": '__import__("status")',
+    "middle": 'median("quantity") + median(["cost"])',
 }
 
 
@@ -226,6 +227,7 @@ FORMULAS = {
     union all select 'margin', round((cast(sum(revenue) as double) - cast(sum(cost) as double)) / cast(sum(revenue) as double) * 100, 4), true, null from rows
     union all select 'customers', cast(count(distinct customer_id) as double), true, null from rows
     union all select 'spread', cast(max(quantity) - min(quantity) as double), true, null from rows
+    union all select 'middle', round(median(quantity) + median(cast(cost as double)), 4), true, null from rows
     union all select 'zero', null, false, '{metrics.INVALID_VALUE}'
     union all select 'unknown', null, false, 'Columns not found: profit'
     union all select 'text', null, false, 'avg() needs a numeric column, status is none'

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillscope.operators.lookup import attach
-
 # Row bounds of a load.
 MIN_ROWS, MAX_ROWS = 1, 1_000_000
 
@@ -17,19 +17,37 @@ class LoadError(ValueError):
 
 
 def csv_scan(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8", **options
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    encoding: str = "UTF-8",
+    corrupt: str | None = None,
+    **options,
 ) -> DataFrame:
     """Rows of CSV files with a header; dates stay text until they are parsed on purpose.
 
     Give a schema at scale: without one the files are read an extra time to infer it.
+    ``corrupt`` names a column for the raw text of rows that do not fit the schema,
+    which ``load_checks`` counts. Records with quoted line breaks need
+    ``multiLine=True``, which reads each file in one task; ``split_records`` finds out.
     """
     reader = spark.read.options(header=True, mode="PERMISSIVE", encoding=encoding, **options)
     if schema is None:
         inferred = reader.option("inferSchema", True).csv(path).schema
         schema = T.StructType([T.StructField(f.name, _undated(f.dataType)) for f in inferred.fields])
+    if corrupt:
+        schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
     return reader.schema(schema).csv(path)
 
 
+def split_records(spark: SparkSession, path: str) -> DataFrame:
+    """Per file its lines and those with an odd number of quotes: more than none calls for ``multiLine``."""
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    return _raw_lines(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(quotes % 2 == 1).alias("open_lines"))
+
+
 def _undated(kind: T.DataType) -> T.DataType:
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return T.StringType()
@@ -56,27 +74,44 @@ def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_scan_any(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, **options) -> DataFrame:
-    """Rows of CSV files in mixed encodings, each file read in its own.
+    """Rows of CSV files in mixed encodings, each file read in its own; the file comes first in every row.
 
-    The file comes first in every row. Records are single lines. Spark's line
-    reader hands over raw bytes, so each line is decoded by what its file's
-    audit found, and no list of files passes through the driver.
+    Headers, blank lines and quotes are the CSV reader's business: a header is the
+    first line of a file and nothing else. The list of files passes through the
+    driver, as it does in every scan.
     """
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    audit = encoding_audit(spark, path).select("file", "encoding")
-    lines = attach(_raw_lines(spark, path), audit, ["file"])
-    text = F.when(F.col("encoding") == "utf-8", F.col("line")).otherwise(
-        F.decode(F.col("line").cast("binary"), "ISO-8859-1")
-    )
-    decoded = lines.select("file", text.alias("line"))
-    if header:
-        decoded = decoded.where(F.col("line") != ",".join(schema.fieldNames()))
-    parsed = decoded.select("file", F.from_csv("line", F.lit(schema.toDDL()), options).alias("row"))
-    return parsed.select("file", "row.*")
-
+    groups: dict[str, list[str]] = {"utf-8": [], "latin1": []}
+    for row in encoding_audit(spark, path).orderBy("file").collect():
+        groups[row["encoding"]].append(unquote(row["file"]))
+    out = spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), *schema.fields]))
+    for encoding, name in (("utf-8", "UTF-8"), ("latin1", "ISO-8859-1")):
+        if groups[encoding]:
+            reader = spark.read.options(**{"header": header, "encoding": name, "mode": "PERMISSIVE", **options}).schema(schema)
+            rows = reader.csv(groups[encoding])
+            out = out.unionByName(rows.select(F.col("_metadata.file_path").alias("file"), *[F.col(f"`{c}`") for c in schema.fieldNames()]))
+    return out
+
+
+def load_checks(
+    df: DataFrame, name: str, min_rows: int = MIN_ROWS, max_rows: int = MAX_ROWS, corrupt: str | None = None
+) -> DataFrame:
+    """Row count against the bounds; too many rows is a warning, not a limit.
 
-def load_checks(df: DataFrame, name: str, min_rows: int = MIN_ROWS, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Row count against the bounds; too many rows is a warning, not a limit."""
+    With the name of the scan's column of corrupt records, their number too; any makes the load fail.
+    """
+    if corrupt:
+        broken = F.count_if(F.col(corrupt).isNotNull())
+        # A cell is only parsed, and found broken, if its column is asked for: so all of them are counted.
+        known = sum((F.count(F.col(f"`{c}`")) for c in df.columns if c != corrupt), F.lit(0))
+        checked = df.agg(F.count(F.lit(1)).alias("rows"), broken.alias("corrupt_rows"), known.alias("_known")).where("_known >= 0")
+        return checked.select(
+            F.lit(name).alias("table"),
+            "rows",
+            "corrupt_rows",
+            F.when(F.col("corrupt_rows") > 0, "corrupt rows").otherwise("ok").alias("status"),
+            ((F.col("rows") >= min_rows) & (F.col("corrupt_rows") == 0)).alias("loadable"),
+        )
     rows = F.col("rows")
     status = (
         F.when(rows == 0, "empty").when(rows < min_rows, "too few rows").when(rows > max_rows, "more rows than usual")
@@ -88,7 +123,7 @@ def load_checks(df: DataFrame, name: str, min_rows: int = MIN_ROWS, max_rows: in
 
 def require_rows(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Fail a load that has too few rows, reading no more than that many."""
-    if len(df.limit(min_rows).collect()) < min_rows:
+    if df.limit(min_rows).count() < min_rows:
         raise LoadError(f"fewer than {min_rows} rows")
     return df
 
