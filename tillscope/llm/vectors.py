@@ -32,10 +32,10 @@ from tillscope.session import written
 
 THRESHOLD = 0.95
 WINDOW = 64
-RECALL = 0.999
+RECALL = 0.99  # of a pair at the threshold alone; components have many pairs above it
 HASHES = 60
 BLOCK_ROWS = 1024
-_DENSITY = 6  # bits lost to clusters: vectors crowd around topics, so windows fill sooner than uniform ones would
+_DENSITY = 4  # bits lost to clusters: vectors crowd around topics, so windows fill sooner than uniform ones would
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray | None]:
@@ -52,21 +52,30 @@ def _matrix(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """_id and _key (a digest of the vector; null if it links with nothing) and the unit vector."""
+    """_id, _key (a digest of the vector; null if it links with nothing) and the components as they were given."""
+    narrow = _width(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _matrix(batch.column(1))
             keys = [None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vectors]
-            units = [None if v is None else _unit(v).tobytes() for v in vectors]
+            units = [None if v is None else v.astype(narrow).tobytes() for v in vectors]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["_id", "_key", "_unit"])
 
     return rows.mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _key binary, _unit binary")
 
 
-def _unit(vector: np.ndarray) -> np.ndarray:
-    scaled = vector / np.abs(vector).max()  # so that squares neither overflow nor vanish
-    return scaled / np.linalg.norm(scaled)
+def _width(rows: DataFrame) -> str:
+    """Single precision where the vectors are given so: sorting then moves half the bytes."""
+    kind = rows.schema["_vector"].dataType
+    return "<f4" if kind.simpleString() == "array<float>" else "<f8"
+
+
+def _unit_rows(raw: list[np.ndarray]) -> np.ndarray:
+    """Vectors of one length as unit rows in double precision."""
+    rows = np.stack(raw).astype(np.float64)
+    rows /= np.abs(rows).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def passes_for(vectors: int, window: int = WINDOW, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
@@ -75,24 +84,24 @@ def passes_for(vectors: int, window: int = WINDOW, recall: float = RECALL, thres
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def _projected(passes: int, first: int):
+def _projected(passes: int, width: str):
     """Adds _pass and _place (the concatenated hashes as one number) to the rows of a task, one row per pass."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, np.ndarray] = {}
         weights = (np.int64(1) << np.arange(HASHES - 1, -1, -1)).astype(np.int64)
         for batch in batches:
-            units = [np.frombuffer(u, np.float64) for u in batch.column(1).to_pylist()]
+            units = [np.frombuffer(u, width) for u in batch.column(1).to_pylist()]
             places = np.zeros((len(units), passes), np.int64)
             for size in {len(u) for u in units}:
                 if size not in drawn:
-                    drawn[size] = np.random.default_rng([size, first]).standard_normal((size, passes * HASHES)).astype(np.float32)
+                    drawn[size] = np.random.default_rng([size, 0]).standard_normal((size, passes * HASHES)).astype(np.float32)
                 own = [i for i, u in enumerate(units) if len(u) == size]
-                signs = (np.stack([units[i] for i in own]).astype(np.float32) @ drawn[size]) > 0
+                signs = (_unit_rows([units[i] for i in own]).astype(np.float32) @ drawn[size]) > 0
                 places[own] = signs.reshape(len(own), passes, HASHES).astype(np.int64) @ weights
             for number in range(passes):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(np.full(len(units), number + first, np.int32)), pa.array(places[:, number])], names=["_key", "_unit", "_pass", "_place"]
+                    [batch.column(0), batch.column(1), pa.array(np.full(len(units), number, np.int32)), pa.array(places[:, number])], names=["_key", "_unit", "_pass", "_place"]
                 )
 
     return work
@@ -104,7 +113,7 @@ def _close(units: list[np.ndarray], passes: np.ndarray, window: int, fresh: int)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for size in np.unique(lengths):
         own = np.flatnonzero(lengths == size)
-        held = np.stack([units[i] for i in own])
+        held = _unit_rows([units[i] for i in own])
         step = max(window, 128)
         for at in range(0, len(own), step):
             stop = min(len(own), at + step)
@@ -120,7 +129,7 @@ def _close(units: list[np.ndarray], passes: np.ndarray, window: int, fresh: int)
 _EDGES = "kind string, part int, place int, _key binary, _unit binary, _pass int, other binary"
 
 
-def _windows(window: int):
+def _windows(window: int, width: str):
     """Links inside a task's sorted rows (kind link: _key, other), and its first and last rows (head, tail) for the seams between tasks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +147,7 @@ def _windows(window: int):
                 piece = batch.slice(at, 4096)
                 old = len(keys)
                 keys = keys + piece.column(0).to_pylist()
-                units = units + [np.frombuffer(u, np.float64) for u in piece.column(1).to_pylist()]
+                units = units + [np.frombuffer(u, width) for u in piece.column(1).to_pylist()]
                 passes = np.concatenate((passes, piece.column(2).to_numpy()))
                 if seen < window:
                     yield rows("head", range(old, min(len(keys), old + window - seen)))
@@ -184,13 +193,13 @@ def _link_rows(ones: list, others: list) -> pa.RecordBatch:
     )
 
 
-def _seam(window: int):
+def _seam(window: int, width: str):
     """Links across one seam: the last rows of a task against the first of the next."""
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([("kind", "descending"), ("place", "ascending")])  # the tail, then the head
         keys = table["_key"].to_pylist()
-        units = [np.frombuffer(u, np.float64) for u in table["_unit"].to_pylist()]
+        units = [np.frombuffer(u, width) for u in table["_unit"].to_pylist()]
         tails = pc.sum(pc.equal(table["kind"], "tail")).as_py() or 0
         left, right = _close(units, table["_pass"].to_numpy(), window, tails)
         across = left < tails
@@ -199,11 +208,11 @@ def _seam(window: int):
     return work
 
 
-def projection_links(classes: DataFrame, passes: int, window: int = WINDOW) -> DataFrame:
-    """Edges (a, b) that tie vectors (_key, _unit) found within a window of some pass; all rows are sorted by pass and key at once."""
-    spread = classes.mapInArrow(_projected(passes, 0), "_key binary, _unit binary, _pass int, _place long")
+def projection_links(classes: DataFrame, passes: int, width: str, window: int = WINDOW) -> DataFrame:
+    """Edges (a, b) that tie vectors (_key, _unit: its components) found within a window of some pass; all rows are sorted by pass and key at once."""
+    spread = classes.mapInArrow(_projected(passes, width), "_key binary, _unit binary, _pass int, _place long")
     order = ["_pass", "_place", "_key"]
-    found = written(spread.repartitionByRange(*order).sortWithinPartitions(*order).select("_key", "_unit", "_pass").mapInArrow(_windows(window), _EDGES), "projection-windows")
+    found = written(spread.repartitionByRange(*order).sortWithinPartitions(*order).select("_key", "_unit", "_pass").mapInArrow(_windows(window, width), _EDGES), "projection-windows")
     inside = found.where("kind = 'link'").select(F.col("_key").alias("a"), F.col("other").alias("b"))
     # Tasks without rows leave holes in the numbering; the list of the others is bounded by the number of tasks.
     parts = sorted(r[0] for r in found.where("kind = 'tail'").select("part").distinct().collect())
@@ -214,12 +223,12 @@ def projection_links(classes: DataFrame, passes: int, window: int = WINDOW) -> D
     ends = found.where("kind = 'tail'").withColumn("_seam", next_of[F.col("part")])
     starts = found.where("kind = 'head'").withColumn("_seam", F.col("part"))
     seams = ends.unionByName(starts).where("_seam is not null").select("_seam", "kind", "place", "_key", "_unit", "_pass")
-    return inside.unionByName(seams.groupBy("_seam").applyInArrow(_seam(window), "a binary, b binary"))
+    return inside.unionByName(seams.groupBy("_seam").applyInArrow(_seam(window, width), "a binary, b binary"))
 
 
-def _count_links(table: pa.Table) -> pa.Table:
+def _count_links(table: pa.Table, width: str) -> pa.Table:
     """Links of each row of a group with the other rows of its component there, weighted by copies."""
-    units = [np.frombuffer(u, np.float64) for u in table["_unit"].to_pylist()]
+    units = [np.frombuffer(u, width) for u in table["_unit"].to_pylist()]
     copies = table["_copies"].to_numpy().astype(np.int64)
     found = np.zeros(len(units), np.int64)
     blocks, one, two = (table[c].to_numpy() for c in ("_block", "_one", "_two"))
@@ -227,7 +236,7 @@ def _count_links(table: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             continue
         # All vectors of a component have one length: only such are ever linked.
-        near = np.stack([units[i] for i in left]) @ np.stack([units[i] for i in right]).T >= THRESHOLD
+        near = _unit_rows([units[i] for i in left]) @ _unit_rows([units[i] for i in right]).T >= THRESHOLD
         if same:
             np.fill_diagonal(near, False)
             found[left] += near @ copies[right]
@@ -250,10 +259,10 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     classes = written(
         held.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_copies"), F.first("_unit").alias("_unit")), "vector-classes"
     )
-    passes = passes_for(classes.count())
-    members = written(links.components(projection_links(classes.select("_key", "_unit"), passes)), "vector-components")
+    passes, width = passes_for(classes.count()), _width(rows)
+    members = written(links.components(projection_links(classes.select("_key", "_unit"), passes, width)), "vector-components")
     blocks = links.in_blocks(members.join(classes, members["node"] == classes["_key"]).select("root", "node", "_unit", "_copies"), BLOCK_ROWS)
-    counted = blocks.groupBy("_group").applyInArrow(_count_links, "node binary, links long").groupBy("node").agg(F.sum("links").alias("_links"))
+    counted = blocks.groupBy("_group").applyInArrow(lambda table: _count_links(table, width), "node binary, links long").groupBy("node").agg(F.sum("links").alias("_links"))
     leasts = members.join(classes, members["node"] == classes["_key"]).groupBy("root").agg(F.min("_least").alias("_component"))
     tied = members.join(leasts, "root").join(counted, "node").select(F.col("node").alias("_key"), "_component", "_links")
     facts = classes.select("_key", "_least", "_copies").join(tied, "_key", "left").select(
