@@ -34,7 +34,7 @@ THRESHOLD = 0.95
 WINDOW = 64
 RECALL = 0.99  # of a pair at the threshold alone; components have many pairs above it
 HASHES = 60
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 _DENSITY = 4  # bits lost to clusters: vectors crowd around topics, so windows fill sooner than uniform ones would
 
 
@@ -270,6 +270,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
         (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"),
         F.coalesce("_component", "_least").alias("_component"),
     )
+    facts = written(facts, "vector-facts")  # so that the join below can split a hot key
     component = F.coalesce("_component", "_id")
     return (
         held.select("_id", "_key")
