@@ -23,7 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: every node ties its larger neighbours, then its smaller ones,
     to the smallest it knows. The number of rounds grows with the logarithm of the
     longest chain. Each round is written to shared storage, so lineage stays short and
-    a lost executor costs one round. Edges with a null end and loops are no edges.
+    a lost executor costs one round; what the rows are joined with is written too, for
+    Spark splits the rows of a hot node only where a plain shuffle meets a plain
+    shuffle. Edges with a null end and loops are no edges.
     """
     edges = edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
     edges = written(edges.where("a > b").distinct(), "links")  # a is the larger end from here on
@@ -31,9 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _checksum(edges)) != before:
         before = now
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        larger = both.where("v > u").join(smallest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        nearest = larger.groupBy("a").agg(F.min("b").alias("m"))
+        smallest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "smallest")
+        larger = written(both.where("v > u").join(smallest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        nearest = written(larger.groupBy("a").agg(F.min("b").alias("m")), "smallest")
         smaller = larger.join(nearest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(smaller.unionByName(nearest.select("a", F.col("m").alias("b"))).where("a > b").distinct(), "links")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
