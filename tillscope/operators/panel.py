@@ -62,12 +62,15 @@ def add_period(df: DataFrame, when: str, unit: str | None = None) -> DataFrame:
     return df.where(F.col(when).isNotNull()).withColumn("period", period)
 
 
-def kpi_panel(sales: DataFrame, when: str, unit: str = "month", keys: Sequence[str] = ()) -> DataFrame:
-    """Every scalar metric per series and period, from one aggregation."""
+def kpi_panel(sales: DataFrame, when: str, unit: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Every scalar metric per series and period, from one aggregation.
+
+    Without a unit the span of the dates decides between weeks and months, which takes a scan of them.
+    """
     return metrics.scalar_panel(add_period(sales, when, unit), [*keys, "period"])
 
 
-def category_panel(sales: DataFrame, when: str, unit: str = "month", keys: Sequence[str] = ()) -> DataFrame:
+def category_panel(sales: DataFrame, when: str, unit: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Every categorical metric per series and period."""
     return metrics.category_panel(add_period(sales, when, unit), [*keys, "period"])
 

@@ -82,6 +82,24 @@ def kpi_cards(panel: DataFrame, keys: Sequence[str] = (), kpis: Sequence[str] |
     return cards.join(sparks, same, "left").drop("_s_kpi", *[f"_s_{k}" for k in keys])
 
 
+def label_cards(categories: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One card per series and metric whose value is a name: the latest period's, and the one before if it differs."""
+    periods = categories.groupBy("period").agg(F.lit(1).alias("_one")).orderBy(F.desc("period")).limit(2)
+    pair = periods.agg(F.struct(F.max("period").alias("latest"), F.min("period").alias("prior")).alias("p")).scalar()
+    latest, prior = pair.getField("latest"), pair.getField("prior")
+    labels = categories.where(F.col("label").isNotNull() & (F.col("period") >= prior)).groupBy(*keys, "kpi").agg(
+        F.max(F.when(F.col("period") == latest, F.col("label"))).alias("label"),
+        F.max(F.when((F.col("period") == prior) & (prior < latest), F.col("label"))).alias("previous"),
+    )
+    was = F.when(F.col("label") != F.col("previous"), F.concat(F.lit(" (was "), F.col("previous"), F.lit(")"))).otherwise("")
+    return labels.select(
+        *keys,
+        "kpi",
+        F.coalesce("label", F.lit("N/A")).alias("display"),
+        F.concat(F.lit("Period: "), F.date_format(latest, "yyyy-MM"), F.coalesce(was, F.lit(""))).alias("description"),
+    )
+
+
 def kpi_family(names: DataFrame, column: str, custom: str | None = None) -> DataFrame:
     """Explanation family per distinct name; a name no rule fits is its own family."""
     rows = names.where(~F.col(custom)) if custom else names

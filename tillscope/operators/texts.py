@@ -78,19 +78,26 @@ def text_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
 def text_summary(docs: DataFrame, key: str, text: str, first: int | None = None) -> DataFrame:
     """The first paragraph that is not a heading, and the long sentences; ``first`` looks at that many sentences only."""
     paragraphs = F.filter(F.split(F.col(text), "\n\n"), lambda p: (strip(p) != "") & ~p.startswith("#"))
-    sentences = F.split(F.col(text), r"[.!?]\s+")
-    if first is not None:
-        sentences = F.slice(sentences, 1, first)
-    long = F.filter(sentences, lambda s: (F.length(s) > FALLBACK_LENGTH) & ~s.startswith("#"))
     return docs.select(
         F.col(key),
         strip(F.get(paragraphs, F.lit(0))).alias("summary"),
-        F.transform(long, lambda s: F.concat(strip(s), F.lit("."))).alias("sentences"),
+        _long_sentences(F.col(text), first).alias("sentences"),
     )
 
 
-def named_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Summary paragraphs, insights and recommendations of an analysis text, each numbered in order."""
+def _long_sentences(text: Column, first: int | None = None) -> Column:
+    sentences = F.split(text, r"[.!?]\s+")
+    if first is not None:
+        sentences = F.slice(sentences, 1, first)
+    long = F.filter(sentences, lambda s: (F.length(s) > FALLBACK_LENGTH) & ~s.startswith("#"))
+    return F.transform(long, lambda s: F.concat(strip(s), F.lit(".")))
+
+
+def named_sections(docs: DataFrame, key: str, text: str, fallback: bool = False) -> DataFrame:
+    """Summary paragraphs, insights and recommendations of an analysis text, each numbered in order.
+
+    With ``fallback`` a text without a summary is summed up by its long sentences.
+    """
     marks = "|".join(h for _, headings in NAMED_SECTIONS for h in headings if not h.startswith("##"))
     # The text is cut in front of every heading line, so nothing is carried from line to line.
     # The first lookahead passes over lines without a # at once.
@@ -101,13 +108,15 @@ def named_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
             _lines(F.regexp_replace(chunk, r"^[^\n]*", "")).alias("lines"),
         ),
     )
-    cut = docs.select(F.col(key), chunks.alias("_chunks"))
-    contents = F.array(
-        *[
-            F.struct(F.lit(name).alias("section"), _contents(F.col("_chunks"), name).alias("_contents"))
-            for name, _ in NAMED_SECTIONS
-        ]
-    )
+    cut = docs.select(F.col(key), F.col(text).alias("_text"), chunks.alias("_chunks"))
+
+    def entries(name: str) -> Column:
+        found = _contents(F.col("_chunks"), name)
+        if fallback and name == "summary":
+            return let(found, lambda own: F.when(F.size(own) > 0, own).otherwise(_long_sentences(F.col("_text"))))
+        return found
+
+    contents = F.array(*[F.struct(F.lit(name).alias("section"), entries(name).alias("_contents")) for name, _ in NAMED_SECTIONS])
     listed = cut.select(key, F.inline(contents))
     return listed.select(key, "section", F.posexplode("_contents").alias("position", "content")).withColumn(
         "position", F.col("position") + 1

@@ -193,6 +193,18 @@ def holidays_near_points(
     return kept.select(*keys, "kpi", "position", "date", "name", "impact")
 
 
+def charts(panel: DataFrame, keys: Sequence[str] = (), holidays: DataFrame | None = None) -> DataFrame:
+    """Per series its points in order, the positions of its anomalies and the holidays near its points."""
+    by = [*keys, "kpi"]
+    odd = anomalies(panel, keys).groupBy(*by).agg(F.array_sort(F.collect_list("index")).alias("anomalies"))
+    near = holidays_near_points(panel, keys, holidays=holidays).groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("date", "name", "impact"))).alias("holidays")
+    )
+    empty = F.array()
+    joined = chart_series(panel, keys).join(odd, by, "left").join(near, by, "left")
+    return joined.select(*by, "points", F.coalesce("anomalies", empty).alias("anomalies"), F.coalesce("holidays", empty).alias("holidays"))
+
+
 # ---------------------------------------------------------------- trend model
 
 

@@ -223,7 +223,7 @@ def latest_by_key(spark, folder):
     cast(cast(value as decimal(38,4)) as varchar), ',' order by kpi) || '}}' as summary from panel group by period""",
 )
 def kpi_summary(spark, folder):
-    return sinks.kpi_summary(panel.kpi_panel(views.sales(spark, folder), "order_date"))
+    return sinks.kpi_summary(panel.kpi_panel(views.sales(spark, folder), "order_date", "month"))
 
 
 @query(

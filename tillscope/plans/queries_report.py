@@ -73,6 +73,35 @@ def family_sql(name: str) -> str:
     return f"case{cases} else {name} end"
 
 
+_DATED_SALES = f"{_S}, dated as (select *, cast(date_trunc('month', order_date) as date) as period from sales)"
+
+
+@query(
+    "label_cards",
+    f"""with {_DATED_SALES}, p as ({pack_sql(['period'], 'dated')}), m as (select max(period) as latest,
+      (select max(period) from p where period < (select max(period) from p)) as prior from p),
+    l as (select kpi, latest, max(case when period = latest then label end) as label, max(case when period = prior then label end) as previous
+      from p, m where label is not null and period >= prior group by kpi, latest)
+    select kpi, coalesce(label, 'N/A') as display, 'Period: ' || strftime(latest, '%Y-%m') ||
+    case when label <> previous then ' (was ' || previous || ')' else '' end as description from l""",
+)
+def label_cards(spark, folder):
+    """Cards of the metrics whose value is a name."""
+    return report.label_cards(durable(panel.category_panel(views.sales(spark, folder), "order_date", "month")))
+
+
+@query(
+    "pack_summary",
+    f"""with {_DATED_SALES}, p as ({pack_sql(['period'], 'dated')}),
+    k as (select period, kpi, case when count(category) > 0 then '{{' || string_agg('"' || category || '":' || cast(cast(value as decimal(38,4)) as varchar), ',' order by category) || '}}'
+      else coalesce('"' || max(label) || '"', cast(cast(max(value) as decimal(38,4)) as varchar), 'null') end as content from p group by period, kpi)
+    select period, '{{' || string_agg('"' || kpi || '":' || content, ',' order by kpi) || '}}' as summary from k group by period""",
+)
+def pack_summary(spark, folder):
+    """All twelve metrics of each month as one JSON object, labels and categories included."""
+    return sinks.pack_summary(kpi_pack(panel.add_period(views.sales(spark, folder), "order_date", "month"), ["period"]))
+
+
 @query(
     "kpi_family",
     f"""with {ctes.CATALOGUE} select "column" as name, count(*) as rows, {family_sql('"column"')} as family
@@ -106,7 +135,7 @@ _BREAKDOWN = f"{_DATED}, {_TOP_OF_LATEST}"
 
 def _breakdown(spark, folder):
     sales = views.sales(spark, folder).withColumn("category", F.col("product"))
-    return report.category_breakdown(durable(panel.category_panel(sales, "order_date")))
+    return report.category_breakdown(durable(panel.category_panel(sales, "order_date", "month")))
 
 
 @query("category_breakdown", f"with {_BREAKDOWN} select * replace (round(raw_value, 6) as raw_value) from breakdown")
@@ -268,6 +297,19 @@ def named_sections(spark, folder):
     return texts.named_sections(_docs(spark, folder), "doc_id", "md")
 
 
+@query(
+    "named_sections_fallback",
+    f"""with docs as (select doc_id, text as md from documents),
+    s as (select doc_id, {ctes.strip('x')} || '.' as content, i from (select doc_id, unnest(regexp_split_to_array(md, '[.!?]\\s+')) as x,
+      generate_subscripts(regexp_split_to_array(md, '[.!?]\\s+'), 1) as i from docs) where length(x) > 30 and not starts_with(x, '#'))
+    select doc_id, 'summary' as section, cast(row_number() over (partition by doc_id order by i) as int) as position, content from s""",
+)
+def named_sections_fallback(spark, folder):
+    """Texts without a summary section are summed up by their long sentences."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("md"))
+    return texts.named_sections(docs, "doc_id", "md", fallback=True)
+
+
 # ---------------------------------------------------------------- assembly
 
 

@@ -20,7 +20,7 @@ _MONTHLY = f"{_S}, dated as (select *, cast(date_trunc('month', order_date) as d
 
 def monthly_panel(spark, folder, keys=_K):
     """The panel, computed once: every fact below reads this small table several times."""
-    return durable(panel.kpi_panel(views.sales(spark, folder), "order_date", keys=keys).drop("success", "error"))
+    return durable(panel.kpi_panel(views.sales(spark, folder), "order_date", "month", keys).drop("success", "error"))
 
 
 @query(
@@ -56,12 +56,12 @@ def add_period_monthly(spark, folder):
 
 @query("kpi_panel", f"with {ctes.panel()} select period, kpi, value, true as success, null::varchar as error from panel")
 def kpi_panel(spark, folder):
-    return panel.kpi_panel(views.sales(spark, folder), "order_date")
+    return panel.kpi_panel(views.sales(spark, folder), "order_date", "month")
 
 
 @query("kpi_panel_by_category", f"with {_P} select category, period, kpi, value from panel")
 def kpi_panel_by_category(spark, folder):
-    return panel.kpi_panel(views.sales(spark, folder), "order_date", keys=_K).drop("success", "error")
+    return panel.kpi_panel(views.sales(spark, folder), "order_date", "month", _K).drop("success", "error")
 
 
 @query(
@@ -77,13 +77,28 @@ def kpi_panel_weekly(spark, folder):
     return panel.kpi_panel(rows, "ts", "week").drop("success", "error")
 
 
+@query(
+    "kpi_panel_auto",
+    f"""with s as (select date_diff('second', min(ts), max(ts)) / 86400 < 30 as short from events), w as (select
+      cast(case when s.short then date_trunc('week', ts) else date_trunc('month', ts) end as date) as period, user_id, cast(value as decimal(12,2)) as value
+      from events, s)
+    select period, kpi, value from (select period, cast(count(distinct user_id) as double) as "Total Orders",
+    {ctes.rounded('cast(sum(value) as double) / count(value)', 4)} as "Average Selling Price per Item" from w group by period)
+    unpivot (value for kpi in ("Total Orders", "Average Selling Price per Item"))""",
+)
+def kpi_panel_auto(spark, folder):
+    """The span of the dates picks the period."""
+    rows = table(spark, folder, "events").selectExpr("ts", "user_id as order_id", "cast(value as decimal(12,2)) as selling_price")
+    return panel.kpi_panel(rows, "ts").drop("success", "error")
+
+
 @query(
     "category_panel",
     f"""with {_MONTHLY}, p as ({pack_sql(['period'], 'dated')}) select period, kpi, category, round(value, 6) as value, label from p
     where kpi in ('Sales per Category', 'Sales per Channel', 'Category Contribution Percentage', 'Top-Selling Category', 'Top-Selling Product')""",
 )
 def category_panel(spark, folder):
-    out = panel.category_panel(views.sales(spark, folder), "order_date")
+    out = panel.category_panel(views.sales(spark, folder), "order_date", "month")
     return out.withColumn("value", F.round("value", 6))
 
 
@@ -94,7 +109,7 @@ def category_panel(spark, folder):
 )
 def broadcast_metric(spark, folder):
     sales = views.sales(spark, folder)
-    return panel.broadcast_metric(panel.kpi_panel(sales, "order_date"), scalar_panel(sales))
+    return panel.broadcast_metric(panel.kpi_panel(sales, "order_date", "month"), scalar_panel(sales))
 
 
 @query(
@@ -279,6 +294,32 @@ def holidays_near_points(spark, folder):
     return trend.holidays_near_points(monthly_panel(spark, folder), _K)
 
 
+@query(
+    "report_charts",
+    f"""with {scored_sql()}, {_HOLIDAYS}, {_calendar('(select min(period) from panel)', '(select max(period) from panel)')},
+    pts as (select category, kpi, string_agg(strftime(period, '%Y-%m-%d') || '=' || cast(cast(value as decimal(38,4)) as varchar), ';'
+      order by period) as points, string_agg(case when {_ODD} then cast(index as varchar) end, ',' order by period) as odd
+      from scored where value is not null group by 1, 2),
+    near as (select distinct category, kpi, date, name from panel, calendar where abs(date_diff('day', period, date)) <= 7
+      and date between (select min(period) from panel p where p.category = panel.category and p.kpi = panel.kpi)
+      and (select max(period) from panel p where p.category = panel.category and p.kpi = panel.kpi)),
+    h as (select category, kpi, string_agg(strftime(date, '%Y-%m-%d') || ' ' || name, ';' order by date, name) as holidays from near group by 1, 2)
+    select category, kpi, points, coalesce(odd, '') as anomalies, coalesce(holidays, '') as holidays from pts left join h using (category, kpi)""",
+)
+def report_charts(spark, folder):
+    """Every chart with its points, the positions of its anomalies and the holidays near its points."""
+    out = trend.charts(monthly_panel(spark, folder), _K)
+    point = lambda p: F.concat(p.getField("x_axis"), F.lit("="), p.getField("y_axis").cast("decimal(38,4)").cast("string"))
+    day = lambda h: F.concat(F.date_format(h.getField("date"), "yyyy-MM-dd"), F.lit(" "), h.getField("name"))
+    return out.select(
+        "category",
+        "kpi",
+        F.array_join(F.transform("points", point), ";").alias("points"),
+        F.array_join("anomalies", ",").alias("anomalies"),
+        F.array_join(F.transform("holidays", day), ";").alias("holidays"),
+    )
+
+
 # ---------------------------------------------------------------- trend model
 
 _DAYS = "date_diff('day', date '1970-01-01', cast(o_orderdate as date))"

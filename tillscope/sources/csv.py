@@ -128,13 +128,16 @@ def require_rows(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     return df
 
 
-def load_metadata(df: DataFrame, date_column: str | None = None) -> DataFrame:
-    """File name, size in rows and columns, column types and date range of a load."""
+def load_metadata(df: DataFrame, date_column: str | None = None, timed: bool = False) -> DataFrame:
+    """File name (or the number of files), size in rows and columns, column types and date range of a load; with ``timed`` also when."""
     types = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
     dated = F.col(date_column).cast("date") if date_column else F.lit(None).cast("date")
     named = df.select(F.col("_metadata.file_name").alias("_file"), dated.alias("_date"))
+    one = F.min("_file") == F.max("_file")
+    at = [F.max(F.current_timestamp()).alias("loaded_at")] if timed else []
     return named.agg(
-        F.max("_file").alias("filename"),
+        *at,
+        F.when(one, F.max("_file")).otherwise(F.concat(F.approx_count_distinct("_file", 0.01), F.lit(" files"))).alias("filename"),
         F.count(F.lit(1)).alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
         F.lit(types).alias("column_types"),

@@ -16,6 +16,27 @@ def kpi_summary(panel: DataFrame) -> DataFrame:
     )
 
 
+def pack_summary(pack: DataFrame, category: str = "category") -> DataFrame:
+    """One JSON object per period of a whole pack: numbers, labels as text, and an object per categorical metric.
+
+    Failed metrics stay as null. Entries are ordered by name.
+    """
+    number = F.coalesce(F.col("value").cast("decimal(38,4)").cast("string"), F.lit("null"))
+    # An array of one text is the text in JSON between brackets.
+    text = lambda column: F.regexp_extract(F.to_json(F.array(column)), r"(?s)^\[(.*)\]$", 1)
+    parts = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col(category).isNotNull(), F.struct(F.col(category), number.alias("n"))))),
+                    lambda p: F.concat(text(p.getField(category)), F.lit(":"), p.getField("n"))), ","
+    )
+    whole = F.coalesce(F.when(F.max("label").isNotNull(), text(F.max("label"))), F.max(F.when(F.col(category).isNull(), number)))
+    kpis = pack.groupBy("period", "kpi").agg(
+        F.when(F.count(category) > 0, F.concat(F.lit("{"), parts, F.lit("}"))).otherwise(whole).alias("content")
+    )
+    entries = F.array_sort(F.collect_list(F.struct("kpi", "content")))
+    joined = F.array_join(F.transform(entries, lambda e: F.concat(text(e.getField("kpi")), F.lit(":"), e.getField("content"))), ",")
+    return kpis.groupBy("period").agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("summary"))
+
+
 def as_json(df: DataFrame, column: str = "record") -> DataFrame:
     """Every row as one JSON object with nulls kept and non-finite numbers null."""
     safe = null_nonfinite(df)
