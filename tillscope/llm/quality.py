@@ -121,8 +121,9 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "q
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
+        # Views of the Arrow columns, not copies: the sample is held once.
         examples = [
-            (int(label.as_py()), places.values.to_numpy().astype(np.int64), values.values.to_numpy().astype(np.float64))
+            (int(label.as_py()), places.values.to_numpy(), values.values.to_numpy())
             for label, places, values in zip(table["label"], table["features"], table["amounts"])
         ]
         return pa.table({"weights": pa.array([fit(examples).tobytes()], pa.binary())})
