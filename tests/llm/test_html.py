@@ -64,3 +64,13 @@ def test_test_pages(spark, folder):
         body = rows[r["page_id"]].partition("<article>")[2].rpartition("</article>")[0]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?(?:h1|p)>", body)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_articles_in_parts_are_whole():
+    parts = "".join(f"<section>{ARTICLE}</section>" for _ in range(3))
+    want = "\n\n".join([WANT] * 3)
+    for page in (f"<body><div class='a'><div class='b'>{parts}</div></div></body>", f"<body><article><div>{ARTICLE}</div>{ARTICLE * 2}</article></body>"):
+        assert text(page) == want
+    uneven = f"<body><main><div class='one'>{ARTICLE * 5}</div><div class='two'><p>Short ending.</p></div></main><div>other</div></body>"
+    assert text(uneven) == "\n\n".join([WANT] * 5 + ["Short ending."])
+    assert htmltext.Page(uneven).best().path == ">body>main"

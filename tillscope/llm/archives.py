@@ -303,7 +303,13 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
     return spread.mapInArrow(fetch, schema + ", payload binary" * payloads)
 
 
-@query("op6_zip_warc")
+@query(
+    "op6_zip_warc",
+    """with p as (select page_id, coalesce(html, '') as h from pages),
+    q as (select page_id, strlen(h) as n, sha1(h) as d, max(page_id) over (partition by sha1(h)) as last from p)
+    select page_id, n as payload_bytes, d as payload_digest, case when n >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+    case when n >= 1000 and page_id <> last then last end as refers_to from q""",
+)
 def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as records into ZIP packages, then read back from them."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -22,6 +22,7 @@ from tillscope.llm.registry import query
 from tillscope.operators.lookup import fits_broadcast
 from tillscope.session import written
 
+WHOLE = 0.8  # a parent with this share of its best child's score is the whole
 MIN_SUPPORT = 0.05  # a path needs this share of its host's votes, so a host keeps 20 paths at most
 
 # Fixed values of HTML: elements without an end tag, elements whose content is no markup, elements that break lines.
@@ -219,8 +220,24 @@ class Page:
         self._text, self._linked = [], 0
 
     def best(self) -> Container:
-        """The container with the highest score, the first one of equals; the page itself if there is none."""
-        return max(self.containers, key=lambda c: c.score)
+        """The container with the highest score, the first one of equals; the page itself if there is none.
+
+        An article or main element around it holds the whole text, and so does a parent
+        with nearly the same score, whose text is then spread over several parts.
+        """
+        best = max(self.containers, key=lambda c: c.score)
+        around = []
+        node = best
+        while node is not None:
+            around.append(node)
+            node = node.parent
+        for tag in ("article", "main"):
+            for node in reversed(around):
+                if node.path.rpartition(">")[2].partition(".")[0] == tag:
+                    return node
+        while best.parent is not None and best.parent.path and best.parent.score >= WHOLE * best.score:
+            best = best.parent
+        return best
 
     def text(self, paths: list[str]) -> str:
         """Blocks below the containers with the first of the paths that gives any, else below the page's best one."""

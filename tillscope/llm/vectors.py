@@ -284,7 +284,17 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     )
 
 
-@query("op9_projection_dedup")
+@query(
+    "op9_projection_dedup",
+    """with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings where len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      and list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+    least as (select a, min(b) as component_id from reach group by a), counted as (select a, count(*) as n from links group by a)
+    select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_id as kept
+    from embeddings e join least l on l.a = e.vec_id left join counted c on c.a = e.vec_id""",
+)
 def op9_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all embeddings."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
