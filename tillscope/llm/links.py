@@ -13,6 +13,9 @@ from tillscope.operators.lookup import fits_broadcast
 from tillscope.session import written
 
 
+EDGES_PER_FILE = 250_000  # small tables are not spread over as many files as there are shuffle partitions
+
+
 def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -32,12 +35,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _checksum(edges)) != before:
         before = now
+        files = 1 + now[0] // EDGES_PER_FILE
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        smallest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "smallest")
-        larger = written(both.where("v > u").join(smallest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
-        nearest = written(larger.groupBy("a").agg(F.min("b").alias("m")), "smallest")
+        smallest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(files), "smallest")
+        larger = written(both.where("v > u").join(smallest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().coalesce(files), "links")
+        nearest = written(larger.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "smallest")
         smaller = larger.join(nearest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(smaller.unionByName(nearest.select("a", F.col("m").alias("b"))).where("a > b").distinct(), "links")
+        edges = written(smaller.unionByName(nearest.select("a", F.col("m").alias("b"))).where("a > b").distinct().coalesce(files), "links")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
