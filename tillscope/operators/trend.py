@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.numbers import finite, fixed
+from tillscope.functions.text import let
 
 # Anomaly threshold in deviations, fewest points, trend and volatility bands.
 ANOMALY_Z = 2.0
@@ -306,40 +305,106 @@ def holiday_effect(
     )
 
 
-def _regressors(when: str, origin: Column, yearly: int, weekly: int) -> list[tuple[str, Column]]:
-    """Intercept, years since the origin, yearly and weekly Fourier terms."""
+# A regressor: the part of the model it belongs to, its name and its value on a day.
+Term = tuple[str, str, Column]
+MONTH_DAYS = 30.5
+
+
+def _regressors(when: str, origin: Column, yearly: int, weekly: int, monthly: int, holidays: bool) -> list[Term]:
+    """Intercept, years since the origin, Fourier terms of the year, week and month, and one indicator per holiday."""
     t = F.date_diff(F.col(when), origin).cast("double")
-    terms = [("level", F.lit(1.0)), ("trend", t / 365.25)]
-    for name, period, order in (("year", 365.25, yearly), ("week", 7.0, weekly)):
+    terms: list[Term] = [("trend", "level", F.lit(1.0)), ("trend", "trend", t / 365.25)]
+    for part, name, period, order in (
+        ("yearly", "year", 365.25, yearly), ("weekly", "week", 7.0, weekly), ("monthly", "month", MONTH_DAYS, monthly),
+    ):
         for k in range(1, order + 1):
             angle = t * (2 * math.pi * k / period)
-            terms += [(f"{name}_sin{k}", F.sin(angle)), (f"{name}_cos{k}", F.cos(angle))]
+            terms += [(part, f"{name}_sin{k}", F.sin(angle)), (part, f"{name}_cos{k}", F.cos(angle))]
+    if holidays:
+        for month, day, name, _ in HOLIDAYS:
+            hit = (F.month(when) == month) & (F.dayofmonth(when) == day)
+            terms.append(("holiday", f"holiday {name}", hit.cast("double")))
     return terms
 
 
-def seasonal_fit(
-    df: DataFrame, when: str, value: str, keys: Sequence[str] = (), yearly: int = 3, weekly: int = 0
-) -> DataFrame:
-    """Additive trend and seasonality by least squares: one row per coefficient.
+def _solution(system: Column, size: int) -> Column:
+    """Solve a small symmetric system (rows with their right side at the end) by elimination, one fold per pivot.
 
-    Spark sums the normal equations map-side, so each series arrives at the
-    solver as a single small row however many rows it had.
+    A regressor without variation of its own (a holiday that never came) gets zero.
+    """
+
+    def eliminate(rows: Column, i: Column) -> Column:
+        pivot = F.get(F.get(rows, i), i)
+        scaled = F.transform(F.get(rows, i), lambda x: F.when(pivot > PIVOT, x / pivot).otherwise(0.0))
+        return let(
+            scaled,
+            lambda own: F.transform(
+                rows, lambda row, r: F.when(r == i, own).otherwise(F.zip_with(row, own, lambda a, b: a - F.get(row, i) * b))
+            ),
+        )
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), system, eliminate)
+    return F.transform(done, lambda row: F.get(row, F.lit(size)))
+
+
+# Fixed value: below this pivot, of mean squares, a regressor is a combination of others.
+PIVOT = 1e-11
+ORIGIN = "2000-01-01"
+
+
+def _coefficients(days: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -> DataFrame:
+    """One row per series with the coefficients as an array, from daily totals.
+
+    Spark sums the normal equations map-side, so each series is solved as a single
+    small row however many rows it had, inside the JVM.
     """
-    days = daily_totals(df, when, value, keys)
-    origin = F.lit("2000-01-01").cast("date")
-    terms = _regressors("day", origin, yearly, weekly)
-    names = [n for n, _ in terms]
     size = len(terms)
-    design = days.select(*keys, "n", "sum_y", *[c.alias(f"_x{i}") for i, (_, c) in enumerate(terms)])
-    cross = [F.sum(F.col("n") * F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(size) for j in range(size)]
-    right = [F.sum(F.col("sum_y") * F.col(f"_x{i}")) for i in range(size)]
-    sums = design.groupBy(*keys).agg(F.array(*cross).alias("gram"), F.array(*right).alias("moment"))
-
-    @F.pandas_udf("array<double>")
-    def solve(gram: pd.Series, moment: pd.Series) -> pd.Series:
-        systems = [(np.reshape(g, (size, size)), np.asarray(m)) for g, m in zip(gram, moment)]
-        return pd.Series([np.linalg.lstsq(g, m, rcond=None)[0].tolist() for g, m in systems])
-
-    solved = sums.select(*keys, solve("gram", "moment").alias("_c"))
-    labelled = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("term"), F.col("_c").alias("coefficient"))
+    design = days.select(*keys, "n", "sum_y", *[c.alias(f"_x{i}") for i, (_, _, c) in enumerate(terms)])
+    products = [
+        (F.sum(F.col("n") * F.col(f"_x{i}") * F.col(f"_x{j}")) / F.sum("n")).alias(f"_g{i}_{j}") for i in range(size) for j in range(i, size)
+    ]
+    moments = [(F.sum(F.col("sum_y") * F.col(f"_x{i}")) / F.sum("n")).alias(f"_m{i}") for i in range(size)]
+    sums = design.groupBy(*keys).agg(*products, *moments)
+    system = F.array(
+        *[F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for j in range(size)], F.col(f"_m{i}")) for i in range(size)]
+    )
+    return sums.where(F.col("_m0").isNotNull()).select(*keys, _solution(system, size).alias("_c"))
+
+
+def seasonal_fit(
+    df: DataFrame,
+    when: str,
+    value: str,
+    keys: Sequence[str] = (),
+    yearly: int = 3,
+    weekly: int = 0,
+    monthly: int = 0,
+    holidays: bool = False,
+) -> DataFrame:
+    """Additive trend, seasonality and holidays by least squares: one row per coefficient."""
+    terms = _regressors("day", F.lit(ORIGIN).cast("date"), yearly, weekly, monthly, holidays)
+    solved = _coefficients(daily_totals(df, when, value, keys), terms, keys)
+    labelled = F.arrays_zip(F.array(*[F.lit(n) for _, n, _ in terms]).alias("term"), F.col("_c").alias("coefficient"))
     return solved.select(*keys, F.inline(labelled)).toDF(*keys, "term", "coefficient")
+
+
+def trend_components(
+    df: DataFrame,
+    when: str,
+    value: str,
+    keys: Sequence[str] = (),
+    yearly: int = 3,
+    weekly: int = 2,
+    monthly: int = 0,
+    holidays: bool = True,
+) -> DataFrame:
+    """The fitted model day by day: rows, mean, trend, yearly, weekly, monthly and holiday parts, and their sum."""
+    terms = _regressors("day", F.lit(ORIGIN).cast("date"), yearly, weekly, monthly, holidays)
+    days = daily_totals(df, when, value, keys)
+    known = _with_line(days, _coefficients(days, terms, keys), keys)
+    parts = {}
+    for part in ("trend", "yearly", "weekly", "monthly", "holiday"):
+        own = [F.get("_c", F.lit(i)) * c for i, (of, _, c) in enumerate(terms) if of == part]
+        parts[part] = sum(own[1:], own[0]) if own else F.lit(0.0)
+    out = known.select(*keys, "day", F.col("n").alias("rows"), (F.col("sum_y") / F.col("n")).alias("mean"), *[c.alias(n) for n, c in parts.items()])
+    return out.withColumn("fitted", F.col("trend") + F.col("yearly") + F.col("weekly") + F.col("monthly") + F.col("holiday"))
