@@ -22,6 +22,8 @@ def test_parts_that_go():
         '<div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>',
         "<form><label>Name</label><input><textarea>x</textarea><select><option>1</select></form>",
         "<script>var a='</p>';</script><style>p{}</style><noscript>no</noscript><!-- <p>hidden</p> -->",
+        '<article class="comment"><p>First reader writes a lot of words about the text above it</p></article><div class="commentbox">Me</div>',
+        '<p class="advertisement-3">Buy</p><div class="sidebar2">Side</div><div id="newsletterSignup">Mail</div>',
         '<section class="comments"><p>Reader says hello to everyone here today</p></section><div id="comment-list">Me too</div>',
         '<div hidden>h</div><div style="display: none">n</div><div role="navigation">r</div>',
         "<footer>&copy; 2024</footer>",

@@ -56,6 +56,9 @@ _BOILERPLATE_WORDS = frozenset(
     " promotion related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors"
     " subscribe subscription teaser toc toolbar topbar tracking warning widget widgets alert recommended recommendations".split()
 )
+_BOILERPLATE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navig", "newsletter", "promo", "sidebar", "sponsor", "subscri")
+# An article element with one of these is no article: a reader's comment, a teaser, an advert.
+_NO_ARTICLE = frozenset("ad ads comment comments promo promoted recommended related replies reply sponsored teaser".split())
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL
 )
@@ -106,7 +109,7 @@ def _attributes(raw: str) -> dict[str, str]:
 def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
     if tag in _BOILERPLATE_TAGS:
         return True
-    if not attributes or tag in ("body", "html", "main", "article"):
+    if not attributes or tag in ("body", "html", "main"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
@@ -114,7 +117,10 @@ def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
         return True
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemtype"))
     # "has-sidebar" or "no-comments" describe the element around such a part, not the part.
-    return any(w.lower() in _BOILERPLATE_WORDS for name in named.split() if not _ABOUT.match(name) for w in _WORD.findall(name))
+    words = [w.lower() for name in named.split() if not _ABOUT.match(name) for w in _WORD.findall(name)]
+    if tag == "article":
+        return any(w in _NO_ARTICLE for w in words)
+    return any(w in _BOILERPLATE_WORDS or w.startswith(_BOILERPLATE_STARTS) for w in words)
 
 
 class Container:
