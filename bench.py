@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from tillscope.plans.catalog import QUERIES
@@ -27,23 +28,32 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES", "")
     keys = list(QUERIES) if chosen == "all" else (chosen.split(",") if chosen else list(HEADLINE))
+    with tempfile.TemporaryDirectory(prefix="tillscope-bench-") as work:
+        measure(folder, cpus, keys, work)
+
+
+def measure(folder: str, cpus: str, keys: list[str], work: str) -> None:
     spark = build_session(
         "tillscope-bench",
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
             "spark.driver.memory": "12g",
+            "spark.checkpoint.dir": work,
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().write.format("noop").mode("overwrite").save()
-    times = {}
+    times, jobs = {}, {}
+    tracker = spark.sparkContext.statusTracker()
     for key in keys:
+        before = set(tracker.getJobIdsForGroup(None))
         start = time.perf_counter()
         QUERIES[key](spark, folder).write.format("noop").mode("overwrite").save()
         times[key] = round(time.perf_counter() - start, 3)
+        jobs[key] = len(set(tracker.getJobIdsForGroup(None)) - before)
     print(
         json.dumps(
             {
@@ -51,6 +61,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "jobs": jobs,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
                 "cpus": cpus,
             }

@@ -10,13 +10,14 @@ from tillscope.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tillscope-tests",
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
