@@ -7,7 +7,7 @@ not by the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,12 +62,20 @@ def add_period(df: DataFrame, when: str, unit: str | None = None) -> DataFrame:
     return df.where(F.col(when).isNotNull()).withColumn("period", period)
 
 
-def kpi_panel(sales: DataFrame, when: str, unit: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Every scalar metric per series and period, from one aggregation.
+def kpi_panel(
+    sales: DataFrame, when: str, unit: str | None = None, keys: Sequence[str] = (), formulas: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Every scalar metric per series and period, from one aggregation, and the caller's own formulas beside them.
 
     Without a unit the span of the dates decides between weeks and months, which takes a scan of them.
+    What follows (changes, cards, trends, the report) reads own metrics like any other.
     """
-    return metrics.scalar_panel(add_period(sales, when, unit), [*keys, "period"])
+    dated, by = add_period(sales, when, unit), [*keys, "period"]
+    out = metrics.scalar_panel(dated, by)
+    if formulas:
+        own = metrics.custom_metrics(dated, formulas, by)
+        out = out.unionByName(own.select(out.columns))
+    return out
 
 
 def category_panel(sales: DataFrame, when: str, unit: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
