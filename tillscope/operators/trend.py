@@ -359,16 +359,28 @@ def _coefficients(days: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -
     small row however many rows it had, inside the JVM.
     """
     size = len(terms)
-    design = days.select(*keys, "n", "sum_y", *[c.alias(f"_x{i}") for i, (_, _, c) in enumerate(terms)])
-    products = [
-        (F.sum(F.col("n") * F.col(f"_x{i}") * F.col(f"_x{j}")) / F.sum("n")).alias(f"_g{i}_{j}") for i in range(size) for j in range(i, size)
-    ]
-    moments = [(F.sum(F.col("sum_y") * F.col(f"_x{i}")) / F.sum("n")).alias(f"_m{i}") for i in range(size)]
-    sums = design.groupBy(*keys).agg(*products, *moments)
-    system = F.array(
-        *[F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for j in range(size)], F.col(f"_m{i}")) for i in range(size)]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    one, two = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
+    x = F.array(*[c for _, _, c in terms])
+    design = days.select(*keys, "n", "sum_y", x.alias("_x"))
+    # One long row per day and product, summed up before the shuffle: hundreds of sums side by side take longer to plan than to run.
+    products = F.concat(
+        F.zip_with(one, two, lambda i, j: F.col("n") * F.get("_x", i) * F.get("_x", j)), F.transform("_x", lambda v: v * F.col("sum_y"))
     )
-    return sums.where(F.col("_m0").isNotNull()).select(*keys, _solution(system, size).alias("_c"))
+    sums = design.select(*keys, F.posexplode(products).alias("_p", "_v")).groupBy(*keys, "_p").agg(F.sum("_v").alias("_v"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda s: s.getField("_v"))
+    # The first product is the number of rows: everything becomes a mean.
+    means = sums.groupBy(*keys).agg(ordered.alias("_s")).where(F.size("_s") > 0)
+    means = means.select(*keys, F.transform("_s", lambda v: v / F.get("_s", F.lit(0))).alias("_s"))
+
+    def cell(i: Column, j: Column) -> Column:
+        low, high = F.least(i, j), F.greatest(i, j)
+        place = low * size - (low * (low - 1) / 2).cast("int") + high - low
+        return F.when(j == size, F.get("_s", F.lit(len(pairs)) + i)).otherwise(F.get("_s", place.cast("int")))
+
+    steps = lambda last: F.sequence(F.lit(0), F.lit(last))
+    system = F.transform(steps(size - 1), lambda i: F.transform(steps(size), lambda j: cell(i, j)))
+    return means.select(*keys, _solution(system, size).alias("_c"))
 
 
 def seasonal_fit(
