@@ -265,6 +265,26 @@ def test_vectors(spark, monkeypatch, block):
     assert near.sum() > 1000 and got == {i: (int(near[i].sum()), found[i]) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("exact,window", [(vectors.EXACT_ROWS, 64), (200, 8)])
+def test_isolated_pairs_in_a_hot_cluster(spark, monkeypatch, exact, window):
+    monkeypatch.setattr(vectors, "EXACT_ROWS", exact)
+    monkeypatch.setattr(vectors.projection_links, "__defaults__", (window, None, 0))
+    monkeypatch.setattr(vectors, "WINDOW", window)
+    rng = np.random.default_rng(4)
+    count, pairs, size = (12000, 300, 64) if window == 64 else (3000, 200, 32)
+    centre = np.eye(size)[0]
+    around = rng.standard_normal((count, size)) * (centre == 0)
+    rows = np.sqrt(0.88) * centre + np.sqrt(0.12) * around / np.linalg.norm(around, axis=1)[:, None]
+    turned = rng.standard_normal((pairs, size))
+    turned -= (turned * rows[:pairs]).sum(1)[:, None] * rows[:pairs]
+    turned /= np.linalg.norm(turned, axis=1)[:, None]
+    rows = np.concatenate([rows, 0.951 * rows[:pairs] + np.sqrt(1 - 0.951**2) * turned])
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(table).collect()}
+    near = (rows[count:] @ rows.T >= vectors.THRESHOLD).sum(1) - 1
+    assert (near > 0).all() and np.mean([got[count + i] == n for i, n in enumerate(near)]) >= 0.985
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(500, 500)]
