@@ -242,6 +242,23 @@ def test_contaminations(spark, folder, texts):
     assert got <= want and len(got) >= 0.995 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "change", "mixed"])
+def test_every_edited_copy_is_found(kind):
+    rng = random.Random(6)
+    items = [(n, [f"w{n}x{i}" for i in range(n)]) for n in (8, 10, 25, 59, 100, 200, 400) for _ in range(1)]
+    index = decontamination.ItemIndex([(n, " ".join(w)) for n, w in items])
+    rows, want = [], []
+    for turn in range(8):
+        for number, (n, words) in enumerate(items):
+            passage = list(words)
+            for place in sorted(rng.sample(range(n), n // 5), reverse=True):
+                how = rng.choice(["delete", "insert", "change"]) if kind == "mixed" else kind
+                passage[place : place + 1] = {"delete": [], "insert": [passage[place], "new"], "change": ["other"]}[how]
+            rows.append(" ".join(["front"] * 9 + passage + ["back"] * 9))
+            want.append((len(rows) - 1, number, distance(words, rows[-1].split())))
+    assert list(decontamination._found(index, pa.array(rows))) == want
+
+
 def test_every_exact_passage_is_found(spark, folder, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
     want = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}

@@ -4,14 +4,13 @@ Texts are sequences of lower-case words. An item is found in a document if some
 passage of the document is within ``MAX_EDITS`` of the item's words: insertions,
 deletions and changes of whole words, counted exactly.
 
-Item-sized windows of a document are embedded by the CGK random walk: at each step
-the embedding copies the current word, and a random bit of that word decides whether
-the walk moves on, so after an edit two walks soon fall into step again and an edit
-distance becomes a Hamming distance. Locality-sensitive hashing samples a few places
-of the embedding; ``repetitions`` independent walks and samples reach the target
-recall. Windows that share a sample with an item are verified by the exact distance.
-
-Only windows within reach of some item are embedded: a window within k edits of an
+Candidates are found without loss. An item that may take k edits is cut into k + 1
+segments; k edits leave one of them as it is, so a passage holds it word for word
+(three or four words of an item of eight or more). This holds for every length and
+kind of edit, where samples of a randomised embedding (CGK) lose long items and
+deletions. Passages around such a segment are verified by the exact distance.
+
+Only passages within reach of their item are verified: a passage within k edits of an
 item holds all but k of the item's words, so it holds at least (the item's rare
 words - k) of these, whatever the edits. This count rules out nothing that the
 verification would accept; items without enough rare words are tried everywhere.
@@ -19,7 +18,6 @@ verification would accept; items without enough rare words are tried everywhere.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +30,10 @@ from tillscope.llm.registry import query
 
 MAX_EDITS = 0.2  # of an item's words
 MIN_WORDS = 8  # shorter items are ordinary phrases and are not searched
-SAMPLES = 2
-AGREEMENT = 0.5  # share of embedding places that agree at the edit limit
-RECALL = 0.999
 BLOCK_BYTES = 8 << 20
 RARE = 4  # a rare word is in so many items at most
 _FILTER_BITS = 20
-
-
-def repetitions(recall: float = RECALL, agreement: float = AGREEMENT, samples: int = SAMPLES) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**samples))
+_PIECE = 1 << 20  # candidates at a time
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,25 +42,12 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found.hashes, found.bounds
 
 
-def embedded(padded: np.ndarray, starts: np.ndarray, stops: np.ndarray, places: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """Samples of CGK embeddings of the windows padded[starts:stops]: walks x windows x sampled places.
-
-    Each row of ``places`` and ``turns`` is a walk of its own. The last of the padded
-    words is zero, which a walk past its end reads.
-    """
-    at = np.tile(starts, (len(places), 1))
-    out = np.zeros((len(places), len(starts), places.shape[1]), np.uint64)
-    for step in range(int(places.max()) + 1):
-        here = padded[np.where(at < stops, at, len(padded) - 1)]
-        walks, samples = np.nonzero(places == step)
-        out[walks, :, samples] = here[walks]
-        at += ((here * turns[:, step, None]) >> np.uint64(63)).astype(np.int64)
-    return out
-
-
-def keys_of(padded: np.ndarray, starts: np.ndarray, stops: np.ndarray, places: np.ndarray, turns: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One hash of the samples per walk and window."""
-    return (embedded(padded, starts, stops, places, turns) * factors[:, None, :]).sum(2, dtype=np.uint64)
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    """One hash of each ``size`` following words."""
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for step in range(size):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + words[step : step + len(out)]
+    return arrays.mix(out)
 
 
 def distance_within(pattern: list[int], text: list[int]) -> int:
@@ -98,14 +77,11 @@ def distance_within(pattern: list[int], text: list[int]) -> int:
 
 
 class ItemIndex:
-    """Hash tables of a bounded block of items."""
+    """Segments of a bounded block of items by hash, and their rare words."""
 
     def __init__(self, items: list[tuple[object, str]]) -> None:
         hashes, bounds = _words([text for _, text in items])
         self.items = [(items[i][0], hashes[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b - a >= MIN_WORDS]
-        self.known = np.zeros(1 << _FILTER_BITS, bool)
-        for _, words in self.items:
-            self.known[words >> np.uint64(64 - _FILTER_BITS)] = True
         pairs = np.array([(w, i) for i, (_, words) in enumerate(self.items) for w in np.unique(words)], np.uint64).reshape(-1, 2)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         rare, first, numbers = np.unique(pairs[:, 0], return_index=True, return_counts=True)
@@ -116,25 +92,22 @@ class ItemIndex:
         self.needed = np.array([np.isin(words, self.rare).sum() for _, words in self.items], np.int64) - self.edits
         self.sought = np.zeros(1 << _FILTER_BITS, bool)
         self.sought[self.rare >> np.uint64(64 - _FILTER_BITS)] = True
-        rounds = repetitions()
-        self.tables: list[tuple] = []  # length, walks (places, turns, factors), and for each walk the items' keys in order and their items
-        by_length: dict[int, list[int]] = {}
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
         for i, (_, words) in enumerate(self.items):
-            by_length.setdefault(len(words), []).append(i)
-        for length, own in sorted(by_length.items()):
-            random = np.random.default_rng([length, 5])
-            flat = np.concatenate([self.items[i][1] for i in own])
-            starts = np.arange(len(own)) * length
-            odd = lambda *shape: random.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # noqa: B023, E731
-            # A walk of n words takes about 2n steps; later places are padding on both sides.
-            places = np.stack([random.choice(2 * length, SAMPLES, replace=False) for _ in range(rounds)])
-            walks = (places, odd(rounds, 2 * length), odd(rounds, SAMPLES))
-            keys = keys_of(np.append(flat, np.uint64(0)), starts, starts + length, *walks)
-            order = np.argsort(keys, axis=1, kind="stable")
-            self.tables.append((length, walks, np.take_along_axis(keys, order, 1), np.array(own)[order]))
-
-    def _windows(self, words: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of the windows within reach of some item, by length of the item."""
+            parts = int(self.edits[i]) + 1
+            size = len(words) // parts
+            grams = _grams(words, size)
+            by_size.setdefault(size, []).extend((int(grams[at]), i, at) for at in (len(words) * part // parts for part in range(parts)))
+        self.segments: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # words, filter, hashes in order, their items and offsets
+        for size, held in sorted(by_size.items()):
+            held.sort()
+            hashes = np.array([h for h, _, _ in held], np.uint64)
+            known = np.zeros(1 << _FILTER_BITS, bool)
+            known[hashes >> np.uint64(64 - _FILTER_BITS)] = True
+            self.segments.append((size, known, hashes, np.array([i for _, i, _ in held], np.int64), np.array([o for _, _, o in held], np.int64)))
+
+    def _rare_places(self, words: np.ndarray) -> np.ndarray:
+        """Where rare words of each item stand, as item x (words + 1) + place, in order."""
         places = np.flatnonzero(self.sought[words >> np.uint64(64 - _FILTER_BITS)])
         slots = np.minimum(np.searchsorted(self.rare, words[places]), max(len(self.rare) - 1, 0))
         if len(places):
@@ -143,61 +116,54 @@ class ItemIndex:
         numbers = self.rare_count[slots]
         ends = np.cumsum(numbers)
         item = self.rare_item[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.rare_first[slots] - (ends - numbers), numbers)]
-        place = np.repeat(places, numbers)
-        order = np.lexsort((place, item))
-        item, place = item[order], place[order]
-        row = np.searchsorted(bounds, place, "right") - 1
-        found: dict[int, np.ndarray] = {}
-        # Runs of as many rare words of one item as it needs, close enough together for one window.
-        ahead = np.arange(len(item)) + np.maximum(self.needed[item], 1) - 1
-        inside = np.flatnonzero(ahead < len(item))
-        last = ahead[inside]
-        reach = self.lengths[item[inside]] + self.edits[item[inside]]
-        run = (item[last] == item[inside]) & (row[last] == row[inside]) & (place[last] - place[inside] < reach) & (self.needed[item[inside]] > 0)
-        inside, last, reach = inside[run], last[run], reach[run]
-        low = np.maximum(place[last] - reach + 1, bounds[row[inside]])
-        sizes = place[inside] - low + 1
-        total = np.cumsum(sizes)
-        starts = np.arange(total[-1] if len(total) else 0) + np.repeat(low - (total - sizes), sizes)
-        lengths = np.repeat(self.lengths[item[inside]], sizes)
-        # An alignment can start at its first equal word: what the item loses before it is deleted, not matched.
-        keep = known[starts]
-        starts, lengths = starts[keep], lengths[keep]
-        for length in np.unique(lengths):
-            found[int(length)] = np.unique(starts[lengths == length])
-        for length in np.unique(self.lengths[self.needed < 1]):
-            found[int(length)] = np.flatnonzero(known)
-        return found
+        return np.sort(item * (len(words) + 1) + np.repeat(places, numbers))
+
+    def _candidates(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, where the item would start) of every segment found, if its passage has enough rare words of the item."""
+        rare = self._rare_places(words)
+        width = len(words) + 1
+        for size, known, hashes, items, offsets in self.segments:
+            grams = _grams(words, size)
+            places = np.flatnonzero(known[grams >> np.uint64(64 - _FILTER_BITS)])
+            rows = np.searchsorted(bounds, places, "right") - 1
+            whole = places + size <= bounds[rows + 1]
+            places, rows = places[whole], rows[whole]
+            first = np.searchsorted(hashes, grams[places], "left")
+            numbers = np.searchsorted(hashes, grams[places], "right") - first
+            held = numbers > 0
+            places, rows, first, numbers = places[held], rows[held], first[held], numbers[held]
+            ends = np.cumsum(numbers)
+            start = 0
+            while start < len(places):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - numbers[start] + _PIECE, "right")))
+                count = numbers[start:stop]
+                total = np.cumsum(count)
+                of = np.arange(total[-1]) + np.repeat(first[start:stop] - (total - count), count)
+                item, row, begin = items[of], np.repeat(rows[start:stop], count), np.repeat(places[start:stop], count) - offsets[of]
+                low = np.maximum(begin - self.edits[item], bounds[row])
+                high = np.minimum(begin + self.lengths[item] + self.edits[item], bounds[row + 1])
+                rare_words = np.searchsorted(rare, item * width + high) - np.searchsorted(rare, item * width + low)
+                keep = rare_words >= self.needed[item]
+                yield row[keep], item[keep], begin[keep]
+                start = stop
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, item, edits) of every item found in the rows of words."""
-        known = self.known[words >> np.uint64(64 - _FILTER_BITS)]
-        windows = self._windows(words, bounds, known)
-        candidates: dict[tuple[int, int], list[int]] = {}
-        padded = np.append(words, np.uint64(0))
-        for length, walks, keys, items in self.tables:
-            starts = windows.get(length)
-            if starts is None or not len(starts):
-                continue
-            rows = np.searchsorted(bounds, starts, "right") - 1
-            stops = np.minimum(starts + length, bounds[rows + 1])
-            for own, sorted_keys, of in zip(keys_of(padded, starts, stops, *walks), keys, items):
-                first = np.searchsorted(sorted_keys, own, "left")
-                last = np.searchsorted(sorted_keys, own, "right")
-                for w in np.flatnonzero(last > first):
-                    for item in of[first[w] : last[w]]:
-                        candidates.setdefault((int(rows[w]), int(item)), []).append(int(starts[w]))
+        candidates: dict[tuple[int, int], set[int]] = {}
+        for row, item, begin in self._candidates(words, bounds):
+            for r, i, b in zip(row.tolist(), item.tolist(), begin.tolist()):
+                candidates.setdefault((r, i), set()).add(b)
         for (row, item), found in sorted(candidates.items()):
             pattern = self.items[item][1]
             size, edits = len(pattern), int(len(pattern) * MAX_EDITS)
             vocabulary, best = set(pattern.tolist()), edits + 1
-            low = high = -1
-            for start in [*sorted(set(found)), None]:
-                if start is not None and low >= 0 and start - edits <= high:
+            low = high = None
+            for start in [*sorted(found), None]:
+                if start is not None and low is not None and start - edits <= high:
                     high = max(high, start + size + edits)
                     continue
-                if low >= 0:  # passages that overlap are verified together
-                    passage = words[max(low, bounds[row]) : min(high, bounds[row + 1])].tolist()
+                if low is not None:  # passages that overlap are verified together
+                    passage = words[max(low, bounds[row]) : max(0, min(high, bounds[row + 1]))].tolist()
                     if len(vocabulary.intersection(passage)) >= len(vocabulary) - edits:
                         best = min(best, distance_within(pattern.tolist(), passage))
                 if start is not None:
