@@ -56,6 +56,14 @@ def test_host_vote_wins_over_a_page_of_its_own(spark):
     assert all(got[i] == WANT for i in range(9)) and got[9] == "Little." and got[10] == PARAGRAPHS[0] * 9
 
 
+def test_a_minority_layout_keeps_its_article(spark):
+    common, other = "<body><div class='lead'>{0}</div></body>", "<body><div class='lead'><p>Little.</p></div><div class='story'>{0}</div></body>"
+    rows = [(i, f"http://news.example/{i}", common.format(ARTICLE)) for i in range(9)] + [(9, "http://news.example/9", other.format(ARTICLE))]
+    rows += [(10 + i, None, common.format(ARTICLE)) for i in range(9)] + [(19, "odd", f"<body><div class='story'>{ARTICLE}</div><div class='lead'><p>Not a small part, but no article either.</p></div></body>")]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: WANT for i in range(20)}
+
+
 def test_test_pages(spark, folder):
     """The test pages keep their article in one element, so their text can be cut out plainly."""
     import html

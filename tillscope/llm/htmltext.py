@@ -4,8 +4,10 @@ Pages of one host share a template. Each page scores its containers by the text
 they hold outside links, furthest from boilerplate; its best container votes for a
 generalised path of tags and classes (numbers in class names count as one). Spark
 adds up the votes per host, and every page is then extracted again with the paths
-its host agreed on, in the order of their support. A page without any of them uses
-its own best container.
+its host agreed on, in the order of their support: by the first that holds a fair share
+of the text of the page's own best container. A page that none of them fits uses its
+own best container, unless most pages of the host that have such a container refuse
+it for another. Pages without a host don't vote.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from tillscope.operators.lookup import fits_broadcast
 from tillscope.session import written
 
 WHOLE = 0.8  # a parent with this share of its best child's score is the whole
+FITS = 0.3  # an agreed path fits a page if it holds this share of the text of the page's best container
 MIN_SUPPORT = 0.05  # a path needs this share of its host's votes, so a host keeps 20 paths at most
 
 # Fixed values of HTML: elements without an end tag, elements whose content is no markup, elements that break lines.
@@ -245,14 +248,23 @@ class Page:
             best = best.parent
         return best
 
-    def text(self, paths: list[str]) -> str:
-        """Blocks below the containers with the first of the paths that gives any, else below the page's best one."""
+    def refused(self) -> set[str]:
+        """Paths of containers that neither are in the best one nor hold it."""
+        best = self.best()
+        return {c.path for c in self.containers if c.score > 0 and not self._inside(c, best) and not self._inside(best, c)} - {best.path}
+
+    def text(self, paths: list[str], refused: list[str] = ()) -> str:
+        """Blocks below the containers with the first of the paths that fits, else below the page's best one, or the first path that gives any if the host refuses that."""
+        best = self.best()
+        own = [text for text, owner in self.blocks if self._inside(owner, best)]
+        needed = FITS * sum(map(len, own))
+        spare = None
         for path in paths:
             found = [text for text, owner in self.blocks if self._below(owner, path)]
-            if found:
+            if found and path not in refused and sum(map(len, found)) >= needed:
                 return "\n\n".join(found)
-        best = self.best()
-        return "\n\n".join(text for text, owner in self.blocks if self._inside(owner, best))
+            spare = spare or found
+        return "\n\n".join(spare if spare and best.path in refused else own)
 
     @staticmethod
     def _below(owner: Container | None, path: str) -> bool:
@@ -273,7 +285,10 @@ def host_of(url: str) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """_host and its agreed paths by falling support, from pages (_host, _html).
+    """_host, its agreed paths by falling support and the paths it refuses, from pages (_host, _html).
+
+    A path is refused if some page chose it, but more pages that have it chose another
+    part; as many pages as an agreed path needs, at least.
 
     Tasks add up votes per batch before the shuffle and Spark combines them before and
     after it, so a host with a third of all pages is a few rows per task.
@@ -281,27 +296,35 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], float] = {}
+            votes: dict[tuple[str, str], list[float]] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                best = Page(html).best() if html else None
+                page = Page(html) if html else None
+                best = page.best() if page else None
                 if best is not None and best.score > 0:
-                    votes[host, best.path] = votes.get((host, best.path), 0) + 1
+                    votes.setdefault((host, best.path), [0, 0])[0] += 1
+                    for path in page.refused():
+                        votes.setdefault((host, path), [0, 0])[1] += 1
             yield pa.RecordBatch.from_pydict(
-                {"_host": pa.array([k[0] for k in votes], pa.string()), "path": pa.array([k[1] for k in votes], pa.string()), "votes": pa.array(list(votes.values()), pa.float64())}
+                {"_host": pa.array([k[0] for k in votes], pa.string()), "path": pa.array([k[1] for k in votes], pa.string()), "votes": pa.array([v[0] for v in votes.values()], pa.float64()), "against": pa.array([v[1] for v in votes.values()], pa.float64())}
             )
 
-    votes = written(pages.mapInArrow(vote, "_host string, path string, votes double").groupBy("_host", "path").agg(F.sum("votes").alias("votes")), "host-votes")
+    cast = pages.where("_host <> ''").mapInArrow(vote, "_host string, path string, votes double, against double")
+    votes = written(cast.groupBy("_host", "path").agg(F.sum("votes").alias("votes"), F.sum("against").alias("against")).where("votes > 0"), "host-votes")
     totals = votes.groupBy("_host").agg(F.sum("votes").alias("total"))
-    kept = votes.join(totals, "_host").where(F.col("votes") >= F.col("total") * MIN_SUPPORT)
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path")))
-    return written(kept.groupBy("_host").agg(F.transform(ranked, lambda x: x["path"]).alias("_paths")), "host-paths")
+    least = F.col("total") * MIN_SUPPORT
+    agreed = F.col("votes") >= least
+    against = (F.col("against") > F.col("votes")) & (F.col("against") >= least)
+    kept = votes.join(totals, "_host").where(agreed | against)
+    ranked = F.sort_array(F.collect_list(F.when(agreed, F.struct((-F.col("votes")).alias("order"), "path"))))
+    paths = F.transform(ranked, lambda x: x["path"]).alias("_paths")
+    return written(kept.groupBy("_host").agg(paths, F.collect_list(F.when(against, F.col("path"))).alias("_refused")), "host-paths")
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """id, url, text and n_chars (code points) of every page.
 
     A null or empty html and a page without article text give an empty text. A null
-    or odd url belongs to the empty host, whose pages vote like any other. Null and
+    or odd url gives no host, and such a page uses its own best container. Null and
     repeated ids are kept row by row; an empty table gives no rows. Other columns are
     not read.
     """
@@ -309,11 +332,11 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), host_of(url_column).alias("_host"), F.col(html_column).cast("string").alias("_html")
     )
     agreed = host_paths(rows.select("_host", "_html"))
-    joined = rows.join(F.broadcast(agreed) if fits_broadcast(agreed) else agreed, "_host", "left").select("_id", "_url", "_html", "_paths")
+    joined = rows.join(F.broadcast(agreed) if fits_broadcast(agreed) else agreed, "_host", "left").select("_id", "_url", "_html", "_paths", "_refused")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(html).text(paths or []) if html else "" for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [Page(html).text(paths or [], refused or []) if html else "" for html, paths, refused in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_id", "_url", "text", "n_chars"]
             )
