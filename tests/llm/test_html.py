@@ -56,6 +56,18 @@ def test_host_vote_wins_over_a_page_of_its_own(spark):
     assert all(got[i] == WANT for i in range(9)) and got[9] == "Little." and got[10] == PARAGRAPHS[0] * 9
 
 
+def test_forms_and_wrappers_around_the_article():
+    small = "<div class='sidebar'><p>Side words</p></div><form><label>Mail</label><p>Join us</p></form><nav><p>Home</p></nav>"
+    for wrapper in ("form id='aspnetForm'", "div class='content-with-sidebar'", "div class='sidebar-right'", "div id='menu-open'"):
+        tag = wrapper.split()[0]
+        for body in (f"<div>{ARTICLE}</div>", f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>"):
+            assert text(f"<body><{wrapper}>{body}{small}</{tag}></body>") == WANT, (wrapper, body)
+            assert text(f"<body><form><{wrapper}>{small}{body}</{tag}></form></body>") == WANT, (wrapper, body)
+    comments = f"<div class='comments'><article><p>{PARAGRAPHS[0] * 5}</p></article></div>"
+    assert text(f"<body><article>{ARTICLE}</article>{comments}</body>") == WANT
+    assert text(f"<body><form hidden>{ARTICLE}</form><p>Seen.</p></body>") == "Seen."
+
+
 def test_a_minority_layout_keeps_its_article(spark):
     common, other = "<body><div class='lead'>{0}</div></body>", "<body><div class='lead'><p>Little.</p></div><div class='story'>{0}</div></body>"
     rows = [(i, f"http://news.example/{i}", common.format(ARTICLE)) for i in range(9)] + [(9, "http://news.example/9", other.format(ARTICLE))]

@@ -109,21 +109,36 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
+_NEVER, _BY_NAME, _SIDE = 1, 2, 3  # boilerplate whatever it holds; by its name, unless its content says otherwise; what is about an article
+
+
+def _is_boilerplate(tag: str, attributes: dict[str, str]) -> int:
+    """How an element is boilerplate, 0 if it is not."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return _NEVER if tag not in ("body", "html", "main") else 0
+    if tag == "form":
+        return _BY_NAME
     if tag in _BOILERPLATE_TAGS:
-        return True
+        return _NEVER
     if not attributes or tag in ("body", "html", "main"):
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return 0
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.IGNORECASE):
-        return True
+        return _NEVER
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemtype"))
     # "has-sidebar" or "no-comments" describe the element around such a part, not the part.
     words = [w.lower() for name in named.split() if not _ABOUT.match(name) for w in _WORD.findall(name)]
-    if tag == "article":
-        return any(w in _NO_ARTICLE for w in words)
-    return any(w in _BOILERPLATE_WORDS or w.startswith(_BOILERPLATE_STARTS) for w in words)
+    if any(w in _NO_ARTICLE or tag != "article" and w.startswith("comment") for w in words):
+        return _SIDE
+    return _BY_NAME if tag != "article" and any(w in _BOILERPLATE_WORDS or w.startswith(_BOILERPLATE_STARTS) for w in words) else 0
+
+
+class Flagged:
+    """An element that is boilerplate by its name, and what it holds outside surer boilerplate."""
+
+    __slots__ = ("number", "side", "length", "main", "article")
+
+    def __init__(self, number: int, side: bool) -> None:
+        self.number, self.side, self.length, self.main, self.article = number, side, 0, False, False
 
 
 class Container:
@@ -136,9 +151,15 @@ class Container:
 
 
 class Page:
-    """Blocks of a page outside boilerplate, and its scored containers."""
+    """Blocks of a page outside boilerplate, and its scored containers.
+
+    An element that is boilerplate only by its name, as a form or a wrapper called
+    "content-with-sidebar", counts as a part like any other (``spared``, by number) if
+    it holds the main element, or if no article or main element stands outside such
+    elements and it holds an article or most of the paragraphs' text outside links.
+    """
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, spared: frozenset[int] = frozenset()) -> None:
         root = Container("", None, 0)
         self.blocks: list[tuple[str, Container]] = []
         self.containers: list[Container] = [root]
@@ -146,8 +167,10 @@ class Page:
         self._linked = 0
         self._here = root
         stack: list[tuple[str, bool, Container | None]] = []  # tag, starts boilerplate, the container to go back to
-        hidden = links = 0
-        paragraph = False
+        hidden = links = number = length = 0
+        paragraph = article = False
+        flagged: list[Flagged] = []
+        inside: list[Flagged | None] = []  # of the open hidden elements; None for sure boilerplate
 
         def pop_to(depth: int) -> None:
             nonlocal hidden, links
@@ -156,6 +179,8 @@ class Page:
                 if tag in _BLOCK:
                     self._flush(paragraph)
                 hidden -= bad
+                if bad:
+                    inside.pop()
                 links -= tag == "a"
                 if back is not None:
                     self._here = back
@@ -174,6 +199,11 @@ class Page:
                     self._text.append(raw)
                     if links:
                         self._linked += len(raw)
+                if not links and (paragraph or len(raw) >= 80) and None not in inside:
+                    size = len(raw.strip())
+                    length += size
+                    for part in inside:
+                        part.length += size
                 continue
             if kind == "close":
                 if tag == "br":
@@ -201,7 +231,18 @@ class Page:
                 self._flush(paragraph)
                 paragraph = tag in _PARAGRAPHS
             attributes = _attributes(raw) if raw else {}
-            bad = _is_boilerplate(tag, attributes)
+            how = _is_boilerplate(tag, attributes)
+            number += 1
+            bad = bool(how) and number not in spared
+            if bad:
+                inside.append(None if how == _NEVER else Flagged(number, how == _SIDE))
+                flagged += [inside[-1]] if how != _NEVER and None not in inside else []
+            elif tag in ("article", "main") and not how and None not in inside:
+                article = article or not inside
+                for part in inside:
+                    # Articles in what is about an article are comments and teasers.
+                    if not any(p.side for p in inside):
+                        part.main, part.article = part.main or tag == "main", part.article or tag == "article"
             back = None
             if tag in _CONTAINERS and not (bad or hidden):
                 names = ".".join(sorted({_NUMBER.sub("#", c) for c in attributes.get("class", "").split()}))
@@ -213,6 +254,9 @@ class Page:
             links += tag == "a"
         pop_to(0)
         self._flush(paragraph)
+        spare = {f.number for f in flagged if f.length and (f.main or not article and (f.article or f.length > length * (0.9 if f.side else 0.5)))}
+        if spare and not spared:
+            self.__init__(html, frozenset(spare))
 
     def _flush(self, paragraph: bool) -> None:
         """End the open block: keep it, and credit its text outside links to the containers around it."""
