@@ -259,6 +259,15 @@ def test_every_edited_copy_is_found(kind):
     assert list(decontamination._found(index, pa.array(rows))) == want
 
 
+def test_short_and_unspaced_items_are_found():
+    items = [(0, "who wrote hamlet"), (1, "which river runs through old paris"), (2, "中国的首都是哪里？"), (3, "ประเทศไทย"), (4, "... !")]
+    index = decontamination.ItemIndex(items, min_words=1)
+    texts = ["so who wrote Hamlet?", "who then wrote hamlet", "which river flows through old paris", "一二三，中国的首都是哪里呢", "中国首都是哪里", "ใน ประเทศไทยนี้", "which river"]
+    assert [(r, i, e) for r, i, e in decontamination._found(index, pa.array(texts))] == [(0, 0, 0), (2, 1, 1), (3, 2, 0), (4, 2, 1), (5, 3, 0)]
+    column = arrays.text_array(pa.array(["日本語、テスト abc日x", "é ü", "日"]))
+    assert np.diff(arrays.tokens(*arrays.slice_bytes(column, 0, 3)).bounds).tolist() == [9, 2, 1]
+
+
 def test_every_exact_passage_is_found(spark, folder, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
     want = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}

@@ -24,6 +24,14 @@ _KINDS[0x21:0x7F] = _MARK
 for _first, _last in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     _KINDS[_first : _last + 1] = _LETTER
 _POWERS: dict[str, np.ndarray] = {}
+# First two bytes of the three of a sign in scripts without spaces between words: Thai, Lao, Myanmar, Khmer, Chinese, Japanese; full-width forms.
+_SINGLE = np.zeros(1 << 16, bool)
+for _first, _last in ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBC, 0xEFBE)):
+    _SINGLE[_first : _last + 1] = True
+# Their punctuation: U+3000 to U+303F but for two letters, the full-width forms of ASCII punctuation, and half-width marks.
+_SINGLE_MARKS = frozenset(c for c in (*range(0x3000, 0x3040), 0x30FB, *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41), *range(0xFF5B, 0xFF66)) if c not in (0x3005, 0x3007))
+_SINGLE_MARK = np.zeros(1 << 16, bool)
+_SINGLE_MARK[list(_SINGLE_MARKS)] = True
 
 
 class Tokens(NamedTuple):
@@ -89,14 +97,32 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix(found + (ends - starts).astype(np.uint64))
 
 
+def _single_signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where signs of scripts without spaces between words start, three bytes each, and which are punctuation."""
+    at = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] < 0xF0))
+    pairs = data[at].astype(np.int64) << 8 | data[at + 1]
+    at = at[_SINGLE[pairs]]
+    points = (data[at].astype(np.int64) & 15) << 12 | (data[at + 1].astype(np.int64) & 63) << 6 | data[at + 2] & 63
+    return at, _SINGLE_MARK[points]
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> Tokens:
-    """Words (runs of ASCII letters, digits and non-ASCII bytes); with ``marks`` runs of other printable signs too."""
+    """Words (runs of ASCII letters, digits and non-ASCII bytes); with ``marks`` runs of other printable signs too.
+
+    A letter of a script without spaces between words is a word of its own.
+    """
     kinds = _KINDS[data]
+    single, mark = _single_signs(data) if len(data) > 2 else (np.zeros(0, np.int64), np.zeros(0, bool))
+    for step in range(3):
+        kinds[single[mark] + step] = _MARK
     if not marks:
         kinds[kinds == _MARK] = 0
     fresh = np.ones(len(kinds), bool)
     np.not_equal(kinds[1:], kinds[:-1], out=fresh[1:])
     fresh[offsets[:-1][offsets[:-1] < len(kinds)]] = True
+    letters = single[~mark]
+    fresh[letters] = True
+    fresh[letters[letters + 3 < len(kinds)] + 3] = True
     edges = np.flatnonzero(fresh)
     ends = np.append(edges[1:], len(kinds))
     real = kinds[edges] > 0

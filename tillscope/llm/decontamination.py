@@ -6,7 +6,7 @@ deletions and changes of whole words, counted exactly.
 
 Candidates are found without loss. An item that may take k edits is cut into k + 1
 segments; k edits leave one of them as it is, so a passage holds it word for word
-(three or four words of an item of eight or more). This holds for every length and
+(two to four words of an item of five or more, a shorter one whole). This holds for every length and
 kind of edit, where samples of a randomised embedding (CGK) lose long items and
 deletions. Passages around such a segment are verified by the exact distance.
 
@@ -29,7 +29,7 @@ from tillscope.llm import arrays
 from tillscope.llm.registry import query
 
 MAX_EDITS = 0.2  # of an item's words
-MIN_WORDS = 8  # shorter items are ordinary phrases and are not searched
+MIN_WORDS = 8  # by default shorter items are not searched; the query and the pipeline search all that have words
 BLOCK_BYTES = 8 << 20
 RARE = 4  # a rare word is in so many items at most
 _FILTER_BITS = 20
@@ -79,9 +79,9 @@ def distance_within(pattern: list[int], text: list[int]) -> int:
 class ItemIndex:
     """Segments of a bounded block of items by hash, and their rare words."""
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]], min_words: int = MIN_WORDS) -> None:
         hashes, bounds = _words([text for _, text in items])
-        self.items = [(items[i][0], hashes[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b - a >= MIN_WORDS]
+        self.items = [(items[i][0], hashes[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b - a >= max(1, min_words)]
         pairs = np.array([(w, i) for i, (_, words) in enumerate(self.items) for w in np.unique(words)], np.uint64).reshape(-1, 2)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         rare, first, numbers = np.unique(pairs[:, 0], return_index=True, return_counts=True)
@@ -172,14 +172,14 @@ class ItemIndex:
                 yield row, item, best
 
 
-def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[ItemIndex]:
+def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", min_words: int = MIN_WORDS) -> Iterator[ItemIndex]:
     """The benchmark in blocks of about ``BLOCK_BYTES`` of text, each collected and indexed in turn."""
     rows = benchmark.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text")).where("_text is not null")
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     count = -(-size // BLOCK_BYTES)
     for number in range(count):
         held = rows.where(F.pmod(F.xxhash64("_text"), F.lit(count)) == number).distinct().orderBy("_id", "_text").collect()
-        index = ItemIndex([(r["_id"], r["_text"]) for r in held])
+        index = ItemIndex([(r["_id"], r["_text"]) for r in held], min_words)
         if index.items:
             yield index
 
@@ -192,18 +192,19 @@ def _found(index: ItemIndex, column: pa.Array) -> Iterator[tuple[int, int, int]]
             yield first + row, item, edits
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", min_words: int = MIN_WORDS) -> DataFrame:
     """id, item id, edits (smallest edit distance in words) and item_words of every pair of a document and an item in it.
 
     Null and empty texts hold no item; items with a null text or fewer than
-    ``MIN_WORDS`` words are not searched. A row with a null or repeated id is searched
+    ``min_words`` words are not searched; those of five to nine words may take one edit,
+    shorter ones none. A row with a null or repeated id is searched
     like any other; equal rows of the result are not merged. An empty table on either
     side gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
     kind, item_kind = rows.schema["_id"].dataType.simpleString(), benchmark.schema[item_column].dataType
     parts = []
-    for index in item_blocks(benchmark, item_column):
+    for index in item_blocks(benchmark, item_column, min_words=min_words):
 
         def work(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -226,10 +227,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     return out.select(F.col("_id").alias(id_column), F.col("_item").cast(item_kind).alias(item_column), "edits", "item_words")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
     at = docs.columns.index(text_column)
-    for index in item_blocks(benchmark):
+    for index in item_blocks(benchmark, min_words=min_words):
 
         def work(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -244,4 +245,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> D
 @query("op5_cgk_decontamination")
 def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in all documents."""
-    return contaminations(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminations(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=1)
