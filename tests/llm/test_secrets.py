@@ -49,6 +49,21 @@ def test_confirmed():
     assert secrets.confirmed_spans(f"a {block} b") == [(2, "der", 2 + len(block))]
 
 
+def test_escaped_and_encrypted_keys():
+    sealed = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30, der(0x30, der(6, b"\x2a")), der(0x30, der(6, b"\x2b")))), der(4, b"\xff/" * 40))
+    for label, raw in (("PRIVATE KEY", PKCS8), ("RSA PRIVATE KEY", RSA), ("ENCRYPTED PRIVATE KEY", sealed)):
+        body = b64(raw)
+        block = f"-----BEGIN {label}-----\n" + "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + f"\n-----END {label}-----\n"
+        for text in (block, json.dumps(block), json.dumps(json.dumps(block)), json.dumps(block).replace("/", "\\/"), block.replace("\n", "\r\n")):
+            (start, kind, end), = secrets.confirmed_spans(text)
+            assert kind == "der" and text[start:end].startswith("-----BEGIN") and text[start:end].endswith("KEY-----")
+    assert kinds(b64(sealed)) == ["der"] and kinds(f"\\n{b64(RSA)}\\n") == ["der"]
+    old = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(old.format("0A" * 16, b64(b"\x91" * 64))) == ["der"] and kinds(json.dumps(old.format("0A" * 16, b64(b"\x91" * 64)))) == ["der"]
+    assert kinds(old.format("0A" * 16, b64(b"\x91" * 63))) == [] and kinds(old.format("none", b64(b"\x91" * 64))) == []
+    assert kinds("-----BEGIN PRIVATE KEY-----\nplain words, no key - at all\n-----END PRIVATE KEY-----") == []
+
+
 def test_not_confirmed():
     assert kinds(b64(b"0" + b"just some text that is long enough to be a candidate")) == []
     assert kinds(b64(RSA[:-1])) == [] and kinds(b64(RSA + b"x")) == []  # lengths must fit to the last byte

@@ -29,9 +29,13 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# The body may have header lines, and line breaks escaped once or more, as in JSON or .env files.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[\x20-\x2c\x2e-\x7e\s]|-(?!----))+)-----END \1-----")
+_BREAK = re.compile(r"\\+[nrt]")
+_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+_CIPHER = re.compile(r"[A-Za-z0-9-]+,([0-9A-Fa-f]{16,32})")
 # A DER sequence starts with the byte 0x30, so its base64 starts with M and its hex with 30; OpenSSH blobs start with a length.
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9]|AAAA|b3Bl)[A-Za-z0-9+/_-]{30,}={0,2}")
+_B64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-Za-z0-9]|AAAA|b3Bl)[A-Za-z0-9+/_-]{30,}={0,2}")
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){23,}(?![0-9A-Fa-f])")
 _OPENSSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -83,7 +87,25 @@ def is_key_encoding(data: bytes | None) -> bool:
     if tag == 0x02:
         rest = {p[0] for p in parts[1:]}
         return end - start >= 1 and (bool(rest & {0x04, 0x30}) or len(parts) >= 8 and rest == {0x02} or len(parts) == 2 and rest == {0x02})
-    return tag == 0x30 and any(t == 0x03 for t, _, _ in parts) and data[start : start + 1] == b"\x06"
+    # A public key is a bit string after its algorithm; an encrypted private key is an octet string, and nothing else.
+    return tag == 0x30 and data[start : start + 1] == b"\x06" and (any(t == 0x03 for t, _, _ in parts) or [t for t, _, _ in parts[1:]] == [0x04])
+
+
+def block_kind(label: str, body: str) -> str | None:
+    """The kind of a PEM block, None if its body is no key."""
+    lines = [line.strip() for line in _BREAK.sub("\n", body).replace("\\/", "/").split("\n")]
+    headers: dict[str, str] = {}
+    while lines and (not lines[0] or _HEADER.match(lines[0])):
+        name, _, value = lines.pop(0).partition(":")
+        headers[name.lower()] = value.strip()
+    raw = _unpadded("".join("".join(lines).split()))
+    if is_ssh_key(raw):
+        return "ssh"
+    if is_key_encoding(raw):
+        return "der"
+    # Encrypted as a whole, so only the headers and the length, whole blocks of the cipher, can confirm it.
+    sealed = label.endswith("PRIVATE KEY") and headers.get("proc-type", "").replace(" ", "") == "4,ENCRYPTED" and (cipher := _CIPHER.fullmatch(headers.get("dek-info", "")))
+    return "der" if sealed and raw and len(raw) >= 24 and len(raw) % (len(cipher[1]) // 2) == 0 else None
 
 
 def is_ssh_key(data: bytes | None) -> bool:
@@ -134,8 +156,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     blocks = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            raw = _unpadded("".join(m[2].split()))
-            kind = "ssh" if is_ssh_key(raw) else "der" if is_key_encoding(raw) else None
+            kind = block_kind(m[1], m[2])
             if kind:
                 found.append((m.start(), kind, m.end()))
                 blocks.append((m.start(), m.end()))
