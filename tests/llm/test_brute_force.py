@@ -151,6 +151,17 @@ def test_encoder_matches_the_files_own_library():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_added_tokens_get_their_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x\n<|endoftext", "é<|endoftext|>  é", "plain"]
+    ids, bounds = packing._encoder(path).encode(odd)
+    want = [own.encode(t, add_special_tokens=False).ids for t in odd]
+    assert 50256 in want[0] and [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    rows = packing.pack(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), path).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(w) + 1 for i, w in enumerate(want)}
+
+
 def test_hilbert_curve_visits_every_cell_by_single_steps():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert_keys(cells, 3)

@@ -42,31 +42,38 @@ class Encoder:
 
     The file's merges are ranked by the ids of their results, so its vocabulary is a
     rank table, and a rank encoder gives the very ids the file's own library gives
-    (a test holds both against each other), several times faster. Strings of special
-    tokens in a text are ordinary text.
+    (a test holds both against each other), several times faster. With ``added`` the
+    file's added tokens (<|endoftext|>) get their own ids wherever they stand in a text,
+    as in that library by default; else their strings are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         with open(path, encoding="utf-8") as source:
-            vocabulary = json.load(source)["model"]["vocab"]
+            held = json.load(source)
+        vocabulary = held["model"]["vocab"]
+        tokens = held.get("added_tokens") or [] if added else []
+        if any(t.get(option) for t in tokens for option in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take spaces or whole words only are not supported")
+        self._added = {t["content"]: t["id"] for t in tokens}
         # Byte-level vocabularies write each byte as a visible sign; bytes without one follow from 256.
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(visible)]
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if not piece.startswith("<|")}
-        self.size = max(vocabulary.values()) + 1
-        self._encoding = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = max([*vocabulary.values(), *self._added.values()]) + 1
+        self._encoding = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self._added)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the first id of each text (one more at the end)."""
-        found = [self._encoding.encode_to_numpy(text, disallowed_special=()) for text in texts]
+        held = set(self._added)
+        found = [self._encoding.encode_to_numpy(text, allowed_special=held if any(t in text for t in held) else set(), disallowed_special=()) for text in texts]
         bounds = np.concatenate(([0], np.cumsum([len(f) for f in found], dtype=np.int64)))
         return np.concatenate([np.zeros(0, np.uint32), *found]), bounds
 
 
 @cache
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 @cache
