@@ -86,3 +86,8 @@ def test_latest_by_key_does_not_depend_on_partitions(spark):
     for parts in (1, 4):
         got = {r["k"]: (r["p"], r["v"]) for r in matching.latest_by_key(rows.repartition(parts), "k", "p").collect()}
         assert got == {1: (5, "b"), 2: (None, "d")}
+
+
+def test_the_number_of_files_is_exact(spark):
+    rows = spark.range(30011).selectExpr("named_struct('file_name', concat('part-', id % 15011)) as _metadata", "id as day")
+    assert csv.load_metadata(rows).first()["filename"] == "15011 files"

@@ -137,7 +137,7 @@ def load_metadata(df: DataFrame, date_column: str | None = None, timed: bool = F
     at = [F.max(F.current_timestamp()).alias("loaded_at")] if timed else []
     return named.agg(
         *at,
-        F.when(one, F.max("_file")).otherwise(F.concat(F.approx_count_distinct("_file", 0.01), F.lit(" files"))).alias("filename"),
+        F.when(one, F.max("_file")).otherwise(F.concat(F.count_distinct("_file"), F.lit(" files"))).alias("filename"),
         F.count(F.lit(1)).alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
         F.lit(types).alias("column_types"),
