@@ -35,7 +35,11 @@ TOP = 2000
 HOT_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HOT_BYTES = 64  # of a word; longer ones are not broadcast
-_SCALE = 2_000_000
+# The lowest score of all cuts, floor(2000000 a / (l + r)), the first of equal ones; whole numbers of 38 digits on the way.
+CUT = (
+    "array_min(transform(sequence(1, size(firsts)), k -> struct("
+    "(cast(2000000 as decimal(18,0)) * a) div (cast(firsts[k - 1] as decimal(20,0)) + rests[k - 1]) as score, k, firsts[k - 1] as l, rests[k - 1] as r)))"
+)
 
 
 def _occurrences(docs: DataFrame, text_column: str, lang_column: str) -> DataFrame:
@@ -158,14 +162,10 @@ def mine(
     finally:
         for relation in relations:
             relation.forget()
-    cut = (
-        f"array_min(transform(sequence(1, size(firsts)), k -> struct("
-        f"(cast({_SCALE} as decimal(20,0)) * a) div (cast(firsts[k - 1] as decimal(20,0)) + rests[k - 1]) as score, k, firsts[k - 1] as l, rests[k - 1] as r)))"
-    )
     found = None
     for words, grams in enumerate(turns[1:], 2):
         kept = _outside(grams, turns[words] if words < max_words else None, inside_percent)
-        part = kept.withColumn("_cut", F.expr(cut)).select("lang", "phrase", F.lit(words).alias("words"), "a", "_cut.l", "_cut.r", "_cut.score")
+        part = kept.withColumn("_cut", F.expr(CUT)).select("lang", "phrase", F.lit(words).alias("words"), "a", "_cut.l", "_cut.r", "_cut.score")
         found = part if found is None else found.unionByName(part)
     return attach(found, seen.groupBy("lang").agg(F.sum("a").alias("n")), ["lang"])
 
@@ -173,7 +173,8 @@ def mine(
 _SQL = r"""
 with pieces as (
   select coalesce(lang, 'und') as lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece from documents),
+-
+]')) as piece from documents),
 listed as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from pieces),
 spread as (select lang, w, unnest(range(1, len(w) + 1)) as i from listed),
 grams as (select lang, w[i:i + k - 1] as g, k, count(*) as f from spread, (select unnest([1, 2, 3, 4]) as k) where i + k - 1 <= len(w) group by all),
