@@ -40,7 +40,8 @@ def normalize_name(name: Column) -> Column:
     return strip(F.regexp_replace(title_case(split), r"\s+", " "))
 
 
-def _tokens(text: Column) -> Column:
+def word_set(text: Column) -> Column:
+    """The distinct words of a text in order."""
     return F.array_sort(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != "")))
 
 
@@ -81,7 +82,7 @@ def token_set_ratio(left: Column, right: Column) -> Column:
     Shared words score against each side's remainder; one side's words being
     a subset of the other's gives 100.
     """
-    words = F.struct(_tokens(left).alias("mine"), _tokens(right).alias("theirs"))
+    words = F.struct(word_set(left).alias("mine"), word_set(right).alias("theirs"))
     return let(words, _score_words)
 
 

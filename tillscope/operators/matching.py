@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.text import normalize_name, token_set_ratio
 from tillscope.operators.lookup import attach
 from tillscope.operators.metrics import METRICS, Metric
+from tillscope.operators.nearest import CANDIDATE_BLOCK, QUERY_BLOCK, pruned_match
 
 # Words that mark sales data, strongly or possibly.
 STRONG_TERMS = (
@@ -170,55 +168,15 @@ def cosine_match(
     id_column: str,
     vector: str,
     threshold: float = COSINE_THRESHOLD,
-    query_block: int = 8_000,
-    candidate_block: int = 4_000,
+    query_block: int = QUERY_BLOCK,
+    candidate_block: int = CANDIDATE_BLOCK,
 ) -> DataFrame:
     """The most similar candidate of every query by cosine, exactly; equals go to the smallest id.
 
-    Both sides are hashed into blocks of bounded size; each task multiplies one
-    query block by one candidate block and keeps one best candidate per query.
-    A match below the threshold is not accepted but its score is returned. Queries
-    without a vector, and all queries if there is no candidate, have no match and no score.
+    A match below the threshold is not accepted but its score is returned. ``pruned_match``
+    says how pairs are skipped, which vectors have no score, and how many pairs were left.
     """
-    query_blocks = max(1, math.ceil(queries.count() / query_block))
-    candidate_blocks = max(1, math.ceil(candidates.count() / candidate_block))
-    kinds = [df.schema[id_column].dataType.simpleString() for df in (queries, candidates)]
-    keyed = lambda df: df.where(F.col(vector).isNotNull()).select(
-        F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")
-    )
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-    left = keyed(queries).withColumn("qb", block(query_blocks)).withColumn("cb", grid(candidate_blocks))
-    right = keyed(candidates).withColumn("cb", block(candidate_blocks)).withColumn("qb", grid(query_blocks))
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        matrix = np.vstack(vectors.to_numpy())
-        length = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-    def best_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": q["id"].iloc[:0], "score": pd.Series([], dtype=float), "candidate": c["id"].iloc[:0]})
-        c = c.sort_values("id")
-        ids, others = c["id"].to_numpy(), unit(c["v"]).T
-        parts = []
-        for start in range(0, len(q), 1024):
-            part = q.iloc[start : start + 1024]
-            scores = unit(part["v"]) @ others
-            winner = scores.argmax(axis=1)
-            best = scores[np.arange(len(part)), winner]
-            parts.append(pd.DataFrame({"id": part["id"], "score": best, "candidate": ids[winner]}))
-        return pd.concat(parts)
-
-    best = (
-        left.groupBy("qb", "cb")
-        .cogroup(right.groupBy("qb", "cb"))
-        .applyInPandas(best_in_block, f"id {kinds[0]}, score double, candidate {kinds[1]}")
-    )
-    top = best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("order"), "candidate")).alias("top"))
-    score = -F.col("top.order")
-    matched = top.select("id", F.when(score >= threshold, F.col("top.candidate")).alias("match"), score.alias("score"))
-    return queries.select(F.col(id_column).alias("id")).join(matched, "id", "left").withColumnRenamed("id", id_column)
+    return pruned_match(queries, candidates, id_column, vector, threshold, query_block, candidate_block).rows
 
 
 def metric_definitions(df: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFrame:

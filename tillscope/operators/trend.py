@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.numbers import finite, fixed
 from tillscope.functions.text import let
+from tillscope.operators.calendars import Rule, is_rules, rule_dates, rule_hit
 
 # Anomaly threshold in deviations, fewest points, trend and volatility bands.
 ANOMALY_Z = 2.0
@@ -17,6 +20,7 @@ ANOMALY_POINTS = 3
 UP, DOWN = 1.1, 0.9
 HIGH_VOLATILITY, MODERATE_VOLATILITY = 0.3, 0.1
 HOLIDAY_DAYS = 7
+WINDOW_DAYS = 31  # a holiday's own window reaches no farther
 
 # Shopping calendar as month, day, name, expected impact.
 HOLIDAYS = (
@@ -151,16 +155,25 @@ def holiday_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(HOLIDAYS, "month int, day int, name string, impact string")
 
 
-def holidays_between(span: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """Holidays of every year between a one-row (first, last) span: 15 rows per year."""
+def holidays_between(span: DataFrame, holidays: DataFrame | None = None, windows: bool = False) -> DataFrame:
+    """Holidays of every year between a one-row (first, last) span: as many rows per year as there are holidays.
+
+    ``holidays`` has a month and a day for each, the same every year, or is a table of
+    rules (``calendars.rule_table``). With ``windows`` also the days before and after that
+    each has an effect on (none in the fixed table).
+    """
     holidays = holidays if holidays is not None else holiday_table(span.sparkSession)
     bounds = span.select(F.struct(F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last")).alias("s")).scalar()
     first, last = bounds.getField("first"), bounds.getField("last")
+    more = ["before", "after"] if windows else []
+    if is_rules(holidays):
+        return rule_dates(holidays, first, last).select("date", "name", "impact", *more)
     years = F.explode(F.sequence(F.year(first), F.year(last)))
     dated = holidays.withColumn("year", years).select(
         F.expr("try_make_timestamp(year, month, day, 0, 0, 0)").cast("date").alias("date"),
         "name",
         "impact",
+        *[F.lit(0).alias(c) for c in more],
     )
     return dated.where(F.col("date").between(first, last))
 
@@ -282,17 +295,24 @@ def holiday_effect(
     when: str,
     value: str,
     keys: Sequence[str] = (),
-    days: int = 3,
+    days: int | None = 3,
     holidays: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean deviation from trend within ``days`` of each holiday, against all other days."""
+    """Mean deviation from trend within ``days`` of each holiday, against all other days.
+
+    Without ``days`` each holiday counts in the window its rule states.
+    """
     totals = daily_totals(df, when, value, keys)
     residual = _residuals(totals, keys)
     span = totals.agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    wide = span.select(F.date_sub("first", days).alias("first"), F.date_add("last", days).alias("last"))
-    around = holidays_between(wide, holidays).select(
-        "name", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))).alias("day")
+    margin = WINDOW_DAYS if days is None else days
+    wide = span.select(F.date_sub("first", margin).alias("first"), F.date_add("last", margin).alias("last"))
+    before, after = (F.col(c) if days is None else F.lit(days) for c in ("before", "after"))
+    around = holidays_between(wide, holidays, windows=True).select(
+        "name", F.explode(F.sequence(F.date_sub("date", before), F.date_add("date", after))).alias("day")
     )
+    # Windows of two dates of one holiday may meet; a day counts once.
+    around = around.distinct()
     near = residual.join(around, "day").groupBy(*keys, "name").agg(
         F.sum("n").alias("rows"), F.sum("residual").alias("near")
     )
@@ -310,17 +330,25 @@ Term = tuple[str, str, Column]
 MONTH_DAYS = 30.5
 
 
-def _regressors(when: str, origin: Column, yearly: int, weekly: int, monthly: int, holidays: bool) -> list[Term]:
-    """Intercept, years since the origin, Fourier terms of the year, week and month, and one indicator per holiday."""
+def _regressors(
+    when: str, origin: Column, yearly: int, weekly: int, monthly: int, holidays: bool | Sequence[Rule], hinges: Sequence[datetime.date] = ()
+) -> list[Term]:
+    """Intercept, years since the origin and since each hinge, Fourier terms of the year, week and month, and one indicator per holiday.
+
+    ``holidays`` is true for the fixed table, or lists rules, whose indicators hold in their windows.
+    """
     t = F.date_diff(F.col(when), origin).cast("double")
     terms: list[Term] = [("trend", "level", F.lit(1.0)), ("trend", "trend", t / 365.25)]
+    terms += [("trend", f"hinge {day}", F.greatest(F.date_diff(F.col(when), F.lit(day)).cast("double"), F.lit(0.0)) / 365.25) for day in hinges]
     for part, name, period, order in (
         ("yearly", "year", 365.25, yearly), ("weekly", "week", 7.0, weekly), ("monthly", "month", MONTH_DAYS, monthly),
     ):
         for k in range(1, order + 1):
             angle = t * (2 * math.pi * k / period)
             terms += [(part, f"{name}_sin{k}", F.sin(angle)), (part, f"{name}_cos{k}", F.cos(angle))]
-    if holidays:
+    if holidays and holidays is not True:
+        terms += [("holiday", f"holiday {rule.name}", rule_hit(F.col(when), rule).cast("double")) for rule in holidays]
+    elif holidays:
         for month, day, name, _ in HOLIDAYS:
             hit = (F.month(when) == month) & (F.dayofmonth(when) == day)
             terms.append(("holiday", f"holiday {name}", hit.cast("double")))
@@ -391,10 +419,14 @@ def seasonal_fit(
     yearly: int = 3,
     weekly: int = 0,
     monthly: int = 0,
-    holidays: bool = False,
+    holidays: bool | Sequence[Rule] = False,
+    hinges: Sequence[datetime.date] = (),
 ) -> DataFrame:
-    """Additive trend, seasonality and holidays by least squares: one row per coefficient."""
-    terms = _regressors("day", F.lit(ORIGIN).cast("date"), yearly, weekly, monthly, holidays)
+    """Additive trend, seasonality and holidays by least squares: one row per coefficient.
+
+    The trend's line bends at the given ``hinges``; ``bends.trend_bends`` finds such days.
+    """
+    terms = _regressors("day", F.lit(ORIGIN).cast("date"), yearly, weekly, monthly, holidays, hinges)
     solved = _coefficients(daily_totals(df, when, value, keys), terms, keys)
     labelled = F.arrays_zip(F.array(*[F.lit(n) for _, n, _ in terms]).alias("term"), F.col("_c").alias("coefficient"))
     return solved.select(*keys, F.inline(labelled)).toDF(*keys, "term", "coefficient")
@@ -408,10 +440,16 @@ def trend_components(
     yearly: int = 3,
     weekly: int = 2,
     monthly: int = 0,
-    holidays: bool = True,
+    holidays: bool | Sequence[Rule] = True,
+    hinges: Sequence[datetime.date] = (),
+    interval: float | None = None,
 ) -> DataFrame:
-    """The fitted model day by day: rows, mean, trend, yearly, weekly, monthly and holiday parts, and their sum."""
-    terms = _regressors("day", F.lit(ORIGIN).cast("date"), yearly, weekly, monthly, holidays)
+    """The fitted model day by day: rows, mean, trend, yearly, weekly, monthly and holiday parts, and their sum.
+
+    With ``interval`` also lower and upper, between which that share of single rows lies
+    by the deviation of all rows of the series from the fit.
+    """
+    terms = _regressors("day", F.lit(ORIGIN).cast("date"), yearly, weekly, monthly, holidays, hinges)
     days = daily_totals(df, when, value, keys)
     known = _with_line(days, _coefficients(days, terms, keys), keys)
     parts = {}
@@ -419,4 +457,13 @@ def trend_components(
         own = [F.get("_c", F.lit(i)) * c for i, (of, _, c) in enumerate(terms) if of == part]
         parts[part] = sum(own[1:], own[0]) if own else F.lit(0.0)
     out = known.select(*keys, "day", F.col("n").alias("rows"), (F.col("sum_y") / F.col("n")).alias("mean"), *[c.alias(n) for n, c in parts.items()])
-    return out.withColumn("fitted", F.col("trend") + F.col("yearly") + F.col("weekly") + F.col("monthly") + F.col("holiday"))
+    out = out.withColumn("fitted", F.col("trend") + F.col("yearly") + F.col("weekly") + F.col("monthly") + F.col("holiday"))
+    if interval is None:
+        return out
+    fitted = out.join(days.select(*keys, "day", "sum_y", "sum_yy"), [*keys, "day"]) if keys else out.join(days.select("day", "sum_y", "sum_yy"), "day")
+    off = F.sum(F.col("sum_yy") - 2 * F.col("fitted") * F.col("sum_y") + F.col("rows") * F.col("fitted") * F.col("fitted"))
+    free = F.greatest(F.sum("rows") - F.lit(len(terms)), F.lit(1))
+    spread = fitted.groupBy(*keys).agg(F.sqrt(F.greatest(off, F.lit(0.0)) / free).alias("_spread"))
+    reach = F.col("_spread") * NormalDist().inv_cdf(0.5 + interval / 2)
+    banded = _with_line(out, spread, keys)
+    return banded.withColumn("lower", F.col("fitted") - reach).withColumn("upper", F.col("fitted") + reach).drop("_spread")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.sources import files
+
 # Row bounds of a load.
 MIN_ROWS, MAX_ROWS = 1, 1_000_000
 
@@ -22,21 +24,32 @@ def csv_scan(
     schema: T.StructType | str | None = None,
     encoding: str = "UTF-8",
     corrupt: str | None = None,
+    by_name: bool = True,
     **options,
 ) -> DataFrame:
     """Rows of CSV files with a header; dates stay text until they are parsed on purpose.
 
     Give a schema at scale: without one the files are read an extra time to infer it.
+    Columns are found by name: the first lines are read ahead, and files of other headers
+    than the schema's, or than each other's, are read by their own and united.
+    ``by_name=False`` takes all files to have the columns of the schema in its order.
     ``corrupt`` names a column for the raw text of rows that do not fit the schema,
-    which ``load_checks`` counts. Records with quoted line breaks need
-    ``multiLine=True``, which reads each file in one task; ``split_records`` finds out.
+    which ``load_checks`` counts. Records with quoted line breaks need ``multiLine=True``,
+    which reads each file in one task; ``files.scan_files`` reads those in many, and
+    detects encodings.
     """
-    reader = spark.read.options(header=True, mode="PERMISSIVE", encoding=encoding, **options)
+    options = {"mode": "PERMISSIVE", **options}
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if by_name:
+        groups = files.header_groups(spark, path, encoding, options.get("sep", ","), options.get("quote", '"'))
+        alike = len(groups) <= 1 and (schema is None or all([n.lower() for n in header] == [n.lower() for n in schema.names] for header in groups))
+        if not alike:
+            return files.by_header(spark, groups, schema, encoding, corrupt, options)
+    reader = spark.read.options(header=True, encoding=encoding, **options)
     if schema is None:
         inferred = reader.option("inferSchema", True).csv(path).schema
-        schema = T.StructType([T.StructField(f.name, _undated(f.dataType)) for f in inferred.fields])
+        schema = T.StructType([T.StructField(f.name, files.undated(f.dataType)) for f in inferred.fields])
     if corrupt:
-        schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
     return reader.schema(schema).csv(path)
@@ -48,14 +61,6 @@ def split_records(spark: SparkSession, path: str) -> DataFrame:
     return _raw_lines(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(quotes % 2 == 1).alias("open_lines"))
 
 
-def _undated(kind: T.DataType) -> T.DataType:
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return T.StringType()
-    if isinstance(kind, T.IntegerType):
-        return T.LongType()
-    return kind
-
-
 def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines as the bytes they are, with their file; large files are split over tasks."""
     lines = spark.read.option("recursiveFileLookup", True).text(path)
@@ -76,10 +81,12 @@ def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
 def csv_scan_any(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, **options) -> DataFrame:
     """Rows of CSV files in mixed encodings, each file read in its own; the file comes first in every row.
 
-    Headers, blank lines and quotes are the CSV reader's business: a header is the
-    first line of a file and nothing else. The list of files passes through the
-    driver, as it does in every scan.
+    Columns are found by the header of each file (``files.scan_files``). Without headers
+    they are those of the schema in order, in UTF-8 or Latin-1, and records over lines
+    need ``multiLine=True``.
     """
+    if header:
+        return files.scan_files(spark, path, schema, file_column="file", **options)
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     groups: dict[str, list[str]] = {"utf-8": [], "latin1": []}
     for row in encoding_audit(spark, path).orderBy("file").collect():
