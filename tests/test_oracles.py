@@ -11,7 +11,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 from tillscope.plans.catalog import ORACLES, QUERIES
 
 PYTHON = re.compile(r"ArrowEvalPython|MapInPandas|MapInArrow|FlatMapGroupsInPandas|FlatMapCoGroupsInPandas|BatchEvalPython")
-PYTHON_ALLOWED = {"cosine_match"}
+PYTHON_ALLOWED = {"cosine_match", "cosine_match_cells", "trend_bends"}
 
 
 @pytest.fixture
@@ -45,4 +45,4 @@ def test_matches_sql(spark, folder, key, plans):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | {"trend_bends"}  # held against planted bends

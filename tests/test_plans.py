@@ -8,7 +8,7 @@ from tillscope.plans import views
 from tillscope.plans.catalog import QUERIES
 from tillscope.operators import metrics, panel
 
-PYTHON_ALLOWED = {"cosine_match"}
+PYTHON_ALLOWED = {"cosine_match", "cosine_match_cells", "trend_bends"}
 SAMPLE = ("kpi_panel", "category_panel", "kpi_pack", "drop_duplicates", "standardize_text", "ffill_bfill",
           "profile_columns", "top_values", "fuzzy_match", "text_sections", "text_tables", "trend_fit",
           "clip_outliers_by_group", "impute_by_group", "period_change", "cosine_match", "seasonal_fit")

@@ -20,8 +20,8 @@ SPACING = 15  # days between candidate bends
 HISTORY = 0.9  # of a series' span may bend
 INTERVAL = 0.8
 RIDGE = 1e-3  # on seasons and holidays, of the mean square
-PATH = 25  # penalties tried
-_SWEEPS = 300
+PATH = 16  # penalties tried
+_SWEEPS = 50
 _MOST = 250  # candidate bends of one series; longer spans are spaced wider
 
 
@@ -47,7 +47,7 @@ def _lasso(gram: np.ndarray, moments: np.ndarray, penalty: np.ndarray, ridge: np
                 products += gram[:, j] * step
                 c[j] = fresh
                 most = max(most, abs(step))
-        if most < 1e-7 * (1e-12 + np.abs(c).max()):
+        if most < 1e-4 * (1e-12 + np.abs(c).max()):
             break
     return c
 
@@ -204,7 +204,8 @@ def trend_bends(
             frame.insert(i, k, series[k].iloc[0] if len(series) else None)
         return frame
 
-    grouped = days.withColumn("t", number(F.col("day"))).select(*keys, "t", "n", "sum_y", "sum_yy").groupBy(*(keys or [F.lit(1)]))
+    rows = days.select(*keys, number(F.col("day")).alias("t"), "n", "sum_y", "sum_yy", F.lit(1).alias("_one"))
+    grouped = rows.groupBy(*(keys or ["_one"]))
     found = written(grouped.applyInPandas(fit, schema), "trend-bends")
     dated = F.date_add(F.lit("1970-01-01").cast("date"), F.col("t")).alias("day")
     components = found.where("rows is not null").select(*keys, dated, F.col("rows").cast("long"), *numbers[1:-1])

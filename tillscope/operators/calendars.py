@@ -154,8 +154,9 @@ def rule_dates(rules: DataFrame, first: Column, last: Column) -> DataFrame:
     Years next to the span count too, since a day can move over New Year.
     """
     years = F.explode(F.sequence(F.year(first) - 1, F.year(last) + 1))
+    # Out of a generator, so that the filter on the date is not put in place of it and evaluates the rule once more.
     dated = rules.withColumn("_year", years).select(
-        rule_date(F.col("_year")).alias("date"), "name", "impact", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("before", "after")]
+        F.explode(F.array(rule_date(F.col("_year")))).alias("date"), "name", "impact", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("before", "after")]
     )
     return dated.where(F.col("date").between(first, last))
 
