@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Adaptive execution re-plans joins from measured sizes, splits skewed join
 # partitions and merges small shuffle partitions. Splitting is forced because a
 # join on an order key usually feeds an aggregate on the same key, and Spark would
-# rather keep that partitioning than split a hot order.
+# rather keep that partitioning than split a hot order. Batches for Python are small:
+# a batch is held on both sides, and texts become many times their size there.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,6 +19,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
