@@ -381,3 +381,20 @@ def test_broken_packages_fail(tmp_path):
     (tmp_path / "no.zip").write_bytes(b"not a package")
     with pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "no.zip")) as source, pytest.raises(ValueError):
         archives.central_directory(source)
+
+
+def test_benchmark_of_several_blocks(spark, monkeypatch):
+    """The same findings from one block and from many, in one pass over the documents; equal items are all named."""
+    words = [f"w{i}" for i in range(400)]
+    pick = random.Random(4)
+    items = [" ".join(pick.choices(words, k=pick.randint(3, 40))) for _ in range(60)]
+    table = spark.createDataFrame([*enumerate(items), (500, items[0]), (501, items[0]), (None, items[1])], "item_id long, text string")
+    texts = [" ".join(pick.choices(words, k=100)) + " " + items[i % 60] + " " + " ".join(pick.choices(words, k=5)) for i in range(90)]
+    docs = spark.createDataFrame([*enumerate([*texts, "none of it", None])], "doc_id long, text string")
+    whole = sorted((tuple(r) for r in decontamination.contaminations(docs, table, min_words=1).collect()), key=repr)
+    assert {(0, 0), (0, 500), (0, 501), (1, None), (1, 1)} <= {r[:2] for r in whole}
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 700)
+    assert len(decontamination._blocks(table, min_words=1)) > 5
+    many = decontamination.contaminations(docs, table, min_words=1)
+    assert sorted((tuple(r) for r in many.collect()), key=repr) == whole and str(many._jdf.queryExecution().toString()).count("MapInArrow") <= 4
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, table, min_words=1).collect()) == [90, 91]

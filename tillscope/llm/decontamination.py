@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,12 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, str]], min_words: int = MIN_WORDS) -> None:
         hashes, bounds = _words([text for _, text in items])
-        self.items = [(items[i][0], hashes[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b - a >= max(1, min_words)]
+        # Items of the same words are one class, searched and verified once.
+        classes: dict[bytes, tuple[list[object], np.ndarray]] = {}
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if b - a >= max(1, min_words):
+                classes.setdefault(hashes[a:b].tobytes(), ([], hashes[a:b]))[0].append(items[i][0])
+        self.items = list(classes.values())
         pairs = np.array([(w, i) for i, (_, words) in enumerate(self.items) for w in np.unique(words)], np.uint64).reshape(-1, 2)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         rare, first, numbers = np.unique(pairs[:, 0], return_index=True, return_counts=True)
@@ -148,17 +154,26 @@ class ItemIndex:
                 start = stop
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(row, item, edits) of every item found in the rows of words."""
-        candidates: dict[tuple[int, int], set[int]] = {}
+        """(row, class of items, edits) of every item found in the rows of words; candidates are held a piece at a time."""
+        best: dict[tuple[int, int], int] = {}
         for row, item, begin in self._candidates(words, bounds):
-            for r, i, b in zip(row.tolist(), item.tolist(), begin.tolist()):
-                candidates.setdefault((r, i), set()).add(b)
-        for (row, item), found in sorted(candidates.items()):
+            pieces = np.unique(np.stack((row, item, begin)), axis=1)
+            edges = np.flatnonzero(np.any(np.diff(pieces[:2], axis=1) != 0, axis=0)) + 1
+            for part in np.split(pieces, edges, axis=1) if pieces.shape[1] else ():
+                key = (int(part[0, 0]), int(part[1, 0]))
+                for edits in self._verified(words, bounds, *key, part[2].tolist()):
+                    best[key] = min(edits, best.get(key, edits))
+        for (row, item), edits in sorted(best.items()):
+            yield row, item, edits
+
+    def _verified(self, words: np.ndarray, bounds: np.ndarray, row: int, item: int, found: list[int]) -> Iterator[int]:
+        """The edits of an item in a row, near the places it may start at, if they are few enough."""
+        if found:
             pattern = self.items[item][1]
             size, edits = len(pattern), int(len(pattern) * MAX_EDITS)
             vocabulary, best = set(pattern.tolist()), edits + 1
             low = high = None
-            for start in [*sorted(found), None]:
+            for start in [*found, None]:
                 if start is not None and low is not None and start - edits <= high:
                     high = max(high, start + size + edits)
                     continue
@@ -169,7 +184,7 @@ class ItemIndex:
                 if start is not None:
                     low, high = start - edits, start + size + edits
             if best <= edits:
-                yield row, item, best
+                yield best
 
 
 def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", min_words: int = MIN_WORDS) -> Iterator[ItemIndex]:
@@ -184,14 +199,43 @@ def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: s
             yield index
 
 
-def _found(index: ItemIndex, column: pa.Array) -> Iterator[tuple[int, int, int]]:
+def _blocks(benchmark: DataFrame, **options) -> list[Broadcast]:
+    """Every block's index as a broadcast of bounded size; the driver holds one index at a time."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(index) for index in item_blocks(benchmark, **options)]
+
+
+def _cut(column: pa.Array) -> list[tuple[int, arrays.Tokens]]:
+    """Texts as words, a slice of rows at a time, with the first row of each."""
     texts = arrays.text_array(column, lower=True)
-    for first, last in arrays.slices(texts):
-        words = arrays.tokens(*arrays.slice_bytes(texts, first, last))
+    return [(first, arrays.tokens(*arrays.slice_bytes(texts, first, last))) for first, last in arrays.slices(texts)]
+
+
+def _found(index: ItemIndex, column: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """(row, class of items, edits) of every class of one block found in the texts."""
+    for first, words in _cut(column):
         for row, item, edits in index.search(words.hashes, words.bounds):
             yield first + row, item, edits
 
 
+def _found_in_blocks(blocks: list[Broadcast], column: pa.Array) -> Iterator[tuple[int, list[object], int, int]]:
+    """(row, ids, edits, words) of every class of all blocks; texts are cut into words once.
+
+    A worker holds one index; of several blocks each is read from the executor's disk for
+    a batch and dropped after it.
+    """
+    cut = _cut(column)
+    for block in blocks:
+        index = block.value
+        for first, words in cut:
+            for row, item, edits in index.search(words.hashes, words.bounds):
+                ids, pattern = index.items[item]
+                yield first + row, ids, edits, len(pattern)
+        if len(blocks) > 1:
+            del index
+            del block._value
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", min_words: int = MIN_WORDS) -> DataFrame:
     """id, item id, edits (smallest edit distance in words) and item_words of every pair of a document and an item in it.
 
@@ -203,43 +247,37 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
     kind, item_kind = rows.schema["_id"].dataType.simpleString(), benchmark.schema[item_column].dataType
-    parts = []
-    for index in item_blocks(benchmark, item_column, min_words=min_words):
-
-        def work(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = list(_found(index, batch.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([f[0] for f in found], pa.int64())),
-                        pa.array([None if (x := index.items[f[1]][0]) is None else str(x) for f in found], pa.string()),
-                        pa.array([f[2] for f in found], pa.int64()),
-                        pa.array([len(index.items[f[1]][1]) for f in found], pa.int64()),
-                    ],
-                    names=["_id", "_item", "edits", "item_words"],
-                )
-
-        parts.append(rows.mapInArrow(work, f"_id {kind}, _item string, edits long, item_words long"))
-    spark = docs.sparkSession
-    out = parts[0] if parts else spark.createDataFrame([], f"_id {kind}, _item string, edits long, item_words long")
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    blocks = _blocks(benchmark, id_column=item_column, min_words=min_words)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(row, item, edits, words) for row, ids, edits, words in _found_in_blocks(blocks, batch.column(1)) for item in ids]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array([f[0] for f in found], pa.int64())),
+                    pa.array([None if f[1] is None else str(f[1]) for f in found], pa.string()),
+                    pa.array([f[2] for f in found], pa.int64()),
+                    pa.array([f[3] for f in found], pa.int64()),
+                ],
+                names=["_id", "_item", "edits", "item_words"],
+            )
+
+    out = rows.mapInArrow(arrays.lean(work), f"_id {kind}, _item string, edits long, item_words long")
     return out.select(F.col("_id").alias(id_column), F.col("_item").cast(item_kind).alias(item_column), "edits", "item_words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
+    """The rows of ``docs``, all columns, that hold no benchmark item; one pass, whatever the number of blocks."""
     at = docs.columns.index(text_column)
-    for index in item_blocks(benchmark, min_words=min_words):
+    blocks = _blocks(benchmark, min_words=min_words)
 
-        def work(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in _found(index, batch.column(at))]] = False
-                yield batch.filter(pa.array(keep))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[f[0] for f in _found_in_blocks(blocks, batch.column(at))]] = False
+            yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+    return docs.mapInArrow(arrays.lean(work), docs.schema)
 
 
 @query("op5_cgk_decontamination")

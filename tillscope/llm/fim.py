@@ -141,7 +141,7 @@ def fill_in_middle(
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"), *_numbers(seed, id_column))
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n long, form string, prefix_chars long, middle_chars long, output string"
-    return rows.mapInArrow(work, schema).withColumnRenamed("_id", id_column)
+    return rows.mapInArrow(arrays.lean(work), schema).withColumnRenamed("_id", id_column)
 
 
 def restored(output: Column, form: Column) -> Column:

@@ -196,7 +196,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     digest = F.unhex(F.md5(text))
     rows = docs.select(F.col(id_column).alias("_id"), digest.alias("_digest"), text.alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    signed = rows.mapInArrow(_signed, f"_id {kind}, _digest binary, _bands array<long>")
+    signed = rows.mapInArrow(arrays.lean(_signed), f"_id {kind}, _digest binary, _bands array<long>")
     grouped = signed.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies"), F.first("_bands").alias("_bands"))
     classes = written(grouped.withColumn("_node", F.monotonically_increasing_id()), "text-classes")
     keyed = classes.select("_node", F.explode("_bands").alias("_key"))
@@ -210,7 +210,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     # Texts of candidates only: their classes are a small table unless duplicates abound, and then the join shuffles.
     wanted = members.select(F.col("_digest").alias("_wanted"), "_first", "root", "node", "_copies")
     met = rows.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, (F.col("_digest") == F.col("_wanted")) & F.col("_id").eqNullSafe(F.col("_first")))
-    loaded = written(met.select("root", "node", "_copies", "_text").mapInArrow(_loaded, "root long, node long, _copies long, _set binary, _signature binary"), "candidate-sets")
+    loaded = written(met.select("root", "node", "_copies", "_text").mapInArrow(arrays.lean(_loaded), "root long, node long, _copies long, _set binary, _signature binary"), "candidate-sets")
     found = written(
         links.in_blocks(loaded, BLOCK_ROWS).groupBy("_group").applyInArrow(_verified, "node long, documents long, texts long, tie long"), "verified-links"
     )

@@ -149,7 +149,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_c
                 )
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
-    return rows.mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _key long, _ids binary, _width int")
+    return rows.mapInArrow(arrays.lean(work), f"_id {rows.schema['_id'].dataType.simpleString()}, _key long, _ids binary, _width int")
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     order = ["_key", "_id", F.xxhash64("_ids")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(_fill, schema).withColumnRenamed("_id", id_column)
+    return placed.mapInArrow(arrays.lean(_fill), schema).withColumnRenamed("_id", id_column)
 
 
 @query("op4_curve_packing")

@@ -129,9 +129,9 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "q
         return pa.table({"weights": pa.array([fit(examples).tobytes()], pa.binary())})
 
     rows = labelled.select(F.col(text_column).cast("string").alias("_text"), F.col(label_column).cast("int").alias("_label"), F.col(order_column).alias("_place"))
-    found = rows.mapInArrow(features, "label int, place long, features array<int>, amounts array<float>")
+    found = rows.mapInArrow(arrays.lean(features), "label int, place long, features array<int>, amounts array<float>")
     # One task learns, on at most ``sample`` rows whatever the corpus: each update needs the weights of the one before.
-    model = found.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(learn, "weights binary").collect()
+    model = found.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(arrays.lean_group(learn), "weights binary").collect()
     return np.frombuffer(model[0][0], np.float32) if model else fit([])
 
 
@@ -166,7 +166,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, score double"
-    return rows.mapInArrow(work, schema).withColumnRenamed("_id", id_column)
+    return rows.mapInArrow(arrays.lean(work), schema).withColumnRenamed("_id", id_column)
 
 
 def scores_of(column: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -187,7 +187,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, text_column: str = "text", th
         for batch in batches:
             yield batch.filter(pa.array(scores_of(batch.column(at), weights) >= threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(arrays.lean(work), docs.schema)
 
 
 @query("op1_quality_classifier")

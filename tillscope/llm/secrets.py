@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.llm import arrays
 from tillscope.llm.registry import query
 
 KINDS = ("assign", "access", "hex", "token", "der", "ssh")
@@ -216,7 +217,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return rows.mapInArrow(work, schema).withColumnRenamed("_id", id_column)
+    return rows.mapInArrow(arrays.lean(work), schema).withColumnRenamed("_id", id_column)
 
 
 def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars", mask: str = "[SECRET]") -> DataFrame:
@@ -243,7 +244,7 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_c
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    out = docs.mapInArrow(work, docs.schema)
+    out = docs.mapInArrow(arrays.lean(work), docs.schema)
     if length_type:
         # Only a changed text changes its count: rows whose count was null or meant otherwise keep it.
         out = out.withColumn(length_column, F.when(F.contains(F.col(text_column), F.lit(mask)), F.char_length(text_column)).otherwise(F.col(length_column)).cast(length_type))
