@@ -137,33 +137,55 @@ def text_changes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- duplicates
 
 
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """128 bits of the cells of a row as two numbers; equal rows have equal ones."""
+    cells: list[Column] = []
+    for c in columns:
+        cell, kind = F.col(f"`{c}`"), df.schema[c].dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            cell = F.when(cell == 0, F.lit(0.0)).otherwise(cell)  # minus zero is zero
+        # A hash passes over a null, so which cells are null counts too.
+        cells += [cell.isNull(), cell]
+    return [F.xxhash64(*cells).alias("_print1"), F.xxhash64(F.lit("second"), *cells).alias("_print2")]
+
+
+def _repeated(df: DataFrame, row_id: str) -> DataFrame:
+    """Ids of all rows that equal an earlier one.
+
+    Only fingerprints and ids of all rows are shuffled, however wide the rows are. Rows
+    that share a fingerprint, and no others, are then grouped by all their cells, so
+    different rows of one fingerprint stay.
+    """
+    columns = [c for c in df.columns if c != row_id]
+    prints = df.select(*fingerprint(df, columns))
+    shared = written(prints.groupBy("_print1", "_print2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n"), "fingerprints")
+    suspects = df.select("*", *fingerprint(df, columns)).join(shared, ["_print1", "_print2"], "left_semi")
+    suspects = written(suspects.drop("_print1", "_print2"), "repeated")
+    firsts = suspects.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.min(row_id).alias(row_id)).select(row_id)
+    return suspects.select(row_id).join(firsts, row_id, "left_anti")
+
+
 def drop_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    """One copy of each distinct row; with ``row_id`` the copy that came first.
+    """One copy of each distinct row; with ``row_id``, which is unique, the copy that came first.
 
-    Copies are combined before the shuffle, so one row repeated any number of
-    times reaches the reducer once per task.
+    With ids the rows themselves are not shuffled: those that repeat an earlier one are
+    found by fingerprint and left out by id.
     """
     if row_id is None:
         return df.dropDuplicates()
-    columns = [c for c in df.columns if c != row_id]
-    firsts = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.min(row_id).alias(row_id))
-    return firsts.select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.join(written(_repeated(df, row_id), "duplicates"), row_id, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def duplicate_report(df: DataFrame, row_id: str, examples: int = 10) -> DataFrame:
     """Number of surplus rows and the ids of the first few."""
-    columns = [F.col(f"`{c}`") for c in df.columns if c != row_id]
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"), F.min(row_id).alias("first_id"))
-    surplus = groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
-    # Ids are unique, so this join is even however uneven the copies are.
-    extra = df.select(row_id).join(groups.select(F.col("first_id").alias(row_id)), row_id, "left_anti")
+    extra = written(_repeated(df, row_id), "duplicates")
     shown = (
         extra.orderBy(row_id)
         .limit(examples)
         .agg(F.array_join(F.array_sort(F.collect_list(row_id)), ",").alias("ids"))
         .scalar()
     )
-    return surplus.select("duplicates", shown.alias("first_ids"))
+    return extra.agg(F.count(F.lit(1)).alias("duplicates")).select("duplicates", shown.alias("first_ids"))
 
 
 # ---------------------------------------------------------------- invalid values
@@ -344,16 +366,22 @@ def _group_fill(df: DataFrame, column: str, group: str, method: str) -> DataFram
         counts = known.groupBy(group, F.col(f"`{column}`").alias("_fill")).agg(F.count(F.lit(1)).alias("_n"))
         order = Window.partitionBy(group).orderBy(F.desc("_n"), "_fill")
         best = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1)
-        return best.select(group, F.col("_fill").cast("double").alias("_fill"))
+        return best.select(group, "_fill")
     raise ValueError(f"unknown imputation method: {method}")
 
 
 def impute_by_group(df: DataFrame, column: str, group: str, method: str = "median") -> DataFrame:
-    """Fill nulls with their group's statistic, the rest with the median of the filled column."""
+    """Fill nulls with their group's statistic, the rest with the median of the filled column.
+
+    Columns that are no numbers keep their type with method ``mode``, and the rest takes the mode of the filled column.
+    """
     if method == "median":
         filled = clip_and_fill_by_group(df, [], [column], group)
         return fill_rest_with_median(filled, column)
     known = attach(df, _group_fill(df, column, group, method), [group])
+    if method == "mode" and not isinstance(df.schema[column].dataType, T.NumericType):
+        filled = known.withColumn(column, F.coalesce(F.col(f"`{column}`"), F.col("_fill")))
+        return impute_mode(filled.select(*[F.col(f"`{c}`") for c in df.columns]), [column])
     filled = known.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("double"), F.col("_fill"))).drop("_fill")
     filled = filled.select(*[F.col(f"`{c}`") for c in df.columns])
     return fill_rest_with_median(filled, column)

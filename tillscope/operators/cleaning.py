@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -164,8 +164,11 @@ def apply_cleaning(
     out = attempt("fix_negative", out, clean.fix_negative)
     if columns_for("handle_outliers") or columns_for("fill_missing"):
         out = written(out, "formatted")
-    outliers = [c for c in columns_for("handle_outliers") if _castable(out, c, failed, "handle_outliers")]
-    missing = {c: types[c] for c in columns_for("fill_missing") if types[c] not in AMOUNT_TYPES or _castable(out, c, failed, "fill_missing")}
+    amounts = [c for c in columns_for("fill_missing") if types[c] in AMOUNT_TYPES]
+    unfit = _not_numbers(out, {*columns_for("handle_outliers"), *amounts})
+    failed |= {f"{c}_handle_outliers" for c in columns_for("handle_outliers") if c in unfit} | {f"{c}_fill_missing" for c in amounts if c in unfit}
+    outliers = [c for c in columns_for("handle_outliers") if c not in unfit]
+    missing = {c: types[c] for c in columns_for("fill_missing") if types[c] not in AMOUNT_TYPES or c not in unfit}
     out = _clip_and_fill(out, outliers, missing, product, row_id)
     status = lambda step: "failed" if step in failed else "applied" if step in wanted else "skipped"
     log = df.sparkSession.createDataFrame(
@@ -174,14 +177,22 @@ def apply_cleaning(
     return out, log
 
 
-def _castable(df: DataFrame, column: str, failed: set[str], action: str) -> bool:
-    """Whether a column can be read as a number; if not, its step is marked as failed."""
-    try:
-        df.select(F.col(f"`{column}`").cast("double"))
-        return True
-    except AnalysisException:
-        failed.add(f"{column}_{action}")
-        return False
+def _not_numbers(df: DataFrame, columns: Iterable[str]) -> set[str]:
+    """The columns with a cell that can't be read as a number, from one scan of those that are no numbers by type."""
+    out, counted = set(), []
+    for column in sorted(columns):
+        if is_numeric(df.schema[column].dataType):
+            continue
+        try:
+            df.select(F.col(f"`{column}`").cast("double"))
+            counted.append(column)
+        except AnalysisException:
+            out.add(column)
+    if counted:
+        bad = lambda c: F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull())
+        found = df.agg(*[bad(c).alias(f"n{i}") for i, c in enumerate(counted)]).first()
+        out |= {c for c, n in zip(counted, found) if n}
+    return out
 
 
 def _clip_and_fill(

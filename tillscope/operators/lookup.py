@@ -43,6 +43,7 @@ def join_measured(rows: DataFrame, stats: DataFrame, keys: Sequence[str], small:
 
 
 def salted_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salts: int) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts))
+    # Rows that are equal in every column differ in their partition, which a repeated task has again.
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")

@@ -164,14 +164,16 @@ def sales_by(sales: DataFrame, dimension: str, by: Sequence[str] = ()) -> DataFr
 
 def share_by(sales: DataFrame, dimension: str, by: Sequence[str] = ()) -> DataFrame:
     """Percent of all sales per value of a dimension; the total keeps rows without one."""
-    amount = F.coalesce(F.sum(F.col(PRICE) * F.col(QUANTITY)), F.lit(0)).cast("double")
-    totals = sales.groupBy(*by).agg(amount.alias("_total"))
-    parts = sales_by(sales, dimension, by)
-    if by:
-        joined = parts.join(totals, list(by))
-    else:
-        joined = parts.withColumn("_total", totals.scalar())
-    return joined.select(*by, "category", (F.try_divide(F.col("value"), F.col("_total")) * 100).alias("value"))
+    amount = F.sum(F.col(PRICE) * F.col(QUANTITY))
+    plain = lambda total: F.coalesce(total, F.lit(0)).cast("double")
+    share = lambda total: (F.try_divide(F.col("value"), total) * 100).alias("value")
+    if not by:
+        total = sales.agg(plain(amount).alias("_total")).scalar()
+        return sales_by(sales, dimension).select("category", share(total))
+    # One aggregate; the totals are sums over its groups, those without a value of the dimension or of a key included.
+    parts = sales.groupBy(*by, F.col(dimension).alias("category")).agg(amount.alias("_amount"))
+    whole = parts.withColumn("_total", plain(F.sum("_amount").over(Window.partitionBy(*by)))).withColumn("value", plain(F.col("_amount")))
+    return whole.where(F.col("category").isNotNull()).select(*by, "category", share(F.col("_total")))
 
 
 def top_by(sales: DataFrame, dimension: str, by: Sequence[str] = ()) -> DataFrame:
