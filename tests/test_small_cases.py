@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tillscope.operators import clean, cleaning, lookup, metrics
+from tillscope.operators import clean, cleaning, lookup, metrics, panel, report
+from tillscope.plans import views
 
 
 def test_shares_keep_groups_without_a_key(spark):
@@ -70,3 +71,38 @@ def test_fingerprints_tell_nulls_apart(spark, columns):
     prints = frame.select("id", *clean.fingerprint(frame, columns)).collect()
     same = {tuple(r[1:]) for r in prints}
     assert len(same) == {1: 3, 4: 5}[len(columns)]
+
+
+def test_one_value_decides_the_order_of_a_column(spark):
+    rows = [(1, "03/04/2024", "03/04/2024", "5-6-2024"), (2, "25/12/2024", "12/25/2024", "13-1-2024"), (3, "2024-02-01", "1/2/2024 10:30", "1-13-2024"), (4, None, "x", "")]
+    frame = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    found = {r["column"]: (r["first_over"], r["second_over"], r["ambiguous"], r["order"]) for r in clean.date_orders(frame, ["a", "b", "c"]).collect()}
+    assert found == {"a": (1, 0, 1, "dmy"), "b": (0, 1, 2, "mdy"), "c": (1, 1, 1, None)}
+    orders = clean.decided_orders(frame, ["a", "b", "c"])
+    assert orders == {"a": "dmy", "b": "mdy"}
+    got = clean.parse_dates(frame, ["a", "b", "c"], orders).orderBy("id").collect()
+    assert [str(r["a"])[:10] for r in got] == ["2024-04-03", "2024-12-25", "2024-02-01", "None"]
+    assert [str(r["b"])[:16] for r in got] == ["2024-03-04 00:00", "2024-12-25 00:00", "2024-01-02 10:30", "None"]
+    assert str(clean.parse_dates(frame, ["a"]).where("id = 1").first()["a"])[:10] == "2024-03-04"  # value by value, months first
+
+
+def test_own_metrics_reach_pack_panel_and_cards(spark, folder):
+    sales = views.sales(spark, folder)
+    own = [
+        metrics.OwnMetric("Buyers", {"d": metrics.distinct_estimate("customer_id")}, lambda s: s["d"], ("customer_id",)),
+        metrics.OwnMetric("Median Quantity", {"q": metrics.quantile_estimate("quantity", 0.5)}, lambda s: s["q"], ("quantity",)),
+        metrics.OwnMetric("Smallest Price", {"m": metrics.smallest("selling_price")}, lambda s: s["m"], ("selling_price",)),
+        metrics.OwnMetric("Needs More", {"m": metrics.smallest("margin")}, lambda s: s["m"], ("margin",)),
+    ]
+    pack = {r["kpi"]: r for r in metrics.kpi_pack(sales, own=own).where("category is null").collect()}
+    exact = sales.agg(F.count_distinct("customer_id").alias("d"), F.median("quantity").alias("q"), F.min("selling_price").alias("m")).first()
+    assert abs(pack["Buyers"]["value"] / exact["d"] - 1) < 0.05 and abs(pack["Median Quantity"]["value"] - float(exact["q"])) <= 2
+    assert pack["Smallest Price"]["value"] == float(exact["m"]) and not pack["Needs More"]["success"]
+    months = panel.kpi_panel(sales, "order_date", "month", own=own)
+    assert {m.name for m in own[:3]} <= {r["kpi"] for r in months.select("kpi").distinct().collect()}
+    cards = report.kpi_cards(months.drop("success", "error")).where("kpi = 'Buyers'").collect()
+    assert len(cards) == 1 and cards[0]["display"] != "N/A"
+    plan = metrics.scalar_panel(sales, own=own)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 1
+    with pytest.raises(ValueError):
+        metrics.scalar_panel(sales, own=[metrics.OwnMetric("Total Orders", {}, lambda s: F.lit(1.0))])

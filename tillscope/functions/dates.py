@@ -89,6 +89,18 @@ def parse_date(text: Column, patterns: Sequence[str] = DATE_PATTERNS + FALLBACK_
     return parse_timestamp(text, patterns).cast("date")
 
 
+def ordered_patterns(order: str | None) -> tuple[str, ...]:
+    """All patterns where numbers come in the given order: ``dmy`` or ``mdy`` leaves out those of the other; None tries both."""
+    if order not in (None, "dmy", "mdy"):
+        raise ValueError(f"no such order of a date: {order}")
+    other = {"dmy": ("M/d/", "M-d-"), "mdy": ("d/M/", "d-M-", "d.M.")}.get(order, ())
+    return tuple(p for p in DATE_PATTERNS + FALLBACK_PATTERNS if not p.startswith(other)) if other else DATE_PATTERNS + FALLBACK_PATTERNS
+
+
+# Two numbers of one or two digits and a year of four, the same sign between them.
+NUMBERS = r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2[0-9]{4}(?![0-9])"
+
+
 def period_start(when: Column, unit: str) -> Column:
     """First day of the Monday week ("week") or calendar month ("month")."""
     return F.date_trunc(unit, when).cast("date")

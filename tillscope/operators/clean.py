@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,25 +32,65 @@ def _kind(df: DataFrame, column: str) -> T.DataType:
 # ---------------------------------------------------------------- formats
 
 
-def _parsed(df: DataFrame, column: str) -> Column:
+def _parsed(df: DataFrame, column: str, order: str | None = None) -> Column:
     cell = F.col(f"`{column}`")
-    return cell if is_temporal(_kind(df, column)) else dates.parse_timestamp(cell)
+    return cell if is_temporal(_kind(df, column)) else dates.parse_timestamp(cell, dates.ordered_patterns(order))
 
 
-def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Timestamps from mixed formats, the time of day kept; typed columns pass through."""
-    parsed = {c: _parsed(df, c) for c in columns if not is_temporal(_kind(df, c))}
+def date_orders(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, column, first_over, second_over, ambiguous and order: whether days or months come first in dates of numbers.
+
+    One aggregate over all values: a first number above 12 speaks for ``dmy``, a second
+    one for ``mdy``. The order is null if nothing, or both, was seen. ``ambiguous`` counts
+    the values that either order reads, as different dates. ``by`` decides apart for each
+    source file, say.
+    """
+    texts = [c for c in columns if not is_temporal(_kind(df, c))]
+    aggregates = []
+    for i, c in enumerate(texts):
+        text = F.trim(F.col(f"`{c}`").cast("string"))
+        one, two = (F.regexp_extract(text, dates.NUMBERS, g).try_cast("int") for g in (1, 3))
+        aggregates += [
+            F.count_if((one > 12) & (one <= 31) & (two <= 12)).alias(f"a{i}"),
+            F.count_if((two > 12) & (two <= 31) & (one <= 12)).alias(f"b{i}"),
+            F.count_if((one <= 12) & (two <= 12) & (one != two)).alias(f"c{i}"),
+        ]
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("first_over"), F.col(f"b{i}").alias("second_over"), F.col(f"c{i}").alias("ambiguous"))
+        for i, c in enumerate(texts)
+    ]
+    a, b = F.col("first_over") > 0, F.col("second_over") > 0
+    counts = df.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*rows)))
+    return counts.withColumn("order", F.when(a & ~b, "dmy").when(b & ~a, "mdy"))
+
+
+def decided_orders(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The order of each column that its values decide; a row per column on the driver."""
+    return {r["column"]: r["order"] for r in date_orders(df, columns).collect() if r["order"]}
+
+
+def parse_dates(df: DataFrame, columns: Sequence[str], orders: Mapping[str, str] | None = None) -> DataFrame:
+    """Timestamps from mixed formats, the time of day kept; typed columns pass through.
+
+    Days and months are told apart value by value, unless ``orders`` (``decided_orders``
+    finds them) gives a column one order for all its values: what does not fit it is null.
+    """
+    parsed = {c: _parsed(df, c, (orders or {}).get(c)) for c in columns if not is_temporal(_kind(df, c))}
     return df.withColumns(parsed) if parsed else df
 
 
 def check_dates(
-    df: DataFrame, columns: Sequence[str], first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
+    df: DataFrame,
+    columns: Sequence[str],
+    first_year: int = FIRST_YEAR,
+    last_year: int = LAST_YEAR,
+    orders: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Parse text dates and null those outside the plausible years."""
     texts = [c for c in columns if not is_temporal(_kind(df, c))]
     plausible = {c: F.when(F.year(F.col(f"`{c}`")).between(first_year, last_year), F.col(f"`{c}`")) for c in texts}
     # Parsed in a projection of its own, so each text is parsed once.
-    return parse_dates(df, texts).withColumns(plausible) if texts else df
+    return parse_dates(df, texts, orders).withColumns(plausible) if texts else df
 
 
 def _with_date_issues(df: DataFrame, columns: Sequence[str], first: int, last: int, keep: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +63,78 @@ def applicable(columns: Sequence[str], metrics: Sequence[Metric] = METRICS) -> l
     return [m.name for m in metrics if set(m.roles) <= set(columns)]
 
 
+# ---------------------------------------------------------------- metrics of the caller
+
+
+@dataclass(frozen=True)
+class State:
+    """A partial aggregate that merges: of the rows of an order, then of orders, then read as a number.
+
+    Values are SQL expressions, so that metrics can be stated before there is a session.
+    """
+
+    of_rows: Callable[[], Column]
+    merged: Callable[[str], Column]
+    read: Callable[[Column], Column] = lambda total: total.cast("double")
+
+
+def summed(value: str) -> State:
+    return State(lambda: F.sum(F.expr(value)), F.sum)
+
+
+def counted(value: str) -> State:
+    """Rows where the value is not null."""
+    return State(lambda: F.count(F.expr(value)), F.sum)
+
+
+def smallest(value: str) -> State:
+    return State(lambda: F.min(F.expr(value)), F.min)
+
+
+def largest(value: str) -> State:
+    return State(lambda: F.max(F.expr(value)), F.max)
+
+
+def distinct_estimate(value: str) -> State:
+    """Distinct values by a sketch of fixed size, within about two percent."""
+    return State(lambda: F.hll_sketch_agg(F.expr(value)), F.hll_union_agg, lambda sketch: F.hll_sketch_estimate(sketch).cast("double"))
+
+
+def quantile_estimate(value: str, share: float) -> State:
+    """A quantile by a sketch of bounded size, within about one percent of the ranks."""
+    sketch = lambda: F.kll_sketch_agg_double(F.expr(value).cast("double"))
+    return State(sketch, F.kll_merge_agg_double, lambda total: F.kll_sketch_get_quantile_double(total, F.lit(share)))
+
+
+@dataclass(frozen=True)
+class OwnMetric:
+    """A metric of the caller: named partial states over the columns of a sale, and what they make together.
+
+    States join the one aggregation by order that the built-in metrics come from, so a
+    metric costs no scan of its own, in the pack and in the panel and what is made of it.
+    """
+
+    name: str
+    states: Mapping[str, State]
+    value: Callable[[Mapping[str, Column]], Column]
+    roles: tuple[str, ...] = ()
+
+
+def _own_states(own: Sequence[OwnMetric], columns: Sequence[str]) -> dict[str, State]:
+    taken = {*(m.name for m in METRICS)}
+    for m in own:
+        if m.name in taken:
+            raise ValueError(f"a metric named {m.name!r} exists already")
+        taken.add(m.name)
+    return {f"_own{i}_{name}": state for i, m in enumerate(own) if set(m.roles) <= set(columns) for name, state in m.states.items()}
+
+
+def _own_values(own: Sequence[OwnMetric], columns: Sequence[str]) -> list[Column]:
+    known = [(i, m) for i, m in enumerate(own) if set(m.roles) <= set(columns)]
+    read = lambda i, m: {name: state.read(F.col(f"_own{i}_{name}")) for name, state in m.states.items()}
+    return [rounded(m.value(read(i, m)).cast("double"), 4).alias(m.name) for i, m in known]
+
+
 # ---------------------------------------------------------------- scalar metrics
 
 
@@ -88,18 +160,20 @@ def _with_order(sales: DataFrame) -> DataFrame:
     return sales if ORDER in sales.columns else sales.withColumn(ORDER, F.lit(None).cast("long"))
 
 
-def order_grain(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Partial sums per order.
+def order_grain(sales: DataFrame, by: Sequence[str] = (), own: Sequence[OwnMetric] = ()) -> DataFrame:
+    """Partial sums per order, those of the caller's metrics among them.
 
     Both distinct-order metrics become plain counts over this table, so the
     pack needs one narrow shuffle instead of an expanded row per distinct count.
     """
-    return _with_order(sales).groupBy(*by, ORDER).agg(*_sums(sales))
+    states = _own_states(own, sales.columns)
+    return _with_order(sales).groupBy(*by, ORDER).agg(*_sums(sales), *[s.of_rows().alias(n) for n, s in states.items()])
 
 
-def _totals() -> list[Column]:
+def _totals(states: Mapping[str, State] | None = None) -> list[Column]:
     """The same sums over orders, and the two counts of orders."""
     return [
+        *[s.merged(n).alias(n) for n, s in (states or {}).items()],
         *[F.sum(c).alias(c) for c in ("_amount", "_units", "_price", "_priced", "_discount", "_discounts")],
         F.count(ORDER).alias("_orders"),
         F.count(F.when(F.col("_discounted") == 1, F.col(ORDER))).alias("_discounted_orders"),
@@ -122,10 +196,10 @@ def _scalar_columns(columns: Sequence[str]) -> list[Column]:
     return [rounded(values[n], 4).alias(n) for n in SCALARS if n in applicable(columns)]
 
 
-def scalar_metrics(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def scalar_metrics(sales: DataFrame, by: Sequence[str] = (), own: Sequence[OwnMetric] = ()) -> DataFrame:
     """Wide: one column per scalar metric, one row per ``by``."""
-    totals = order_grain(sales, by).groupBy(*by).agg(*_totals())
-    return totals.select(*by, *_scalar_columns(sales.columns))
+    totals = order_grain(sales, by, own).groupBy(*by).agg(*_totals(_own_states(own, sales.columns)))
+    return totals.select(*by, *_scalar_columns(sales.columns), *_own_values(own, sales.columns))
 
 
 def to_long(wide: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -145,10 +219,10 @@ def metric_status(long: DataFrame) -> DataFrame:
     )
 
 
-def scalar_panel(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def scalar_panel(sales: DataFrame, by: Sequence[str] = (), own: Sequence[OwnMetric] = ()) -> DataFrame:
     """Long scalar metrics per ``by`` with their status."""
-    names = [n for n in SCALARS if n in applicable(sales.columns)]
-    return metric_status(to_long(scalar_metrics(sales, by), by, names))
+    names = [n for n in SCALARS if n in applicable(sales.columns)] + [m.name for m in own if set(m.roles) <= set(sales.columns)]
+    return metric_status(to_long(scalar_metrics(sales, by, own), by, names))
 
 
 # ---------------------------------------------------------------- categorical metrics
@@ -258,8 +332,8 @@ def category_panel(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _categorical(parts, by)
 
 
-def kpi_pack(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every metric as (by, kpi, category, value, label, success, error).
+def kpi_pack(sales: DataFrame, by: Sequence[str] = (), own: Sequence[OwnMetric] = ()) -> DataFrame:
+    """Every metric, the caller's own among them, as (by, kpi, category, value, label, success, error).
 
     A metric whose roles or dependencies the table lacks is one failed row per group.
 
@@ -271,9 +345,9 @@ def kpi_pack(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     known = applicable(sales.columns)
     order = ("kpi", dimension_column(by), "value", "label", "success", "error")
     pack = None
-    if any(n in known for n in SCALARS):
-        pack = scalar_panel(sales, by).withColumns({dimension_column(by): none, "label": none}).select(*by, *order)
-    missing = [m.name for m in METRICS if m.name not in known]
+    if any(n in known for n in SCALARS) or any(set(m.roles) <= set(sales.columns) for m in own):
+        pack = scalar_panel(sales, by, own).withColumns({dimension_column(by): none, "label": none}).select(*by, *order)
+    missing = [m.name for m in METRICS if m.name not in known] + [m.name for m in own if not set(m.roles) <= set(sales.columns)]
     if missing:
         groups = sales.groupBy(*by).agg(F.lit(1).alias("_one")) if by else sales.sparkSession.range(1)
         failed = groups.select(*by, F.explode(F.array(*[F.lit(n) for n in missing])).alias("kpi")).withColumns(

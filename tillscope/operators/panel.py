@@ -63,15 +63,20 @@ def add_period(df: DataFrame, when: str, unit: str | None = None) -> DataFrame:
 
 
 def kpi_panel(
-    sales: DataFrame, when: str, unit: str | None = None, keys: Sequence[str] = (), formulas: Mapping[str, str] | None = None
+    sales: DataFrame,
+    when: str,
+    unit: str | None = None,
+    keys: Sequence[str] = (),
+    formulas: Mapping[str, str] | None = None,
+    own: Sequence[metrics.OwnMetric] = (),
 ) -> DataFrame:
-    """Every scalar metric per series and period, from one aggregation, and the caller's own formulas beside them.
+    """Every scalar metric per series and period, the caller's ``own`` ones too, from one aggregation, and formulas beside them.
 
     Without a unit the span of the dates decides between weeks and months, which takes a scan of them.
     What follows (changes, cards, trends, the report) reads own metrics like any other.
     """
     dated, by = add_period(sales, when, unit), [*keys, "period"]
-    out = metrics.scalar_panel(dated, by)
+    out = metrics.scalar_panel(dated, by, own)
     if formulas:
         own = metrics.custom_metrics(dated, formulas, by)
         out = out.unionByName(own.select(out.columns))

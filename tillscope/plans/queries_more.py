@@ -6,7 +6,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tillscope.operators import bends, calendars, fuzzyjoin, nearest, trend
+from tillscope.operators import bends, calendars, clean, fuzzyjoin, metrics, nearest, panel, trend
+from tillscope.plans import ctes, views
 from tillscope.plans.queries_load import token_ratio_sql
 from tillscope.plans.queries_trend import _OFF, _RESIDUAL, _model_sql, _terms_sql
 from tillscope.plans.registry import query
@@ -211,3 +212,51 @@ def trend_hinges(spark, folder):
 def trend_bends(spark, folder):
     """Bends found in every priority's orders, with holidays on their days; no SQL chooses them, so tests plant some."""
     return bends.trend_bends(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", ["o_orderpriority"]).components
+
+
+# ---------------------------------------------------------------- metrics of the caller, dates of one order
+
+OWN = (
+    metrics.OwnMetric(
+        "Revenue per Unit", {"amount": metrics.summed("selling_price * quantity"), "units": metrics.summed("quantity")},
+        lambda s: F.try_divide(s["amount"], s["units"]), ("selling_price", "quantity"),
+    ),
+    metrics.OwnMetric("Largest Line", {"most": metrics.largest("selling_price * quantity")}, lambda s: s["most"], ("selling_price", "quantity")),
+    metrics.OwnMetric(
+        "Discounted Lines Percentage", {"lines": metrics.counted("discount_percent"), "cut": metrics.counted("case when discount_percent > 0 then 1 end")},
+        lambda s: F.try_divide(s["cut"], s["lines"]) * 100, ("discount_percent",),
+    ),
+)
+_OWN_SQL = {
+    "Revenue per Unit": "cast(sum(selling_price * quantity) as double) / cast(sum(quantity) as double)",
+    "Largest Line": "cast(max(selling_price * quantity) as double)",
+    "Discounted Lines Percentage": "cast(count(case when discount_percent > 0 then 1 end) as double) / count(discount_percent) * 100",
+}
+
+
+@query(
+    "own_metrics_panel",
+    f"""with {ctes.panel()}, mine as (select period, {', '.join(f'{ctes.rounded(sql, 4)} as "{name}"' for name, sql in _OWN_SQL.items())} from dated group by period)
+    select period, kpi, value, true as success, cast(null as varchar) as error from panel
+    union all select period, kpi, value, true, null from (select * from mine unpivot include nulls (value for kpi in ({', '.join(f'"{n}"' for n in _OWN_SQL)})))""",
+)
+def own_metrics_panel(spark, folder):
+    """The monthly panel with three metrics of the caller, all from one aggregation."""
+    return panel.kpi_panel(views.sales(spark, folder), "order_date", "month", own=OWN)
+
+
+_WRITTEN = "case user_id % 3 when 0 then date_format(ts, 'dd/MM/yyyy') when 1 then date_format(ts, 'MM-dd-yyyy') else date_format(ts, 'd.M.yyyy') end"
+_WRITTEN_SQL = "case user_id % 3 when 0 then strftime(ts, '%d/%m/%Y') when 1 then strftime(ts, '%m-%d-%Y') else strftime(ts, '%-d.%-m.%Y') end"
+
+
+@query(
+    "date_orders",
+    f"""with t as (select user_id % 3 as source, {_WRITTEN_SQL} as written from events),
+    n as (select source, cast(regexp_extract(written, '^([0-9]+)[-/.]([0-9]+)', 1) as int) as a, cast(regexp_extract(written, '^([0-9]+)[-/.]([0-9]+)', 2) as int) as b from t)
+    select source, 'written' as "column", count_if(a > 12) as first_over, count_if(b > 12) as second_over, count_if(a <= 12 and b <= 12 and a <> b) as ambiguous,
+    case when count_if(a > 12) > 0 and count_if(b > 12) = 0 then 'dmy' when count_if(b > 12) > 0 and count_if(a > 12) = 0 then 'mdy' end as "order" from n group by source""",
+)
+def date_orders(spark, folder):
+    """Whether days or months come first, decided for each source by all its dates."""
+    rows = table(spark, folder, "events").select(F.expr("user_id % 3").alias("source"), F.expr(_WRITTEN).alias("written"))
+    return clean.date_orders(rows, ["written"], ["source"])
