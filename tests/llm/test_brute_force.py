@@ -398,3 +398,23 @@ def test_benchmark_of_several_blocks(spark, monkeypatch):
     many = decontamination.contaminations(docs, table, min_words=1)
     assert sorted((tuple(r) for r in many.collect()), key=repr) == whole and str(many._jdf.queryExecution().toString()).count("MapInArrow") <= 4
     assert sorted(r["doc_id"] for r in decontamination.clean(docs, table, min_words=1).collect()) == [90, 91]
+
+
+@pytest.mark.parametrize("kind", ["delete", "insert", "change", "mixed"])
+def test_sampled_recall_at_the_limit(kind):
+    """Items of many lengths with as many edits as they may take, found by CGK samples of their segments."""
+    pick = random.Random(31)
+    items = [[f"w{n}x{i}" for i in range(n)] for n in (10, 11, 14, 19, 22, 29, 30, 45, 77, 150, 400)]
+    index = decontamination.ItemIndex([(n, " ".join(w)) for n, w in enumerate(items)])
+    assert index.sampled.all() and not index.segments
+    rows, want = [], set()
+    for turn in range(12):
+        for number, words in enumerate(items):
+            passage = list(words)
+            for place in sorted(pick.sample(range(len(words)), len(words) // 5), reverse=True):
+                how = pick.choice(["delete", "insert", "change"]) if kind == "mixed" else kind
+                passage[place : place + (how != "insert")] = [] if how == "delete" else [f"new{turn}x{place}"]
+            rows.append(" ".join(["front"] * 9 + passage + ["back"] * 9))
+            want.add((len(rows) - 1, number))
+    found = {(r, i) for r, i, _ in decontamination._found(index, pa.array(rows))}
+    assert len(want - found) <= 0.01 * len(want)
