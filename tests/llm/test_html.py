@@ -96,3 +96,24 @@ def test_articles_in_parts_are_whole():
     uneven = f"<body><main><div class='one'>{ARTICLE * 5}</div><div class='two'><p>Short ending.</p></div></main><div>other</div></body>"
     assert text(uneven) == "\n\n".join([WANT] * 5 + ["Short ending."])
     assert htmltext.Page(uneven).best().path == ">body>main"
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for unit in ("<a ", '<a "', "<!", "<a '\"", '<a ">" ', "<a b='>", "</", "<!--", "<a =\"<a>'"):
+        times = []
+        for size in (100_000, 400_000):
+            page = (unit * (size // len(unit) + 1))[:size]
+            for tail in ("", ">", "<p>end</p>"):
+                began = time.monotonic()
+                list(htmltext.events(page + tail))
+                times.append(time.monotonic() - began)
+        assert max(times) < 2.0, (unit, times)
+
+
+def test_tags_end_where_they_should():
+    assert list(htmltext.events('<p class="a>b">x</p>')) == [("open", "p", ' class="a>b"'), ("text", "", "x"), ("close", "p", "")]
+    assert list(htmltext.events("<p title='it>s' it's>x")) == [("open", "p", " title='it>s' it's"), ("text", "", "x")]
+    assert list(htmltext.events("a < b <i>c</i> <d")) == [("text", "", "a < b "), ("open", "i", ""), ("text", "", "c"), ("close", "i", ""), ("text", "", " <d")]
+    assert list(htmltext.events("<!doctype html><!-- <p> --><?x y?>z<!-- end")) == [("text", "", "z")]

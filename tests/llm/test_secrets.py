@@ -95,3 +95,42 @@ def test_digest_and_spans(spark):
     assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert (row["n_assign"], row["n_access"], row["n_hex"]) == (1, 1, 1)
     assert row["spans"] == base + f",token:{text.index(TOKEN)}:{len(text)}"
+
+
+def lines_of(text: str, width: int, indent: str = "") -> str:
+    return ("\n" + indent).join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_key_files_in_base64():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + lines_of(b64(RSA), 64) + "\n-----END RSA PRIVATE KEY-----\n"
+    held = b64(pem.encode())
+    for text in (f"data:\n  tls.key: {held}\n  other: x", f"KEY={held}", lines_of(held, 76), lines_of(held, 76, "    ") + "\nnext words"):
+        assert kinds(text) == ["der"], text[:40]
+    openssh = "-----BEGIN OPENSSH PRIVATE KEY-----\n" + lines_of(b64(b"openssh-key-v1\x00" + b"s" * 90), 70) + "\n-----END OPENSSH PRIVATE KEY-----\n"
+    assert kinds("x " + b64(openssh.encode())) == ["ssh"]
+    assert kinds(b64(("-----BEGIN NOTE-----\n" + "plain words " * 20 + "\n-----END NOTE-----").encode())) == []
+    assert kinds(b64(b"--- a report about nothing, with dashes in front " * 3)) == []
+
+
+def test_wrapped_keys_without_a_header():
+    wrapped = lines_of(b64(RSA), 64)
+    text = f"before\n{wrapped}\nafter it all"
+    assert secrets.confirmed_spans(text) == [(7, "der", 7 + len(wrapped))]
+    assert kinds("\r\n".join(b64(PKCS8)[i : i + 40] for i in range(0, len(b64(PKCS8)), 40))) == ["der"]
+    assert kinds(lines_of(b64(bytes(range(1, 200))), 64)) == []
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    for text in ("MII" + "A" * 400_000, ("MII" + "A" * 61 + "\n") * 6000, "LS0t" * 100_000, "M\n" * 200_000):
+        secrets.confirmed_spans(text)
+    assert time.monotonic() - began < 10
+
+
+def test_only_masked_texts_change_their_length(spark):
+    rows = [(1, "they write [SECRET] themselves", 7), (2, "password: abcdef123", None), (3, None, 4), (4, "token=abcdefgh é", 1)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int").selectExpr("*", "'x' as _masked")
+    got = {r["doc_id"]: (r["text"], r["n_chars"], r["_masked"]) for r in secrets.redact(docs).collect()}
+    assert got == {1: ("they write [SECRET] themselves", 7, "x"), 2: ("[SECRET]", 8, "x"), 3: (None, 4, "x"), 4: ("[SECRET] é", 10, "x")}

@@ -35,6 +35,7 @@ from tillscope.session import work_folder, written
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES, PACKAGE_RECORDS = 1 << 30, 200_000  # a task starts another package beyond either
 READ_BYTES = 4 << 20
+TASK_BYTES = 32 << 20  # of packages, read by one task
 REVISIT_FROM = 1000  # payloads of fewer bytes are never revisits
 _DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -298,7 +299,11 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array([f[k] for f in found], t) for k, t in kinds.items()})
 
     places = packages.select("path").repartition("path").mapInArrow(locate, "path string, begin long, length long")
-    spread = places.repartition("path", F.floor(F.col("begin") / F.lit(READ_BYTES))).sortWithinPartitions("path", "begin")
+    places = written(places, "package-members")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    # The number is given: by their own bytes the places would all be merged into one task.
+    tasks = max(1, -(-total // TASK_BYTES))
+    spread = places.repartition(tasks, "path", F.floor(F.col("begin") / F.lit(READ_BYTES))).sortWithinPartitions("path", "begin")
     schema = "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     return spread.mapInArrow(fetch, schema + ", payload binary" * payloads)
 

@@ -62,9 +62,8 @@ _BOILERPLATE_WORDS = frozenset(
 _BOILERPLATE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navig", "newsletter", "promo", "sidebar", "sponsor", "subscri")
 # An article element with one of these is no article: a reader's comment, a teaser, an advert.
 _NO_ARTICLE = frozenset("ad ads comment comments promo promoted recommended related replies reply sponsored teaser".split())
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ABOUT = re.compile(r"(?:has|with|without|no|is)[-_]", re.IGNORECASE)
@@ -74,31 +73,66 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in _RA
 Event = tuple[str, str, str]  # ("open", tag, attributes), ("close", tag, "") or ("text", "", raw text)
 
 
+def _tag_end(html: str, at: int, plain: set[str]) -> int:
+    """Where the ``>`` of a tag stands, outside quotes; -1 if there is none at all.
+
+    A quote that is never closed is a sign like any other. If every ``>`` up to the end
+    of the page lies in quotes, the first of them ends the tag, and quotes count no more
+    (``plain``): so no part of a page is looked through again and again.
+    """
+    position = at
+    while (stop := _STOP.search(html, position)) is not None:
+        sign = stop[0]
+        if sign == ">":
+            return stop.start()
+        position = stop.end()
+        if sign not in plain:
+            close = html.find(sign, position)
+            if close < 0:
+                plain.add(sign)
+            else:
+                position = close + 1
+    plain.update("\"'")
+    return html.find(">", at)
+
+
 def events(html: str) -> Iterator[Event]:
-    """Tags and texts of a page in order, without comments and the content of scripts and the like."""
-    position = 0
-    while True:
-        match = _TOKEN.search(html, position)
-        if match is None:
-            if position < len(html):
-                yield "text", "", html[position:]
-            return
-        if match.start() > position:
-            yield "text", "", html[position : match.start()]
-        position = match.end()
-        if match[2] is None:
+    """Tags and texts of a page in order, without comments and the content of scripts and the like, in one pass forward."""
+    position = cursor = 0  # texts begin at the position; tags are looked for from the cursor
+    plain: set[str] = set()
+    while (start := html.find("<", cursor)) >= 0:
+        tag_match = None
+        if html.startswith("<!--", start):
+            close = html.find("-->", start + 4)
+            end = close + 3 if close >= 0 else len(html)
+        elif html.startswith(("<!", "<?"), start):
+            end = html.find(">", start + 2) + 1
+        else:
+            tag_match = _TAG.match(html, start)
+            if tag_match is None:
+                cursor = start + 1
+                continue
+            end = _tag_end(html, tag_match.end(), plain) + 1
+        if end == 0:  # no > is left, so no tag is
+            break
+        if start > position:
+            yield "text", "", html[position:start]
+        position = cursor = end
+        if tag_match is None:
             continue
-        tag = match[2].lower()
-        if match[1]:
+        tag, inner = tag_match[2].lower(), html[tag_match.end() : end - 1]
+        if tag_match[1]:
             yield "close", tag, ""
         elif tag in _RAW:
-            end = _RAW_END[tag].search(html, position)
-            close = html.find(">", end.end()) if end else -1
-            position = close + 1 if close >= 0 else len(html)
+            found = _RAW_END[tag].search(html, position)
+            close = html.find(">", found.end()) if found else -1
+            position = cursor = close + 1 if close >= 0 else len(html)
         else:
-            yield "open", tag, match[3]
-            if tag in _VOID or match[3].endswith("/") and tag not in _BLOCK:
+            yield "open", tag, inner
+            if tag in _VOID or inner.endswith("/") and tag not in _BLOCK:
                 yield "close", tag, ""
+    if position < len(html):
+        yield "text", "", html[position:]
 
 
 def _attributes(raw: str) -> dict[str, str]:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.llm import arrays
 from tillscope.llm.registry import query
@@ -37,6 +38,9 @@ _HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
 _CIPHER = re.compile(r"[A-Za-z0-9-]+,([0-9A-Fa-f]{16,32})")
 # A DER sequence starts with the byte 0x30, so its base64 starts with M and its hex with 30; OpenSSH blobs start with a length.
 _B64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-Za-z0-9]|AAAA|b3Bl)[A-Za-z0-9+/_-]{30,}={0,2}")
+# The same over lines, and a whole key file in base64, as clusters and build systems keep them.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9]|AAAA|b3Bl|LS0t)[A-Za-z0-9+/]{30,}={0,2}(?:\r?\n[\x20\t]*[A-Za-z0-9+/]+={0,2})*")
+_FILE_START = b"-----BEGIN "
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){23,}(?![0-9A-Fa-f])")
 _OPENSSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -137,6 +141,29 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(fields, dict) and isinstance(fields.get("alg"), str)
 
 
+def encoded_kind(raw: bytes | None) -> str | None:
+    """The kind of key in decoded bytes: a key itself, or a key file."""
+    if raw is None:
+        return None
+    if raw.lstrip().startswith(_FILE_START):
+        block = _PEM.search(raw.decode("latin-1"))
+        return block_kind(block[1], block[2]) if block else None
+    return "ssh" if is_ssh_key(raw) else "der" if is_key_encoding(raw) else None
+
+
+def wrapped_end(text: str) -> tuple[str, int] | None:
+    """The kind and length of a key in base64 that begins the text, over as many lines as it fills: lines alike in width, and a last one."""
+    lines = re.split(r"(\r?\n[\x20\t]*)", text)
+    count, width = 1, len(lines[0])
+    while count + 1 < len(lines) and len(lines[count - 1]) == width and len(lines[count + 1]) <= width:
+        count += 2
+    for stop in (count, count - 2):  # the last line may be the text's own
+        kind = encoded_kind(_unpadded("".join(lines[:stop:2]))) if stop > 0 else None
+        if kind:
+            return kind, sum(map(len, lines[:stop]))
+    return None
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base findings."""
     found = []
@@ -162,12 +189,13 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
                 found.append((m.start(), kind, m.end()))
                 blocks.append((m.start(), m.end()))
     outside = lambda m: not any(a <= m.start() < b for a, b in blocks)
+    for m in _WRAPPED.finditer(text):
+        if outside(m) and (key := wrapped_end(m[0])):
+            found.append((m.start(), key[0], m.start() + key[1]))
+            blocks.append((m.start(), m.start() + key[1]))
     for m in _B64.finditer(text):
-        if outside(m):
-            raw = _unpadded(m[0])
-            kind = "ssh" if is_ssh_key(raw) else "der" if is_key_encoding(raw) else None
-            if kind:
-                found.append((m.start(), kind, m.end()))
+        if outside(m) and (kind := encoded_kind(_unpadded(m[0]))):
+            found.append((m.start(), kind, m.end()))
     for m in _HEX_DER.finditer(text):
         if is_key_encoding(bytes.fromhex(m[0])):
             found.append((m.start(), "der", m.end()))
@@ -233,21 +261,23 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_c
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            changed = False
+            changed = [False] * len(texts)
             for i, text in enumerate(texts):
                 spans = base_spans(text) + confirmed_spans(text) if text else []
                 if spans:
-                    texts[i], changed = masked(text, spans, mask), True
-            if changed:
-                arrays = list(batch.columns)
-                arrays[at] = pa.array(texts, batch.schema.field(at).type)
-                batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
-            yield batch
-
-    out = docs.mapInArrow(arrays.lean(work), docs.schema)
+                    texts[i], changed[i] = masked(text, spans, mask), True
+            columns_ = list(batch.columns)
+            if any(changed):
+                columns_[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*columns_, pa.array(changed)], schema=batch.schema.append(pa.field(flag, pa.bool_())))
+
+    flag = "_masked"
+    while flag in columns:
+        flag += "_"
+    out = docs.mapInArrow(arrays.lean(work), T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
     if length_type:
-        # Only a changed text changes its count: rows whose count was null or meant otherwise keep it.
-        out = out.withColumn(length_column, F.when(F.contains(F.col(text_column), F.lit(mask)), F.char_length(text_column)).otherwise(F.col(length_column)).cast(length_type))
+        # Only a masked text changes its count: rows whose count was null or meant otherwise keep it.
+        out = out.withColumn(length_column, F.when(F.col(flag), F.char_length(text_column)).otherwise(F.col(length_column)).cast(length_type))
     return out.select(*[F.col(f"`{c}`") for c in columns])
 
 
