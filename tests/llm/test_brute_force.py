@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillscope.llm import archives, arrays, decontamination, language, links, ngramjoin, packing, quality, sharding, vectors
@@ -418,3 +419,14 @@ def test_sampled_recall_at_the_limit(kind):
             want.add((len(rows) - 1, number))
     found = {(r, i) for r, i, _ in decontamination._found(index, pa.array(rows))}
     assert len(want - found) <= 0.01 * len(want)
+
+
+def test_packages_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "TASK_BYTES", 40_000)
+    monkeypatch.setattr(archives, "READ_BYTES", 5_000)
+    pick = random.Random(8)
+    rows = [(i, f"http://h/{i}", "".join(pick.choices("abcdefghij klmnop", k=2000))) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = archives.read_packages(archives.write_packages(pages, str(tmp_path / "p")))
+    tasks = found.select(F.spark_partition_id().alias("t"), "page").collect()
+    assert len({r["t"] for r in tasks}) >= 8 and sorted(int(r["page"]) for r in tasks) == list(range(400))
