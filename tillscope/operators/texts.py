@@ -1,4 +1,8 @@
-"""Pieces of Markdown text, row by row: every function reads whole texts and none of them groups rows."""
+"""Pieces of Markdown text, row by row: every function reads whole texts and shuffles nothing.
+
+Cutting a text costs more than moving it, so a scan that comes in few tasks is better
+dealt over the cores first (``sources.tables.spread``).
+"""
 
 from __future__ import annotations
 
@@ -37,13 +41,7 @@ def text_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     # In order of heading and then from the last, the first of equal headings is the one that stays.
     ordered = F.array_sort(F.transform(kept, lambda p: F.struct(p.getField("heading").alias("heading"), (-p.getField("position")).alias("back"), p.getField("body").alias("body"))))
     fresh = lambda all_: F.filter(all_, lambda p, i: (i == 0) | (F.get(all_, i - 1).getField("heading") != p.getField("heading")))
-    return _spread(docs.select(key, text)).select(key, F.inline(let(ordered, fresh))).select(key, "heading", "body")
-
-
-def _spread(docs: DataFrame) -> DataFrame:
-    """The rows over all cores, if they come in fewer tasks: cutting a text costs more than moving it."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.select(key, F.inline(let(ordered, fresh))).select(key, "heading", "body")
 
 
 def _lines(text: Column) -> Column:
@@ -108,7 +106,7 @@ def named_sections(docs: DataFrame, key: str, text: str, fallback: bool = False)
             _lines(F.regexp_replace(chunk, r"^[^\n]*", "")).alias("lines"),
         ),
     )
-    cut = _spread(docs.select(key, text)).select(F.col(key), F.col(text).alias("_text"), chunks.alias("_chunks"))
+    cut = docs.select(F.col(key), F.col(text).alias("_text"), chunks.alias("_chunks"))
 
     def entries(name: str) -> Column:
         found = _contents(F.col("_chunks"), name)

@@ -13,7 +13,7 @@ from tillscope.plans.queries_trend import _BASELINE, _RECENT, _SPARK_TEXT, month
 from tillscope.plans.registry import query
 from tillscope.session import durable, work_folder
 from tillscope.sources import sinks
-from tillscope.sources.tables import table
+from tillscope.sources.tables import spread, table
 
 _K = ["category"]
 _P = ctes.panel(_K)
@@ -206,7 +206,8 @@ _DOCS = f"docs as (select doc_id, {_MARKDOWN_SQL} as md from documents)"
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.expr(_MARKDOWN_SQL.replace("\n", "\\n")).alias("md"))
+    rows = spread(table(spark, folder, "documents").select("doc_id", "lang", "text", "source"))
+    return rows.select("doc_id", F.expr(_MARKDOWN_SQL.replace("\n", "\\n")).alias("md"))
 
 
 @query(
