@@ -194,13 +194,13 @@ def _repeated(df: DataFrame, row_id: str) -> DataFrame:
 
     Only fingerprints and ids of all rows are shuffled, however wide the rows are. Rows
     that share a fingerprint, and no others, are then grouped by all their cells, so
-    different rows of one fingerprint stay.
+    different rows of one fingerprint stay. The rows are read three times: what is
+    costly to compute should be written before.
     """
     columns = [c for c in df.columns if c != row_id]
     prints = df.select(*fingerprint(df, columns))
     shared = written(prints.groupBy("_print1", "_print2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n"), "fingerprints")
     suspects = df.select("*", *fingerprint(df, columns)).join(shared, ["_print1", "_print2"], "left_semi")
-    suspects = written(suspects.drop("_print1", "_print2"), "repeated")
     firsts = suspects.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.min(row_id).alias(row_id)).select(row_id)
     return suspects.select(row_id).join(firsts, row_id, "left_anti")
 

@@ -160,7 +160,7 @@ def apply_cleaning(
     out = attempt("parse_date", df, clean.check_dates)
     out = attempt("standardize_text", out, clean.standardize_text)
     if any(s["action"] == "remove_duplicates" for s in chosen):
-        out = clean.drop_duplicates(out, row_id)
+        out = clean.drop_duplicates(written(out, "standardized"), row_id)
     out = attempt("fix_negative", out, clean.fix_negative)
     if columns_for("handle_outliers") or columns_for("fill_missing"):
         out = written(out, "formatted")
@@ -336,8 +336,8 @@ class Cleaned:
 def clean_sales(df: DataFrame, row_id: str) -> Cleaned:
     """Formats, duplicates, invalid values, outliers, missing values.
 
-    The rows are written once after duplicates are gone: everything later reads
-    that columnar table and only the columns it needs.
+    The rows are written when they are formatted and once more after duplicates are
+    gone: everything later reads those columnar tables and only the columns it needs.
     """
     types = _typed(df, row_id)
 
@@ -345,7 +345,7 @@ def clean_sales(df: DataFrame, row_id: str) -> Cleaned:
         return [c for c, t in types.items() if t in kinds]
 
     formatted = clean.standardize_text(clean.check_dates(df, of_type("date")), of_type(*TEXT_TYPES))
-    deduped = written(clean.drop_duplicates(formatted, row_id), "deduped")
+    deduped = written(clean.drop_duplicates(written(formatted, "formatted"), row_id), "deduped")
     out = clean.clip_rating(clean.fix_negative(deduped, of_type("revenue")), of_type("rating"))
     # Quantities, products and identifiers keep their gaps here.
     missing = {c: t for c, t in types.items() if t in ("revenue", "rating", "categorical", "payment_method", "date")}
