@@ -70,3 +70,37 @@ def test_empty_sides(spark):
     assert nearest.pruned_match(some.limit(0), some, "id", "v", 0.8).rows.collect() == []
     found = nearest.pruned_match(some, some.limit(0), "id", "v", 0.8)
     assert [tuple(r) for r in found.rows.collect()] == [(1, None, None)] and found.work.first()["pairs"] == 0
+
+
+def test_a_vector_is_sent_once_a_group(spark, monkeypatch):
+    """Where no cell can be left out, a query still goes to a few groups and not to every cell."""
+    asked, store = [], nearest.written
+
+    def recorded(df, name="stage"):
+        out = store(df, name)
+        if name == "asked":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "written", recorded)
+    rng = np.random.default_rng(11)
+    queries, candidates = ([*enumerate(map(list, rng.normal(size=(n, 32)).tolist()))] for n in (300, 2000))
+    found = nearest.pruned_match(table(spark, queries, "int"), table(spark, candidates, "int"), "id", "v", 0.8, candidate_block=100)
+    a, b = (np.array([v for _, v in side]) for side in (queries, candidates))
+    cosines = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    rows = got(found, -1.0)
+    assert all(abs(rows[q][0] - cosines[q].max()) < 1e-9 for q, _ in queries)
+    assert found.work.first()["share"] > 0.5
+    assert len(asked) == 2 and max(asked) <= 300 * 20
+
+
+@pytest.mark.parametrize("group_bytes", [64, 4096])
+def test_cells_larger_than_a_group(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(nearest, "GROUP_BYTES", group_bytes)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 4))
+    near = lambda n: [(i, list(map(float, base[i % 6] * (1 + i % 3) + 0.01 * (i % 5)))) for i in range(n)]
+    queries, candidates = near(50), near(400)
+    rows = got(nearest.pruned_match(table(spark, queries, "int"), table(spark, candidates, "int"), "id", "v", 0.8, 7, 20), 0.8)
+    for q, best in brute(queries, candidates[:90]).items():
+        assert abs(rows[q][0] - best[0]) < 1e-9 and abs(np.dot(*[np.array(v) / np.linalg.norm(v) for v in (queries[q][1], candidates[rows[q][1]][1])]) - best[0]) < 1e-9
