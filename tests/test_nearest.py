@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tillscope.operators import nearest
+from tillscope.operators import matching, nearest
 
 
 def brute(queries, candidates):
@@ -104,3 +104,15 @@ def test_cells_larger_than_a_group(spark, monkeypatch, group_bytes):
     rows = got(nearest.pruned_match(table(spark, queries, "int"), table(spark, candidates, "int"), "id", "v", 0.8, 7, 20), 0.8)
     for q, best in brute(queries, candidates[:90]).items():
         assert abs(rows[q][0] - best[0]) < 1e-9 and abs(np.dot(*[np.array(v) / np.linalg.norm(v) for v in (queries[q][1], candidates[rows[q][1]][1])]) - best[0]) < 1e-9
+
+
+def test_the_accepted_match_is_sent_once_a_group_too(spark, monkeypatch):
+    """``cosine_match`` takes the same step where candidates fill more than one block."""
+    sent, store = [], nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, name="stage": sent.append((name, store(df, name))) or sent[-1][1])
+    rng = np.random.default_rng(13)
+    queries, candidates = ([*enumerate(rng.normal(size=(n, 16)).tolist())] for n in (100, 4500))
+    rows = {r["id"]: r["score"] for r in matching.cosine_match(table(spark, queries, "int"), table(spark, candidates, "int"), "id", "v").collect()}
+    assert all(abs(rows[q] - best[0]) < 1e-9 for q, best in brute(queries[:3], candidates).items())
+    asked = [df.count() for name, df in sent if name == "asked"]
+    assert len(asked) == 2 and max(asked) <= 100 * 8
