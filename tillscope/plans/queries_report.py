@@ -347,9 +347,9 @@ def report_tables(spark, folder):
 
 @query("report_json", _REPORT)
 def report_json(spark, folder):
-    """The report written as JSON lines and read back."""
+    """The report written as JSON lines and read back; compressed, as names and words repeat in every line."""
     path = work_folder(spark, "report")
-    sinks.write_report(_report(spark, folder), path)
+    sinks.write_report(_report(spark, folder), path, "gzip")
     return spark.read.schema("section string, item string, position int, content string").json(path)
 
 

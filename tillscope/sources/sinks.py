@@ -43,6 +43,6 @@ def as_json(df: DataFrame, column: str = "record") -> DataFrame:
     return safe.select(F.to_json(F.struct(*safe.columns), {"ignoreNullFields": "false"}).alias(column))
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """Write report rows as JSON lines."""
-    null_nonfinite(df).write.option("ignoreNullFields", False).json(path)
+def write_report(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Write report rows as JSON lines, compressed by a codec Spark's readers know."""
+    null_nonfinite(df).write.option("ignoreNullFields", False).json(path, compression=compression)
