@@ -88,3 +88,19 @@ def test_scores_are_exact_beyond_64_bits(spark):
     row = spark.createDataFrame([(big, [big], [big])], "a long, firsts array<long>, rests array<long>")
     found = row.selectExpr(phrases.CUT + " as cut").first()["cut"]
     assert found["score"] == 2_000_000 * big // (2 * big)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_sorted_buckets_are_merged_as_they_lie(spark, monkeypatch, hot_rows):
+    plans, merged = [], phrases.Relation.adjacent
+
+    def noted(relation):
+        out = merged(relation)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(phrases.Relation, "adjacent", noted)
+    before = spark.conf.get(phrases.SCAN_ORDER, "false")
+    assert mined(table(spark, ROWS * 2), min_count=2, hot_rows=hot_rows) == brute(ROWS * 2, 2)
+    assert len(plans) == 3 and not any("Sort [" in plan or "Exchange" in plan for plan in plans)
+    assert spark.conf.get(phrases.SCAN_ORDER, "false") == before

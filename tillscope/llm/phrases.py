@@ -33,6 +33,8 @@ MAX_WORDS = 4
 INSIDE_PERCENT = 80  # a phrase that a longer one covers to this share is dropped
 TOP = 2000
 HOT_ROWS = 200_000
+# A bucket of one file is read in the order it was written in; otherwise Spark sorts it anew for every merge.
+SCAN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HOT_BYTES = 64  # of a word; longer ones are not broadcast
 # The lowest score of all cuts, floor(2000000 a / (l + r)), the first of equal ones; whole numbers of 38 digits on the way.
@@ -147,10 +149,12 @@ def mine(
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = spark.conf.get(SCAN_ORDER, "false")
     occurrences = _occurrences(docs, text_column, lang_column)
     seen, grams, dictionary = _words(occurrences, min_count)
     turns, relations = [grams], []
     try:
+        spark.conf.set(SCAN_ORDER, "true")
         rows, _ = semi_joined(occurrences, dictionary, ["lang", "word"], hot_rows)
         relations.append(Relation(rows.select("row_key", "at", "gram"), buckets, False))
         for words in range(2, max_words + 1):
@@ -160,6 +164,7 @@ def mine(
                 rows, dealt = semi_joined(pairs, turns[-1], ["head", "tail"], hot_rows)
                 relations.append(Relation(rows.select("row_key", "at", "gram"), buckets, dealt))
     finally:
+        spark.conf.set(SCAN_ORDER, ordered)
         for relation in relations:
             relation.forget()
     found = None
