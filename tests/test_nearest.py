@@ -116,3 +116,29 @@ def test_the_accepted_match_is_sent_once_a_group_too(spark, monkeypatch):
     assert all(abs(rows[q] - best[0]) < 1e-9 for q, best in brute(queries[:3], candidates).items())
     asked = [df.count() for name, df in sent if name == "asked"]
     assert len(asked) == 2 and max(asked) <= 100 * 8
+
+
+def test_most_pairs_are_multiplied_in_single_precision():
+    """Double precision is for queries that may gain by a block; scores that single precision can't tell apart are still told apart."""
+    multiplied = {np.dtype(np.float32): 0, np.dtype(np.float64): 0}
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            multiplied[self.dtype] += len(self) * other.shape[1]
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(17)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    units, others = unit(rng.normal(size=(300, 24))), unit(rng.normal(size=(4000, 24)))
+    others[3000:3300] = unit(units + 1e-4 * rng.normal(size=units.shape))
+    others[3500:3800] = unit(others[3000:3300] + 1e-7 * (units - others[3000:3300]))  # nearer by less than single precision tells
+    others[3800:3900] = others[3500:3600]  # equals, of which the lower rank counts
+    rank = np.arange(4000)[::-1].copy()
+    best, found = np.full(300, -np.inf), np.full(300, -1)
+    for start in range(0, 4000, 100):
+        nearest._improve(units.view(Counted), others, rank, np.arange(300), start, start + 100, best, found)
+    expected = np.array([[(u * o).sum() for o in others[3000:]] for u in units])
+    np.testing.assert_array_equal(best, expected.max(axis=1))
+    assert all(rank[f] == rank[3000:][e == e.max()].min() for f, e in zip(found, expected, strict=True))
+    assert (expected[:, 500:800].max(axis=1) - expected[:, :300].max(axis=1) < 2.0**-24).all()
+    assert multiplied[np.dtype(np.float64)] < 0.4 * 300 * 4000 and multiplied[np.dtype(np.float32)] > 0.9 * 300 * 4000

@@ -21,6 +21,7 @@ GROUP_BYTES = 16 * 1024 * 1024  # of the vectors on either side of a task
 GROUPS, BLOCKS_PER_CORE = 8, 4  # groups of candidates, and blocks of queries, where they are smaller than that
 _SLACK = 1e-6  # of an angle: the arc cosine of a cosine near one is that imprecise
 _CLOSE = 1e-12  # of a cosine: products of blocks of other shapes differ by less
+_SINGLE = 2.0**-24  # of a number: what rounding to single precision changes at most
 
 
 class Matches(NamedTuple):
@@ -111,12 +112,19 @@ def _needed(low: np.ndarray, scores: np.ndarray, own: np.ndarray, names: np.ndar
 def _improve(units: np.ndarray, others: np.ndarray, rank: np.ndarray, rows: np.ndarray, start: int, stop: int, best: np.ndarray, found: np.ndarray) -> None:
     """Put the best of the candidates from start to stop into ``best`` and ``found`` of these queries; equal scores go to the lowest rank.
 
-    Products of a block only choose the pairs; their scores are computed one by one, so that equal ones are equal in every block.
+    Products in single precision, and the bound of their error, leave out queries that gain nothing from a block. Products
+    in double choose the pairs of the others; their scores are computed one by one, so that equal ones are equal in every block.
     """
+    error = (units.shape[1] + 4) * _SINGLE + _CLOSE  # a rounding for each factor, product and sum of unit vectors
     for at in range(start, stop, 2048):
         until = min(stop, at + 2048)
-        for i in range(0, len(rows), 512):
-            asking = rows[i : i + 512]
+        asked = rows
+        if len(rows) and best[rows].min() > -np.inf:
+            rough = others[at:until].astype(np.float32).T
+            chunks = [rows[i : i + 1024] for i in range(0, len(rows), 1024)]
+            asked = np.concatenate([r[(units[r].astype(np.float32) @ rough).max(axis=1) >= best[r] - error] for r in chunks])
+        for i in range(0, len(asked), 512):
+            asking = asked[i : i + 512]
             scores = units[asking] @ others[at:until].T
             top = scores.max(axis=1)
             hit = np.flatnonzero(top >= best[asking] - _CLOSE)
